@@ -44,11 +44,12 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def map_arrow(df: DataFrame, rows: Callable[..., dict], schema: str, *, setup: Callable | None = None, limit: int = 2_000_000) -> DataFrame:
+def map_arrow(df: DataFrame, rows: Callable[..., dict], schema: str, *, setup: Callable | None = None, finish: Callable | None = None, limit: int = 2_000_000) -> DataFrame:
     """Apply rows(state, *columns) -> columns to slices of each Arrow batch.
 
     A slice holds at most about `limit` characters of the last column, so that the
-    working set of a task doesn't depend on how long the texts of a batch are.
+    working set of a task doesn't depend on how long the texts of a batch are. finish(state)
+    may give last rows of each partition.
     """
     target = df.sparkSession.createDataFrame([], schema).schema
 
@@ -56,11 +57,16 @@ def map_arrow(df: DataFrame, rows: Callable[..., dict], schema: str, *, setup: C
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, state = to_arrow_schema(target), setup() if setup else None
+
+        def batch_of(out: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             for lo, hi in slices(columns[-1], limit):
-                out = rows(state, *(c[lo:hi] for c in columns))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                yield batch_of(rows(state, *(c[lo:hi] for c in columns)))
+        if finish:
+            yield batch_of(finish(state))
 
     return df.mapInArrow(run, target)
 
