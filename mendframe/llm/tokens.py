@@ -19,6 +19,19 @@ _RUNS = {
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
+class _Memo(dict):
+    """Numbers runs in the order in which they are first asked for; fresh holds those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        self[run] = i = len(self)
+        self.fresh.append(run)
+        return i
+
+
 class Encoder:
     """encode(texts) -> (ids, counts): the same ids as encoding each whole text.
 
@@ -37,7 +50,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Memo()
         self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _add(self, runs: list[str]) -> None:
@@ -49,27 +62,18 @@ class Encoder:
         self.pool = np.concatenate([self.pool, flat])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        find, index = _RUNS[self.spaced].findall, self.index
-        if len(index) > self.most:
+        find = _RUNS[self.spaced].findall
+        if len(self.index) > self.most:
             self._reset()
-            index = self.index
         runs = [[t] if _ODD.search(t) else find(t) for t in (t or "" for t in texts)]
-        fresh: list[str] = []
-        at: list[int] = []
-        for doc in runs:
-            for run in doc:
-                i = index.get(run)
-                if i is None:
-                    i = index[run] = len(index)
-                    fresh.append(run)
-                at.append(i)
-        if fresh:
-            self._add(fresh)
-        where = np.array(at, dtype=np.int64)
+        bounds = np.cumsum([len(d) for d in runs])
+        where = np.fromiter(map(self.index.__getitem__, chain.from_iterable(runs)), np.int64, int(bounds[-1]) if runs else 0)
+        if self.index.fresh:
+            self._add(self.index.fresh)
+            self.index.fresh = []
         size = self.lengths[where]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.starts[where] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.cumsum([len(d) for d in runs])
         total = np.concatenate([[0], ends])[bounds]
         return ids, np.diff(total, prepend=0)
 
