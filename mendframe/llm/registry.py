@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["attribution", "packing", "token_store"]
+MODULES = ["mixing", "ngram_join", "attribution", "line_dedup", "toxicity", "packing", "token_store"]
 
 
 def _loaded() -> list:
