@@ -194,6 +194,20 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one document of each component, that of the least doc_id, once; documents without words all stay.
+
+    Of rows with that same doc_id one stays, the least by text.
+    """
+    named = similar_documents(docs, size, percent)
+    gone = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times")).where("component_id <> doc_id or times > 1")
+    left = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left")
+    kept = left.where("_id is null or component_id = doc_id")
+    first = Window.partitionBy("_id").orderBy("text")
+    once = kept.where("_id is not null").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return kept.where("_id is null").select(*[docs[c] for c in docs.columns]).unionByName(once.select(*docs.columns))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of 5-word shingle similarity 0.75."""
     return similar_documents(table(spark, sf_dir, "documents"))

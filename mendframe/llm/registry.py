@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mixing", "ngram_join", "attribution", "line_dedup", "toxicity", "packing", "token_store"]
+MODULES = ["mixing", "media", "ngram_join", "attribution", "line_dedup", "toxicity", "packing", "html_extract", "fingerprint", "token_store"]
 
 
 def _loaded() -> list:
