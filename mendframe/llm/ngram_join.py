@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, map_arrow, mix, shingle_sets, staged, table
 from .graph import connected_components
 
-CELLS = 1 << 18
+CELLS = 1 << 20
 BITMAP = 1 << 24
 SALTS = 16
 
@@ -123,10 +123,10 @@ def _star(live: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return live.join(least, keys).select("cid", "n", "pos", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
 
 
-def _sets(docs: DataFrame, live: DataFrame, size: int) -> DataFrame:
-    """cid, tokens (ascending) of the classes in live. A bitmap of fixed size keeps most other texts out of the join."""
+def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """cid, tokens (ascending) of the classes in pairs. A bitmap of fixed size keeps most other texts out of the join."""
     cell = F.pmod("cid", F.lit(BITMAP))
-    wanted = live.select("cid").distinct()
+    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
     words = wanted.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(cid, {BITMAP}) & 63 as int))")).alias("bits")).toPandas()
     bitmap = np.zeros(BITMAP >> 6, np.uint64)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
@@ -145,8 +145,9 @@ def _sets(docs: DataFrame, live: DataFrame, size: int) -> DataFrame:
     return read.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs that agree under the second and third order and whose whole sets are similar."""
+    sets = staged(_sets(docs, pairs, size), "sets")
     a = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
     prefix = lambda c: f"(size({c}) - cast(ceil(size({c}) * {percent} / 100.0) as int) + 1)"
@@ -167,13 +168,11 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
     posts = _postings(docs, counts, size, percent)
     ranged = posts.withColumns({"lo": F.min("cid").over(spans), "hi": F.max("cid").over(spans)})
     live = staged(ranged.where("lo <> hi or salt > 0").select("token", "salt", "cid", "n", "pos").distinct(), "postings")
-    sets = staged(_sets(docs, live, size), "sets")
-
     least = F.struct("n", "cid")
     stars = _pairs(_star(live, keys, least), percent)
     tops = live.where("salt > 0").groupBy(*keys).agg(F.min_by(F.struct("cid", "n", "pos"), least).alias("p")).select("token", "p.*")
     stars = staged(stars.unionByName(_pairs(_star(tops, ["token"], least), percent)).distinct(), "stars")
-    links = staged(_verified(stars, sets, percent), "links")
+    links = staged(_verified(docs, stars, size, percent), "links")
     parts = staged(connected_components(links), "parts")
 
     # Lists that still hold several components: every pair across them.
@@ -182,7 +181,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
     rest = staged(named.join(several, "token", "left_semi").distinct(), "rest")
     other = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "pos", "c")])
     across = _pairs(rest.join(other, "token").where("c < p_c"), percent).join(stars, ["a", "b"], "left_anti")
-    more = _verified(staged(across, "across"), sets, percent)
+    more = _verified(docs, staged(across, "across"), size, percent)
     parts = staged(connected_components(links.unionByName(more)), "parts")
 
     classes = sigs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))
@@ -199,13 +198,17 @@ def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
 
     Of rows with that same doc_id one stays, the least by text.
     """
-    named = similar_documents(docs, size, percent)
-    gone = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times")).where("component_id <> doc_id or times > 1")
-    left = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left")
-    kept = left.where("_id is null or component_id = doc_id")
+    named = staged(similar_documents(docs, size, percent).where("doc_id is not null"), "components")
+    gone = named.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = named.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        return kept
+    again = staged(again, "repeated-ids")
+    several = kept.join(again, F.col("doc_id") == F.col("_id"))
     first = Window.partitionBy("_id").orderBy("text")
-    once = kept.where("_id is not null").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
-    return kept.where("_id is null").select(*[docs[c] for c in docs.columns]).unionByName(once.select(*docs.columns))
+    once = several.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
