@@ -164,13 +164,14 @@ def fingerprints_with_next(docs: DataFrame, together: int = 4_000_000) -> DataFr
     row a partition.
     """
 
+    schema = docs.sparkSession.createDataFrame([], _ROW + ", part int, first_text string, last_text string").schema
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        arrow = to_arrow_schema(StructType.fromDDL(_ROW + ", part int, first_text string, last_text string"))
+        arrow = to_arrow_schema(schema)
         part = TaskContext.get().partitionId()
 
         def batch(facts: dict, **edge) -> pa.RecordBatch:
@@ -198,7 +199,7 @@ def fingerprints_with_next(docs: DataFrame, together: int = 4_000_000) -> DataFr
             yield batch({"doc_id": ids[-1:]}, part=[part], last_text=texts[-1:])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    found = staged(ordered.mapInArrow(run, _ROW + ", part int, first_text string, last_text string"), "fingerprints")
+    found = staged(ordered.mapInArrow(run, schema), "fingerprints")
     whole = found.where("part is null").drop("part", "first_text", "last_text")
     edges = found.where("part is not null").groupBy("part").agg(F.max("doc_id").alias("doc_id"), F.max("first_text").alias("first_text"), F.max("last_text").alias("text"))
     by_part = Window.orderBy("part")
