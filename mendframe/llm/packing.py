@@ -16,7 +16,8 @@ doc_ids are documents of their own. Empty tables give no rows. Other columns are
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,49 +42,92 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def _closest(room: int, left: dict[int, int]) -> tuple[int, ...]:
-    """A filling of least waste, of few and large lengths."""
-    lengths = sorted((k for k, n in left.items() if n and k <= room), reverse=True)
-    if not lengths or lengths[0] == room:
-        return tuple(lengths[:1])
-    for a in lengths:
-        b = room - a
-        if b > a:
-            break
-        if left.get(b, 0) > (a == b):
-            return (a, b)
-    reach, steps = 1, []  # bit s: the lengths so far can sum to s
-    for k in reversed(lengths):
-        for _ in range(min(left[k], room // k)):
-            steps.append((k, reach))
+class _Left:
+    """Pieces left by length, and the lengths of which there are any, ascending."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.counts = [0] * (capacity + 1)
+        for k, n in counts.items():
+            self.counts[k] = n
+        self.lengths = sorted(counts)
+
+    def take(self, k: int, n: int) -> None:
+        was = self.counts[k]
+        self.counts[k] = was - n
+        if was and was == n:
+            del self.lengths[bisect_left(self.lengths, k)]
+        elif not was:
+            insort(self.lengths, k)
+
+
+def _pair(room: int, lengths: list[int], held: Callable[[int], int], hi: int) -> tuple[int, int] | None:
+    """Two lengths of that sum, the larger as large as can be."""
+    lo = 0
+    while lo <= hi:
+        both = lengths[lo] + lengths[hi]
+        if both == room and held(lengths[hi]) > (lo == hi) and held(lengths[lo]):
+            return lengths[hi], lengths[lo]
+        if both >= room:
+            hi -= 1
+        else:
+            lo += 1
+    return None
+
+
+def _closest(room: int, lengths: list[int], held: Callable[[int], int], steps: list[int]) -> tuple[int, ...]:
+    """A filling of least waste: one, two or three lengths that fit exactly, else by the sums that can be reached."""
+    steps[0] -= 1
+    end = bisect_right(lengths, room)
+    if not end:
+        return ()
+    if lengths[end - 1] == room and held(room):
+        return (room,)
+    found = _pair(room, lengths, held, end - 1)
+    if found:
+        return found
+    for i in range(end - 1, max(-1, end - 33), -1):
+        k = lengths[i]
+        if held(k):
+            pair = _pair(room - k, lengths, lambda x, k=k: held(x) - (x == k), bisect_right(lengths, room - k) - 1)
+            if pair:
+                return (k, *pair)
+    steps[0] -= 20
+    reach, made = 1, []  # bit s: the lengths so far can sum to s
+    for k in lengths[:end]:
+        for _ in range(min(held(k), room // k)):
+            made.append((k, reach))
             reach |= reach << k & (1 << room + 1) - 1
         if reach >> room & 1:
             break
     total, out = reach.bit_length() - 1, []
-    for k, before in reversed(steps):
+    for k, before in reversed(made):
         if total >= k and before >> total - k & 1:
             out.append(k)
             total -= k
     return tuple(out)
 
 
-def _fillings(room: int, left: dict[int, int], most_waste: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
-    """Fillings of at most that waste, the closest first, then all others that no larger unused length dominates."""
-    first = _closest(room, left)
+def _fillings(top: int, capacity: int, left: _Left, most_waste: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Sequences around the length `top` of at most that waste: the closest filling first, then all others that no larger unused length dominates.
+
+    It reads what is left anew at each turn; the search has put that back by then.
+    """
+    held, room = lambda k: left.counts[k] - (k == top), capacity - top
+    first = _closest(room, left.lengths, held, steps)
     if room - sum(first) > most_waste:
         return  # no filling wastes less
-    yield first
-    lengths = sorted((k for k, n in left.items() if n and k <= room), reverse=True)
+    yield (top, *first)
+    lengths = [k for k in reversed(left.lengths) if k <= room and held(k)]
 
     def grow(at: int, rest: int, used: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
         if rest <= most_waste and used != first:
-            if not any(left.get(x, 0) > used.count(x) for y in {0, *used} for x in range(y + 1, y + rest + 1)):
-                yield used
+            if not any(held(x) > used.count(x) for y in {0, *used} for x in range(y + 1, min(y + rest, capacity) + 1)):
+                yield (top, *used)
         for i in range(at, len(lengths)):
             k, steps[0] = lengths[i], steps[0] - 1
             if steps[0] < 0:
                 return
-            if k <= rest and left[k] > used.count(k):
+            if k <= rest and held(k) > used.count(k):
                 yield from grow(i, rest - k, (*used, k))
 
     yield from grow(0, room, ())
@@ -96,53 +140,44 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 50_000)
     """
     counts = {k: n for k, n in counts.items() if n}
     total, bound = sum(k * n for k, n in counts.items()), lower_bound(counts, capacity)
-    best = _search(dict(counts), capacity, sum(counts.values()) * capacity, [steps]) or []
+    best = _search(_Left(counts, capacity), capacity, sum(counts.values()) * capacity, [steps], whole=True) or []
     budget = [steps]
     for target in range(bound, sum(m for _, m in best)):
-        found = _search(dict(counts), capacity, target * capacity - total, budget)
+        found = _search(_Left(counts, capacity), capacity, target * capacity - total, budget)
         if found is not None:
             return found
+        if budget[0] < 0:
+            break
     return best
 
 
-def _search(left: dict[int, int], capacity: int, waste: int, steps: list[int]) -> list[tuple[tuple[int, ...], int]] | None:
-    """A packing within that waste, or None. Depth first; each level holds the fillings not yet tried."""
+def _search(left: _Left, capacity: int, waste: int, steps: list[int], whole: bool = False) -> list[tuple[tuple[int, ...], int]] | None:
+    """A packing within that waste, or None. Depth first; each level holds the fillings not yet tried. whole: never out of steps."""
     made: list[tuple[tuple[int, ...], int]] = []
     levels: list[Iterator] = []
-    order = sorted(left, reverse=True)
-
-    def open_level() -> Iterator | None:
-        while order and not left[order[-1]] and not made:
-            order.pop()
-        top = next((k for k in order if left[k]), None)
-        if top is None:
-            return None
-        rest = {k: n - (k == top) for k, n in left.items() if n}
-        return ((top, *f) for f in _fillings(capacity - top, rest, waste, steps))
-
-    while True:
+    while whole or steps[0] >= 0:
         if len(levels) == len(made):
-            level = open_level()
-            if level is None:
+            if not left.lengths:
                 return made
-            levels.append(level)
+            levels.append(_fillings(left.lengths[-1], capacity, left, waste, steps))
         picked = next(levels[-1], None)
         if picked is None:
             levels.pop()
-            if not made or steps[0] < 0:
+            if not made:
                 return None
             back, m = made.pop()
             waste += m * (capacity - sum(back))
             for k in back:
-                left[k] += m
+                left.take(k, -m)
             continue
-        lost, steps[0] = capacity - sum(picked), steps[0] - 1
-        m = min(left[k] // picked.count(k) for k in set(picked))
+        lost = capacity - sum(picked)
+        m = min(left.counts[k] // picked.count(k) for k in set(picked))
         m = min(m, waste // lost) if lost else m
         waste -= m * lost
         for k in picked:
-            left[k] -= m
+            left.take(k, m)
         made.append((picked, m))
+    return None
 
 
 def slots(made: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
