@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import properties, records, texts
+
 
 def queries() -> dict:
-    return {}
+    return {**records.QUERIES, **properties.QUERIES, **texts.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {**records.ORACLES, **properties.ORACLES, **texts.ORACLES}
