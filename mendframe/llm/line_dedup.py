@@ -129,13 +129,18 @@ def _keys(docs: DataFrame, k: int, least: int) -> DataFrame:
     return map_arrow(docs.select("text"), rows, "key long, lid long, n int", setup=lambda: (set(), {}))
 
 
+def letter_counts(line: str) -> list[int]:
+    """Characters by 8 classes: an edit moves their sum of differences by 2 at most."""
+    return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) * np.uint32(5) % np.uint32(8), minlength=8).tolist()
+
+
 def _texts(docs: DataFrame, live: DataFrame, least: int) -> DataFrame:
-    """lid, line of the lines in live; a bitmap of fixed size keeps most others out of the join."""
+    """lid, line, counts of the lines in live; a bitmap of fixed size keeps most others out of the join."""
     wanted = live.select("lid").distinct()
     cell = F.pmod("lid", F.lit(BITMAP))
-    words = wanted.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(lid, {BITMAP}) & 63 as int))")).alias("bits")).toPandas()
+    words = wanted.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(lid, {BITMAP}) & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP >> 6, np.uint64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    bitmap[words["w"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().view(np.uint64)
 
     def rows(seen, text):
         lid, line = [], []
@@ -148,10 +153,10 @@ def _texts(docs: DataFrame, live: DataFrame, least: int) -> DataFrame:
                     seen.add(own)
                     lid.append(own)
                     line.append(s)
-        return {"lid": lid, "line": line}
+        return {"lid": lid, "counts": [letter_counts(x) for x in line], "line": line}
 
-    read = map_arrow(docs.select("text"), rows, "lid long, line string", setup=set)
-    return read.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"))
+    read = map_arrow(docs.select("text"), rows, "lid long, counts array<int>, line string", setup=set)
+    return read.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"), F.first("counts").alias("counts"))
 
 
 def _pairs(found: DataFrame, k: int) -> DataFrame:
@@ -183,9 +188,11 @@ def line_links(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame
 
     named = live.join(parts, live["lid"] == parts["node"], "left").select("key", "lid", "n", F.coalesce("component", "lid").alias("c"))
     several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = staged(named.join(several, "key", "left_semi"), "line-rest")
-    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("lid", "n", "c")])
-    across = _pairs(rest.join(other, "key").where("c < p_c"), k).join(stars, ["a", "b"], "left_anti")
+    counts = texts.select("lid", *[F.col("counts")[i].alias(f"s{i}") for i in range(8)])
+    rest = staged(named.join(several, "key", "left_semi").join(counts, "lid"), "line-rest")
+    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("lid", "n", "c", *[f"s{i}" for i in range(8)])])
+    apart = sum((F.abs(F.col(f"s{i}") - F.col(f"p_s{i}")) for i in range(8)), F.lit(0))
+    across = _pairs(rest.join(other, "key").where("c < p_c").where(apart <= 2 * k), k).join(stars, ["a", "b"], "left_anti")
     return connected_components(links.unionByName(_verified(across, texts, k)))
 
 
