@@ -7,9 +7,12 @@ prefixes are the postings that are shuffled. Two further orders, ascending and d
 hash, must also agree before a pair is verified on whole sets.
 
 Texts with equal word sequences form one class from the start. Within a posting list every
-class first meets the list's smallest class only (a star, linear in the list); what is linked
-is contracted, and only lists that still hold several components give pairs across them. No
-link between different components is lost, so components are exact.
+class first meets one class only, that with the fewest rarer shingles (a star, linear in the
+list, around what is nearest to the original of a group of copies); what is linked is
+contracted, and only lists that still hold several components give pairs across them. From
+the long ones of those lists classes go that can't be similar to any other of the list: a
+class overlaps the others at most in the shingles that some other class of long lists has.
+No link between different components is lost, so components are exact.
 
 Nulls and texts without words have an empty set and link with nothing. Documents of fewer than
 5 words have one shingle. Rows with equal doc_id count as separate copies of one document.
@@ -31,6 +34,7 @@ from .graph import connected_components
 CELLS = 1 << 20
 BITMAP = 1 << 24
 SALTS = 16
+LONG_LIST = 32
 
 
 def class_ids(texts: list[str | None]) -> list[int | None]:
@@ -79,6 +83,7 @@ def _summed(cells: DataFrame) -> np.ndarray:
 def _postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """token, salt, cid, n, pos: each class's prefix under the rare-first order, once a task. salt > 0: a token of many sets."""
     hot = int(8 * counts.mean() + 20_000)
+    counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
 
     def rows(seen, doc_id, text):
         picked = []
@@ -123,13 +128,61 @@ def _star(live: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return live.join(least, keys).select("cid", "n", "pos", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """cid, tokens (ascending) of the classes in pairs. A bitmap of fixed size keeps most other texts out of the join."""
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components in one list, whose bounds let them be similar.
+
+    core: what a class shares with its list's least class; extra: what else it may share.
+    """
+    other = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "pos", "c", "core", "extra")])
+    most = F.least("core", "p_core") + F.least("extra", "p_extra")
+    enough = most * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
+    return _pairs(rest.join(other, "token").where("c < p_c").where(enough), percent)
+
+
+def _viable(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Shorter postings, with core and extra, of the classes of long lists; and the links (src, dst) met on the way.
+
+    Only classes that share a list can be similar, so shingles are counted anew, exactly, over
+    the classes of these lists: what only one of them has matches nothing. A class of n
+    shingles overlaps another of its lists, of at least `least` shingles, in
+    t / (1 + t) * (n + least) or isn't similar; that shortens its prefix. Two classes of a list
+    overlap at most in what both share with a third, and in what else each shares.
+    """
+    sets = staged(_sets(docs, rest.select("cid"), size), "long-list-sets")
+    tokens = sets.select("cid", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    tokens = staged(tokens.join(common, "token"), "common-shingles")
+    classes = rest.join(tokens.groupBy("cid").agg(F.count("*").cast("int").alias("shared")), "cid").where(F.col("shared") * 100 >= F.col("n") * percent)
+    classes = classes.join(classes.groupBy("token").agg(F.min("n").alias("least")), "token").groupBy("cid", "n", "shared").agg(F.min("least").alias("least"))
+    need = F.ceil((F.col("n") + F.col("least")) * percent / F.lit(100 + percent))
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("times", "token"))
+    ranked = tokens.join(classes.where(F.col("shared") >= need), "cid").withColumn("pos", F.col("n") - F.col("shared") + nth - 1)
+    kept = staged(ranked.where(F.col("pos") <= F.col("n") - need).select("token", "cid", "n", "pos", "shared"), "viable")
+    # The class of the fewest shingles of its own is nearest to what the others are copies of.
+    tops = kept.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("shared"), F.col("cid"))).getField("cid").alias("top"), F.count("*").alias("m")).where("m > 1").drop("m")
+    kept = kept.join(tops, "token")
+    x = sets.select("cid", F.col("tokens").alias("x"))
+    y = sets.select(F.col("cid").alias("top"), F.col("tokens").alias("y"))
+    met = kept.select("cid", "top").distinct().join(x, "cid").join(y, "top")
+    cores = staged(met.select("cid", "top", F.size(F.array_intersect("x", "y")).alias("core"), (F.size("x") + F.size("y")).alias("both")), "cores")
+    links = cores.where((F.col("core") * (100 + percent) >= F.col("both") * percent) & (F.col("cid") != F.col("top"))).select(F.col("cid").alias("src"), F.col("top").alias("dst"))
+    return kept.join(cores.drop("both"), ["cid", "top"]).withColumn("extra", F.greatest(F.lit(0), F.col("shared") - F.col("core"))), links
+
+
+def _of_several(postings: DataFrame, parts: DataFrame) -> DataFrame:
+    """Postings with the component c of their class, of the lists that hold several."""
+    named = postings.join(parts, postings["cid"] == parts["node"], "left").withColumn("c", F.coalesce("component", "cid")).drop("node", "component")
+    several = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
+    return named.join(several, "token")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """cid, tokens (ascending) of the classes. A bitmap of fixed size keeps most other texts out of the join."""
     cell = F.pmod("cid", F.lit(BITMAP))
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
-    words = wanted.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(cid, {BITMAP}) & 63 as int))")).alias("bits")).toPandas()
+    wanted = staged(classes.distinct(), "wanted")
+    words = wanted.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(cid, {BITMAP}) & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP >> 6, np.uint64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    bitmap[words["w"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().view(np.uint64)
 
     def rows(seen, doc_id, text):
         ids = class_ids(text)
@@ -147,7 +200,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs that agree under the second and third order and whose whole sets are similar."""
-    sets = staged(_sets(docs, pairs, size), "sets")
+    sets = staged(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid")), size), "sets")
     a = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
     prefix = lambda c: f"(size({c}) - cast(ceil(size({c}) * {percent} / 100.0) as int) + 1)"
@@ -168,19 +221,21 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
     posts = _postings(docs, counts, size, percent)
     ranged = posts.withColumns({"lo": F.min("cid").over(spans), "hi": F.max("cid").over(spans)})
     live = staged(ranged.where("lo <> hi or salt > 0").select("token", "salt", "cid", "n", "pos").distinct(), "postings")
-    least = F.struct("n", "cid")
+    least = F.struct("pos", "n", "cid")
     stars = _pairs(_star(live, keys, least), percent)
     tops = live.where("salt > 0").groupBy(*keys).agg(F.min_by(F.struct("cid", "n", "pos"), least).alias("p")).select("token", "p.*")
     stars = staged(stars.unionByName(_pairs(_star(tops, ["token"], least), percent)).distinct(), "stars")
     links = staged(_verified(docs, stars, size, percent), "links")
     parts = staged(connected_components(links), "parts")
 
-    # Lists that still hold several components: every pair across them.
-    named = live.join(parts, live["cid"] == parts["node"], "left").select("token", "cid", "n", "pos", F.coalesce("component", "cid").alias("c"))
-    several = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    rest = staged(named.join(several, "token", "left_semi").distinct(), "rest")
-    other = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "pos", "c")])
-    across = _pairs(rest.join(other, "token").where("c < p_c"), percent).join(stars, ["a", "b"], "left_anti")
+    # Lists that still hold several components: every pair across them that may be similar.
+    rest = staged(_of_several(live.select("token", "cid", "n", "pos"), parts).distinct(), "rest")
+    across = _across(rest.where(f"m < {LONG_LIST}").withColumns({"core": F.col("n"), "extra": F.lit(0)}), percent)
+    long, met = _viable(docs, rest.where(f"m >= {LONG_LIST}").drop("c", "m"), size, percent)
+    links = staged(links.unionByName(met), "links")
+    long = _of_several(staged(long, "long"), staged(connected_components(links), "parts"))
+    across = across.unionByName(_across(long, percent))
+    across = across.distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(docs, staged(across, "across"), size, percent)
     parts = staged(connected_components(links.unionByName(more)), "parts")
 
