@@ -48,10 +48,9 @@ def counts_of(texts: list[str | None], index: dict[str, int]) -> np.ndarray:
     return np.log1p(out)
 
 
-def learn_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier of least nnPU risk, by Adam on whole batches."""
-    x = np.vstack([pos, unl])
-    n, w = len(pos), np.zeros(x.shape[1] + 1)
+def learn_nnpu(x: np.ndarray, n: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear classifier of least nnPU risk, by Adam on whole batches. The first n rows are the positives."""
+    w, rest = np.zeros(x.shape[1] + 1), len(x) - n
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
@@ -62,10 +61,10 @@ def learn_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400,
         grad = np.zeros(len(g))
         if clean >= 0:
             grad[:n] = prior * (s[:n] - 1) / n - prior * s[:n] / n
-            grad[n:] = s[n:] / len(unl)
+            grad[n:] = s[n:] / rest
         else:  # step back from overfitting: raise the negative part again
             grad[:n] = prior * s[:n] / n
-            grad[n:] = -s[n:] / len(unl)
+            grad[n:] = -s[n:] / rest
         d = np.append(x.T @ grad.astype(np.float32), grad.sum()).astype(np.float64)
         d[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * d, 0.999 * second + 0.001 * d * d
@@ -120,13 +119,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     def vectors(_, kind, text):
         return {"kind": kind, "x": [np.round(v * 16).astype(np.uint8).tobytes() for v in counts_of(text, index)]}
 
-    rows = map_arrow(sample, vectors, "kind int, x binary").toPandas()
-    x = np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(-1, len(chosen)).astype(np.float32) / 16
+    rows = map_arrow(sample, vectors, "kind int, x binary").toArrow()
     kind = rows["kind"].to_numpy()
-    weights, bias = learn_nnpu(x[kind == 1], x[kind == 0], float(prior))
-    if (kind == 2).any():
-        g = x @ weights + bias
-        bias += shift(g[kind == 1], g[kind == 2])
+    packed = rows["x"].to_pylist()
+    del rows
+    # Positives, unlabelled, confirmed clean, in this order.
+    order = np.argsort(np.array([1, 0, 2])[kind], kind="stable")
+    x = np.empty((len(kind), len(chosen)), np.float32)
+    for row, i in zip(x, order.tolist(), strict=True):
+        row[:] = np.frombuffer(packed[i], np.uint8)
+    del packed
+    x /= 16
+    n, m = int((kind == 1).sum()), int((kind < 2).sum())
+    weights, bias = learn_nnpu(x[:m], n, float(prior))
+    if m < len(x):
+        g = x @ weights.astype(np.float32) + bias
+        bias += shift(g[:n], g[m:])
     return chosen, weights, bias
 
 
