@@ -193,3 +193,25 @@ ORACLES = {
       SELECT s_name AS name, 'nested' AS layout, '{"type":"function","function":{"name":"' || s_name || '","description":"' || d || '","parameters":' || p || '}}' AS tool FROM f UNION ALL SELECT s_name, 'flat', '{"name":"' || s_name || '","description":"' || d || '","input_schema":' || p || '}' FROM f""",
     "similar_vectors": """SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE s > 0.5""".replace("SELECT * FROM (", "SELECT a, b, similarity FROM ("),
 }
+
+
+_CHAIN = [("ECONOMY", "lt", "LARGE"), ("LARGE", "lte", "MEDIUM"), ("PROMO", "gt", "MEDIUM"), ("SMALL", "eq", "STANDARD")]
+
+
+def rule_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds of each brand's part types under a chain of relations."""
+    from ..operators.consistency import consistency
+
+    bounds = table(spark, d, "part").groupBy(F.col("p_brand").alias("schema_id"), F.col("p_type").alias("path")).agg(F.min("p_size").cast("double").alias("lo"), F.max("p_size").cast("double").alias("hi"))
+    chain = spark.createDataFrame(_CHAIN, "a string, op string, b string")
+    return consistency(bounds, bounds.select("schema_id").distinct().crossJoin(F.broadcast(chain)), 3)
+
+
+QUERIES["rule_consistency"] = rule_consistency
+_PASS = """b{n} AS (SELECT schema_id, path, max(lo) AS lo, min(hi) AS hi FROM (SELECT * FROM b{m} UNION ALL SELECT schema_id, high, lo + gap, NULL FROM b{m} JOIN e ON path = low UNION ALL SELECT schema_id, low, NULL, hi - gap FROM b{m} JOIN e ON path = high) GROUP BY 1, 2)"""
+ORACLES["rule_consistency"] = (
+    "WITH e(low, high, gap) AS (VALUES ('ECONOMY', 'LARGE', 1), ('LARGE', 'MEDIUM', 0), ('MEDIUM', 'PROMO', 1), ('SMALL', 'STANDARD', 0), ('STANDARD', 'SMALL', 0)), "
+    "b0 AS (SELECT p_brand AS schema_id, p_type AS path, min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part GROUP BY 1, 2), "
+    + ", ".join(_PASS.format(n=i + 1, m=i) for i in range(3))
+    + " SELECT *, coalesce(lo <= hi, true) AS consistent, CASE WHEN coalesce(lo <= hi, true) THEN CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2 ELSE coalesce(lo, hi) END END AS witness FROM b3"
+)
