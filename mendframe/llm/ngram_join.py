@@ -4,7 +4,9 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes). Under any g
 shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of each. The first
 order is rare-first, by a count of all documents' shingles in a fixed number of cells; its
 prefixes are the postings that are shuffled. Two further orders, ascending and descending
-hash, must also agree before a pair is verified on whole sets.
+hash, must also agree before a pair is verified on whole sets: the first quarter of the hash
+space under each, cut to 16 bits a shingle, bounds what a pair can share, and only the sets
+of pairs that this bound leaves are fetched.
 
 Texts with equal word sequences form one class from the start. Within a posting list every
 class first meets one class only, that with the fewest rarer shingles (a star, linear in the
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, map_arrow, mix, shingle_sets, staged, table
+from .common import ascii_words, map_arrow, mix, shingle_sets, staged, table, unstage
 from .graph import connected_components
 
 CELLS = 1 << 20
@@ -46,22 +48,45 @@ def class_ids(texts: list[str | None]) -> list[int | None]:
     return out
 
 
+def heads(x: np.ndarray) -> bytes:
+    """An ascending set's first quarter of the hash space under either hash order, 16 bits a shingle, after the size of the first."""
+    low, high = np.searchsorted(x, np.array([1 << 62, 3 << 62], np.uint64)).tolist()
+    cut = (np.concatenate([x[:low], x[high:]]) >> np.uint64(46) & np.uint64(0xFFFF)).astype("<u2")
+    return low.to_bytes(4, "little") + cut.tobytes()
+
+
+def most_shared(n: int, head: bytes, p_n: int, p_head: bytes) -> int:
+    """At most so many shingles two sets share: those that meet in both heads, and all others of the smaller rest."""
+    shared, rest, p_rest = 0, n, p_n
+    at, p_at = int.from_bytes(head[:4], "little"), int.from_bytes(p_head[:4], "little")
+    x, y = np.frombuffer(head, "<u2", offset=4), np.frombuffer(p_head, "<u2", offset=4)
+    for a, b in ((x[:at], y[:p_at]), (x[at:], y[p_at:])):
+        rest, p_rest = rest - len(a), p_rest - len(b)
+        if len(a) and len(b):
+            shared += int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return shared + min(rest, p_rest)
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, cid, n of each document and, in a last row of each partition, its counts of shingles by cell."""
+    """doc_id, cid, n of each document, heads once a class and task and, in a last row of each partition, its counts of shingles by cell."""
 
     def setup():
-        return {"cells": np.zeros(CELLS, np.int64)}
+        return {"cells": np.zeros(CELLS, np.int64), "seen": set()}
 
     def rows(s, doc_id, text):
         sets = shingle_sets(text, size)
         if sets:
             s["cells"] += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        return {"doc_id": doc_id, "cid": class_ids(text), "n": [len(x) for x in sets], "cells": [None] * len(sets)}
+        ids, head = class_ids(text), []
+        for c, x in zip(ids, sets, strict=True):
+            head.append(None if c is None or c in s["seen"] else heads(x))
+            s["seen"].add(c)
+        return {"doc_id": doc_id, "cid": ids, "n": [len(x) for x in sets], "head": head, "cells": [None] * len(sets)}
 
     def finish(s):
-        return {"doc_id": [None], "cid": [None], "n": [None], "cells": [zlib.compress(s["cells"].tobytes(), 1)]}
+        return {"doc_id": [None], "cid": [None], "n": [None], "head": [None], "cells": [zlib.compress(s["cells"].tobytes(), 1)]}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, cid long, n int, cells binary", setup=setup, finish=finish)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, cid long, n int, head binary, cells binary", setup=setup, finish=finish)
 
 
 def _summed(cells: DataFrame) -> np.ndarray:
@@ -198,8 +223,22 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return read.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens"))
 
 
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be similar by the heads of the second and third order; classes: cid, n, head."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    known = classes.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first(F.struct("n", "head")).alias("s"))
+    a = known.select(F.col("cid").alias("a"), F.col("s.n").alias("n"), F.col("s.head").alias("head"))
+    b = known.select(F.col("cid").alias("b"), F.col("s.n").alias("p_n"), F.col("s.head").alias("p_head"))
+
+    def rows(_, a, b, *both):
+        able = [most_shared(n, h, m, g) * (100 + percent) >= (n + m) * percent for n, m, h, g in zip(*both, strict=True)]
+        return {"a": [x for x, ok in zip(a, able, strict=True) if ok], "b": [x for x, ok in zip(b, able, strict=True) if ok]}
+
+    return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "n", "p_n", "head", "p_head"), rows, "a long, b long")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs that agree under the second and third order and whose whole sets are similar."""
+    """Links (src, dst): pairs that agree under the second and third order and whose whole sets are similar."""
     sets = staged(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid")), size), "sets")
     a = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
@@ -207,14 +246,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     up = f"arrays_overlap(slice(x, 1, {prefix('x')}), slice(y, 1, {prefix('y')}))"
     down = f"arrays_overlap(slice(x, -{prefix('x')}, {prefix('x')}), slice(y, -{prefix('y')}, {prefix('y')}))"
     both = f"size(array_intersect(x, y)) * {100 + percent}L >= (size(x) + size(y)) * {percent}L"
-    return pairs.join(a, "a").join(b, "b").where(F.expr(f"CASE WHEN NOT {up} THEN false WHEN NOT {down} THEN false ELSE {both} END")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    similar = pairs.join(a, "a").join(b, "b").where(F.expr(f"CASE WHEN NOT {up} THEN false WHEN NOT {down} THEN false ELSE {both} END"))
+    links = staged(similar.select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    unstage(sets)
+    return links
 
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     first = staged(_signatures(docs, size), "signatures")
     counts = _summed(first.where("cells is not null").select("cells"))
-    sigs = first.where("cells is null").drop("cells")
+    sigs = first.where("cells is null").select("doc_id", "cid", "n")
+    heads_of = first.where("head is not null").select("cid", "n", "head")
 
     keys = ["token", "salt"]
     spans = Window.partitionBy(*keys)
@@ -225,7 +268,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
     stars = _pairs(_star(live, keys, least), percent)
     tops = live.where("salt > 0").groupBy(*keys).agg(F.min_by(F.struct("cid", "n", "pos"), least).alias("p")).select("token", "p.*")
     stars = staged(stars.unionByName(_pairs(_star(tops, ["token"], least), percent)).distinct(), "stars")
-    links = staged(_verified(docs, stars, size, percent), "links")
+    links = _verified(docs, staged(_promising(stars, heads_of, percent), "promising"), size, percent)
     parts = staged(connected_components(links), "parts")
 
     # Lists that still hold several components: every pair across them that may be similar.
@@ -235,8 +278,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
     links = staged(links.unionByName(met), "links")
     long = _of_several(staged(long, "long"), staged(connected_components(links), "parts"))
     across = across.unionByName(_across(long, percent))
-    across = across.distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(docs, staged(across, "across"), size, percent)
+    across = staged(across.distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    more = _verified(docs, staged(_promising(across, heads_of, percent), "promising"), size, percent)
     parts = staged(connected_components(links.unionByName(more)), "parts")
 
     classes = sigs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"))

@@ -93,6 +93,17 @@ def test_ngram_join_equals_brute_force(spark, docs):
     assert got == {i: (len(sets[i]), want[i]) for i in texts}
 
 
+def test_heads_bound_what_sets_share():
+    r = np.random.Generator(np.random.PCG64(6))
+    for k in range(300):
+        pool = r.integers(0, 1 << 64, 400, dtype=np.uint64, endpoint=False)
+        if k % 3 == 0:  # many equal 16-bit cuts
+            pool = (pool >> np.uint64(60) << np.uint64(60)) + (pool & np.uint64(0xFFFF))
+        x, y = (np.unique(r.choice(pool, r.integers(0, 300))) for _ in range(2))
+        most = ngram_join.most_shared(len(x), ngram_join.heads(x), len(y), ngram_join.heads(y))
+        assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y)) or k % 3 == 0 and len(np.intersect1d(x, y)) <= most
+
+
 def test_ngram_join_odd(odd, none):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(odd).collect())
     assert got[(0, 0, 0)] == 1 and got[(1, 0, 1)] == 1 and got[(3, 1, 3)] == 3 and sum(got.values()) == odd.count()
