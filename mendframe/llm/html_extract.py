@@ -1,13 +1,15 @@
-"""Main text of web pages: article structure where a page marks it, else a host suffix array.
+"""Main text of web pages: host suffix arrays over all pages, article structure as a guard.
 
-A page whose body holds an article or main element gives that element's blocks less the parts
-that structure marks as something else (menus, headers, footers, sidebars, notices, adverts,
-forms, comments). Repetition says nothing there: articles quote each other, and copies of an
-article repeat it whole. On pages without such a mark the blocks left by structure are
-concatenated by host into one token stream, whose suffix array (sorted to RUN tokens by prefix
-doubling) shows the runs that recur on distinct pages; covered runs are boilerplate, unique
-runs stay. Hosts are cut into shards of about SHARD tokens, each with its own array: what a
-host prints on every page recurs in every shard.
+Parts that structure marks as something else (menus, headers, footers, sidebars, notices,
+adverts, forms, comments) go. The other blocks of every page, marked by an article or main
+element or not, are one token stream; a host's streams are cut into shards of about SHARD
+tokens, each with a suffix array (sorted to RUN tokens by prefix doubling). A run of RUN tokens
+is boilerplate if LEAST_PAGES and LEAST_SHARE of the host's distinct streams hold it. That count
+is over the whole host: a run that meets it has a fair part of it in some shard, which names it
+a candidate by hash; all shards count the host's candidates, and the counts are added up.
+
+Covered runs go, unique runs stay. Article and main elements are a guard only: where a page
+would lose over half of their tokens it is a copy of an article, and keeps them whole.
 
 Nulls: a null page has the text ""; null urls are one host; null page_ids pass through.
 Repeated rows give repeated rows and count once as a page. Empty tables give no rows. Other
@@ -20,11 +22,10 @@ import re
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged, table
+from .common import _MUL, map_arrow, mix, staged, table, word_hashes
 
 RUN, SHARD, LEAST_PAGES, LEAST_SHARE = 8, 200_000, 3, 0.2
 
@@ -62,12 +63,13 @@ def _is_other(tag: str, attrs: dict, in_main: bool) -> bool:
 
 
 class _Page(HTMLParser):
-    """Text blocks of one page, each with whether an article or main element holds it."""
+    """Text blocks of one page, and whether an article or main element holds each."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # tag, dropped, in article or main
-        self.blocks: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+        self.blocks: list[str] = []
+        self.inside: list[bool] = []
         self.text: list[str] = []
         self.zone = "body"
         self.dropped = False
@@ -78,10 +80,8 @@ class _Page(HTMLParser):
             block = " ".join("".join(self.text).split())
             self.text = []
             if block:
-                self.blocks["body"].append(block)
-                for z, depth in self.zones.items():
-                    if depth:
-                        self.blocks[z].append(block)
+                self.blocks.append(block)
+                self.inside.append(any(self.zones.values()))
 
     def _pop(self) -> None:
         tag, self.dropped, zone = self.open.pop()
@@ -136,26 +136,24 @@ class _Page(HTMLParser):
             self.text.append(data)
 
 
-def blocks_of(html: str | None) -> tuple[bool, list[str]]:
-    """(whether the page marks its article, its blocks)."""
+def parts_of(html: str | None) -> tuple[list[str], list[bool]]:
+    """The page's blocks, and whether an article or main element holds each."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page._flush()
-    for zone in ("article", "main"):
-        if page.blocks[zone]:
-            return True, page.blocks[zone]
-    return False, page.blocks["body"]
+    return page.blocks, page.inside
 
 
-def recurring(streams: list[list[str]], run: int = RUN, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> list[np.ndarray]:
-    """For each token stream which tokens lie in a run of `run` tokens that recurs on enough distinct streams."""
-    out = [np.zeros(len(s), bool) for s in streams]
-    kinds = np.unique([hash(tuple(s)) for s in streams], return_inverse=True)[1] if streams else np.empty(0, int)
-    need = max(least, int(np.ceil(share * (kinds.max(initial=-1) + 1))))
+def blocks_of(html: str | None) -> tuple[bool, list[str]]:
+    """(whether the page marks its article, its blocks)."""
+    blocks, inside = parts_of(html)
+    return any(inside), blocks
+
+
+def counted(streams: list[list[str]], kinds: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Over all streams, each with one place after its end: the run of `run` tokens that starts at each place, and on how many kinds of streams each run is."""
     lengths = np.array([len(s) for s in streams], np.int64)
-    if lengths.sum() == 0:
-        return out
     # One array of all streams, each ended by a token of its own, so that no run crosses pages.
     index: dict[str, int] = {}
     tokens = np.concatenate([np.array([*(index.setdefault(t, len(index)) for t in s), -1 - k], np.int64) for k, s in enumerate(streams)])
@@ -170,14 +168,38 @@ def recurring(streams: list[list[str]], run: int = RUN, least: int = LEAST_PAGES
         width += step
     order = np.lexsort((kinds[page], rank))  # the suffix array, equal runs together
     first = np.append(True, (np.diff(rank[order]) != 0) | (np.diff(kinds[page][order]) != 0))
-    on_pages = np.bincount(rank[order][first])
-    starts = np.flatnonzero(on_pages[rank] >= need)
-    marks = np.zeros(len(tokens) + 1, np.int64)
+    return rank, np.bincount(rank[order][first])
+
+
+def run_hashes(streams: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Over the places of counted(): 64 bits of the run that starts there, and whether it ends on its page."""
+    lengths = np.array([len(s) for s in streams], np.int64)
+    h = word_hashes([t.encode() for s in streams for t in [*s, ""]])
+    rolled = np.full(len(h), run, np.uint64)
+    for i in range(run):
+        rolled = mix(rolled ^ np.append(h[i:], np.zeros(min(i, len(h)), np.uint64)) * _MUL[i % len(_MUL)] ^ np.uint64(i))
+    left = np.repeat(np.cumsum(lengths + 1) - 1, lengths + 1) - np.arange(len(h))
+    return rolled.view(np.int64), left >= run
+
+
+def covered(starts: np.ndarray, lengths: list[int], run: int = RUN) -> list[np.ndarray]:
+    """For each stream which tokens lie in a run that starts at one of the places."""
+    ends = np.cumsum(np.array(lengths, np.int64) + 1)
+    n = int(ends[-1]) if len(ends) else 0
+    marks = np.zeros(n + 1, np.int64)
     np.add.at(marks, starts, 1)
-    np.add.at(marks, np.minimum(starts + run, len(tokens)), -1)
-    covered = np.cumsum(marks)[:-1] > 0
-    ends = np.cumsum(lengths + 1)
-    return [covered[e - n - 1 : e - 1] for e, n in zip(ends, lengths, strict=True)]
+    np.add.at(marks, np.minimum(starts + run, n), -1)
+    inside = np.cumsum(marks)[:-1] > 0
+    return [inside[e - k - 1 : e - 1] for e, k in zip(ends, lengths, strict=True)]
+
+
+def recurring(streams: list[list[str]], run: int = RUN, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> list[np.ndarray]:
+    """For each token stream which tokens lie in a run of `run` tokens that recurs on enough distinct streams."""
+    if not any(streams):
+        return [np.zeros(0, bool) for _ in streams]
+    kinds = np.unique([hash(tuple(s)) for s in streams], return_inverse=True)[1]
+    rank, on_pages = counted(streams, kinds, run)
+    return covered(np.flatnonzero(on_pages[rank] >= max(least, int(np.ceil(share * (kinds.max() + 1))))), [len(s) for s in streams], run)
 
 
 def unique_runs(blocks: list[str], covered: np.ndarray, run: int = RUN) -> list[str]:
@@ -198,30 +220,72 @@ def unique_runs(blocks: list[str], covered: np.ndarray, run: int = RUN) -> list[
     return kept
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def main_text(blocks: list[str], inside: list[bool], gone: np.ndarray) -> str:
+    """The page less covered tokens; article blocks stay whole if over half of their tokens are covered."""
+    held = np.repeat(np.array(inside, bool), [b.count(" ") + 1 for b in blocks])
+    if 2 * np.count_nonzero(gone & held) > np.count_nonzero(held):
+        gone = gone & ~held
+    return "\n".join(unique_runs(blocks, gone))
+
+
+def _streams(pages: list[dict]) -> list[list[str]]:
+    return [[w for b in p["blocks"] for w in b.split(" ")] for p in pages]
+
+
+def extract(pages: DataFrame, size: int = SHARD) -> DataFrame:
     """page_id, url, text of every page (page_id, url, html)."""
 
     def rows(_, page_id, url, html):
-        found = [blocks_of(h) for h in html]
-        return {"page_id": page_id, "url": url, "marked": [m for m, _ in found], "blocks": [b for _, b in found], "n_tokens": [sum(x.count(" ") + 1 for x in b) for _, b in found]}
+        found = [parts_of(h) for h in html]
+        return {"page_id": page_id, "url": url, "blocks": [b for b, _ in found], "inside": [i for _, i in found], "n_tokens": [sum(x.count(" ") + 1 for x in b) for b, _ in found]}
 
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     picked = pages.select(F.col("page_id").cast("long"), "url", "html")
-    parsed = staged(map_arrow(picked, rows, "page_id long, url string, marked boolean, blocks array<string>, n_tokens long"), "blocks")
-    plain = parsed.where("marked").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
+    read = map_arrow(picked, rows, "page_id long, url string, blocks array<string>, inside array<boolean>, n_tokens long")
+    # Equal streams are one kind of page; equal blocks and marks give one text.
+    parsed = staged(read.withColumns({"host": host, "kind": F.xxhash64(F.array_join("blocks", " ")), "form": F.xxhash64("blocks", "inside")}), "blocks")
+    hosts = parsed.groupBy("host", "kind").agg(F.first("n_tokens").alias("n")).groupBy("host").agg((1 + F.floor(F.sum("n") / size)).alias("shards"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.count("*") * LEAST_SHARE)).alias("need"))
+    cut = parsed.join(hosts, "host").withColumn("shard", F.pmod("kind", F.col("shards")))
+    shards = staged(cut.groupBy("host", "shard", "shards", "need").agg(F.collect_set(F.struct("kind", "form", "blocks", "inside")).alias("pages")), "shards")
+
+    def local(pages):
+        """Hashes of the shard's runs, and on how many kinds of pages each is."""
+        streams = _streams(pages)
+        rank, on_pages = counted(streams, np.array([p["kind"] for p in pages], np.int64))
+        run, ends = run_hashes(streams)
+        at = np.flatnonzero(ends)
+        run, first = np.unique(run[at], return_index=True)
+        return run, on_pages[rank[at[first]]]
+
+    def name(_, host, shards, need, pages):
+        found = [(lambda run, n, k=-(-t // s): run[n >= k])(*local(p)) for s, t, p in zip(shards, need, pages, strict=True)]
+        return {"host": [h for h, f in zip(host, found, strict=True) for _ in f], "run": np.concatenate([np.empty(0, np.int64), *found])}
+
+    def count(_, host, need, asked, pages):
+        out = {"host": [], "need": [], "run": [], "n": []}
+        for h, t, a, p in zip(host, need, asked, pages, strict=True):
+            run, n = local(p)
+            ok = np.isin(run, np.array(a, np.int64))
+            for k, v in zip(out, ([h] * int(ok.sum()), [t] * int(ok.sum()), run[ok].tolist(), n[ok].tolist()), strict=True):
+                out[k] += v
+        return out
 
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    other = parsed.where("not marked").withColumn("host", host)
-    shards = other.groupBy("host").agg((1 + F.floor(F.sum("n_tokens") / SHARD)).alias("shards"))
-    cut = other.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-
-    def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        blocks = [list(b) for b in frame["blocks"]]
-        covered = recurring([[w for x in b for w in x.split(" ")] for b in blocks])
-        text = ["\n".join(unique_runs(b, c)) for b, c in zip(blocks, covered, strict=True)]
-        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text})
-
-    runs = cut.groupBy("host", "shard").applyInPandas(shard, "page_id long, url string, text string")
-    return plain.unionByName(runs)
+    def strip(_, host, runs, pages):
+        out = {"host": [], "form": [], "text": []}
+        for h, r, ps in zip(host, runs, pages, strict=True):
+            streams = _streams(ps)
+            run, ends = run_hashes(streams)
+            gone = covered(np.flatnonzero(ends & np.isin(run, np.array(r or [], np.int64))), [len(s) for s in streams])
+            out["host"] += [h] * len(ps)
+            out["form"] += [p["form"] for p in ps]
+            out["text"] += [main_text(p["blocks"], p["inside"], g) for p, g in zip(ps, gone, strict=True)]
+        return out
+
+    asked = staged(map_arrow(shards.select("host", "shards", "need", "pages"), name, "host string, run long").distinct().groupBy("host").agg(F.collect_list("run").alias("asked")), "runs-asked")
+    counts = map_arrow(shards.join(asked, "host").select("host", "need", "asked", "pages"), count, "host string, need long, run long, n long")
+    runs = staged(counts.groupBy("host", "run", "need").agg(F.sum("n").alias("n")).where("n >= need").groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
+    texts = map_arrow(shards.join(runs, "host", "left").select("host", "runs", "pages"), strip, "host string, form long, text string")
+    return parsed.select("page_id", "url", "host", "form").join(texts, ["host", "form"]).select("page_id", "url", "text")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -431,6 +431,23 @@ def test_recurring_runs_equal_brute_force():
         assert [list(map(bool, x)) for x in html_extract.recurring(streams)] == want
 
 
+def test_host_runs_reach_marked_pages(spark):
+    menu = "home news sport weather travel money shop help about us"
+    own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    rows = [(i, f"https://h.example/{i}", f"<main><p>before {i}</p><article><p>{own[i]}</p><div>{menu}</div></article></main>") for i in range(12)]
+    copy = " ".join(f"c{j}" for j in range(40))
+    rows += [(20 + i, f"https://c.example/{i}", f"<article><p>{copy}</p><p>note {i}</p></article>") for i in range(4)]
+    # A run on 4 of 24 pages is under a fifth of the host, however the pages fall into shards.
+    few = "one run of ten words that few pages here hold"
+    rows += [(100 + i, f"https://f.example/{i}", f"<article><p>{' '.join(f'v{i}x{j}' for j in range(30))}</p><div>{few if i < 4 else menu}</div></article>") for i in range(24)]
+    want = {i: f"before {i}\n{own[i]}" for i in range(12)} | {20 + i: f"{copy}\nnote {i}" for i in range(4)}
+    want |= {100 + i: " ".join(f"v{i}x{j}" for j in range(30)) + (f"\n{few}" if i < 4 else "") for i in range(24)}
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")
+    for size in (html_extract.SHARD, 120):
+        got = [(r.page_id, r.text) for r in html_extract.extract(df, size).collect()]
+        assert len(got) == len(rows) + 1 and dict(got) == want
+
+
 def slow_walk(text):
     level, pos, out, step = fingerprint.level_of(len(text)), 0, [], 0
     classes = [*fingerprint._classes(text).tolist(), 0] if text else [0]
