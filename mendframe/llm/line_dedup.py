@@ -1,7 +1,8 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines of at least `least` characters (after trimming) are compared. A line within k edits of
-another holds one of that line's k + 1 even segments unchanged, near the same place. Each line
+All lines but blank ones are compared, after trimming: those of at least `least` characters (the
+shorter of two counts) are alike within k edits, those of ONE and more within one, shorter ones
+if equal, by their digests. A line within k edits of another holds one of that line's k + 1 even segments unchanged, near the same place. Each line
 emits, for every length it could match, the substrings at the places where a segment may lie
 (windows aware of how many segments precede); lines that share one are candidates, verified by
 a banded bit-parallel edit distance. Keys hold the length and the segment's number, so lists
@@ -29,6 +30,8 @@ from .common import map_arrow, staged, table
 from .graph import connected_components
 
 EDITS, LEAST = 2, 40
+#: Shorter lines than LEAST, from here on, may differ by one edit.
+ONE = 20
 BITMAP = 1 << 24
 
 
@@ -88,6 +91,18 @@ def probes(length: int, k: int, least: int) -> Iterator[tuple[int, int, int, int
                 yield other, i, at, at + hi - lo
 
 
+def edits(length: int, k: int, least: int) -> int:
+    """Edits that a line of this length, the shorter of two, may be apart."""
+    return k if length >= least else min(1, k) if length >= ONE else 0
+
+
+def all_probes(length: int, k: int, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """probes() by the edits that go with the other line's length."""
+    yield from probes(length, k, least)
+    if k and ONE < least:
+        yield from (x for x in probes(length, 1, ONE) if x[0] < least)
+
+
 def line_id(line: str) -> int:
     import xxhash
 
@@ -108,7 +123,7 @@ def _keys(docs: DataFrame, k: int, least: int) -> DataFrame:
         key, lid, size = [], [], []
         digest = xxhash.xxh3_64_intdigest
         for t in text:
-            for _, line in long_lines(t, least):
+            for _, line in long_lines(t, min(least, ONE)):
                 own = line_id(line)
                 if own in seen:
                     continue
@@ -119,7 +134,7 @@ def _keys(docs: DataFrame, k: int, least: int) -> DataFrame:
                 if n not in plans:
                     if len(plans) > 5000:
                         plans.clear()
-                    plans[n] = [(a, b, other * (k + 1) + i) for other, i, a, b in probes(n, k, least)]
+                    plans[n] = [(a, b, other * (k + 1) + i) for other, i, a, b in all_probes(n, k, least)]
                 got = [digest(line[a:b], seed) for a, b, seed in plans[n]]
                 key += got
                 lid += [own] * len(got)
@@ -145,7 +160,7 @@ def _texts(docs: DataFrame, live: DataFrame, least: int) -> DataFrame:
     def rows(seen, text):
         lid, line = [], []
         for t in text:
-            for _, s in long_lines(t, least):
+            for _, s in long_lines(t, min(least, ONE)):
                 own = line_id(s)
                 if own not in seen and int(bitmap[own % BITMAP >> 6]) >> (own % 64) & 1:
                     if len(seen) > 1_000_000:
@@ -164,18 +179,18 @@ def _pairs(found: DataFrame, k: int) -> DataFrame:
     return kept.select(F.least("lid", "p_lid").alias("a"), F.greatest("lid", "p_lid").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
 
     def rows(_, a, b, x, y):
-        ok = [i for i in range(len(a)) if within(x[i], y[i], k)]
+        ok = [i for i in range(len(a)) if within(x[i], y[i], edits(min(len(x[i]), len(y[i])), k, least))]
         return {"src": [a[i] for i in ok], "dst": [b[i] for i in ok]}
 
     return map_arrow(both.select("a", "b", "x", "y"), rows, "src long, dst long")
 
 
 def line_links(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(node, component) of the distinct lines within k edits of another, by their ids."""
+    """(node, component) of the distinct lines that are alike but not equal to another, by their ids."""
     spans = Window.partitionBy("key")
     keys = _keys(docs, k, least).withColumns({"lo": F.min("lid").over(spans), "hi": F.max("lid").over(spans)})
     live = staged(keys.where("lo <> hi").select("key", "lid", "n").distinct(), "line-keys")
@@ -183,7 +198,7 @@ def line_links(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame
     tops = live.groupBy("key").agg(F.min(F.struct("n", "lid")).alias("p"))
     star = live.join(tops, "key").select("lid", "n", F.col("p.lid").alias("p_lid"), F.col("p.n").alias("p_n"))
     stars = staged(_pairs(star, k), "line-stars")
-    links = staged(_verified(stars, texts, k), "line-links")
+    links = staged(_verified(stars, texts, k, least), "line-links")
     parts = staged(connected_components(links), "line-parts")
 
     named = live.join(parts, live["lid"] == parts["node"], "left").select("key", "lid", "n", F.coalesce("component", "lid").alias("c"))
@@ -193,16 +208,16 @@ def line_links(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame
     other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("lid", "n", "c", *[f"s{i}" for i in range(8)])])
     apart = sum((F.abs(F.col(f"s{i}") - F.col(f"p_s{i}")) for i in range(8)), F.lit(0))
     across = _pairs(rest.join(other, "key").where("c < p_c").where(apart <= 2 * k), k).join(stars, ["a", "b"], "left_anti")
-    return connected_components(links.unionByName(_verified(across, texts, k)))
+    return connected_components(links.unionByName(_verified(across, texts, k, least)))
 
 
-def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, text_id, line_no, lid, n of every long line."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, line_no, lid, n of every line that isn't blank."""
 
     def rows(_, doc_id, text):
         out = {c: [] for c in ("doc_id", "text_id", "line_no", "lid", "n")}
         for d, t in zip(doc_id, text, strict=True):
-            lines = long_lines(t, least)
+            lines = long_lines(t, 1)
             own = line_id(t) if lines else 0
             for c, v in zip(out, ([d] * len(lines), [own] * len(lines), [i for i, _ in lines], [line_id(s) for _, s in lines], [len(s) for _, s in lines]), strict=True):
                 out[c] += v
@@ -214,7 +229,7 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, text_id, repeated, copied: each document's lines that repeat its own or an earlier document's, where there are any."""
     parts = staged(line_links(docs, k, least), "line-parts").select(F.col("node").alias("lid"), "component")
-    seen = staged(occurrences(docs, least).distinct(), "occurrences")
+    seen = staged(occurrences(docs).distinct(), "occurrences")
     seen = seen.join(parts, "lid", "left").withColumn("c", F.coalesce("component", "lid")).drop("component")
     doc = F.struct(F.col("doc_id"), F.col("text_id"))
     groups = seen.groupBy("c").agg(F.min(doc).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")

@@ -314,6 +314,27 @@ def test_line_dedup(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() and line_dedup.deduplicated_documents(none).count() == 0
 
 
+def test_short_lines_equal_brute_force(spark):
+    r = random.Random(4)
+    lines = []
+    for n in [3, 12, 18, 19, 20, 21, 22, 30, 38, 39, 40, 41, 42, 43] * 4:
+        base = [r.choice("abcdefg") for _ in range(n)]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice(["", "x", w[at] + "y"])
+            lines.append("".join(w) or "z")
+    lines = sorted(set(lines))
+    near = [(line_dedup.line_id(a), line_dedup.line_id(b)) for i, a in enumerate(lines) for b in lines[i + 1 :] if line_dedup.within(a, b, (0 if (n := min(len(a), len(b))) < 20 else 1 if n < 40 else 2))]
+    df = spark.createDataFrame([(i, "\n".join(lines[i::7])) for i in range(7)], "doc_id long, text string")
+    assert dict(map(tuple, line_dedup.line_links(df).collect())) == components({x for p in near for x in p}, near)
+    own = [" ".join(f"{d}w{i}" for i in range(30)) for d in "abc"]
+    rows = [(1, f"{own[0]}\nAll rights reserved.\nOf."), (2, f"{own[1]}\nOf.\nAll rights reserved!\nNo.\n\nNo.\n"), (3, f"{own[2]}\nof.\n Of. ")]
+    out = {x.doc.doc_id: (x.doc.text, x.lines.n_repeated, x.lines.n_copied) for x in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (rows[0][1], 0, 0), 2: (f"{own[1]}\nNo.\n\n", 1, 2), 3: (f"{own[2]}\nof.", 0, 1)}
+
+
 def best_count(items, capacity):
     items, best = sorted(items, reverse=True), [len(items)]
 
