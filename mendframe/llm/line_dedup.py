@@ -11,8 +11,11 @@ line of it (linear), links are contracted, and only lists of several components
 pairs across them: components are exact.
 
 A class's first line, by doc_id and place, stays. Repeats within a document go. Repeats of
-other documents' lines go as well, unless they make up over half of the document: that is a
-copy of a document, which is the business of document-level joins, and keeps its lines.
+other documents' lines go as well, whatever their share, but for one case: a document over half
+of which is copied (is_copy) keeps its copied lines if it is verified to be a near copy of one
+other document, which document-level joins catch. Verified means that the exact lines that it
+shares with that document, and of which that document has the first, are SAME of the characters
+that the two hold together.
 
 Nulls: a null text has no lines and stays null. A null doc_id comes first in the order. Rows of
 equal doc_id and text are one document and share its decision. Empty tables give no rows.
@@ -33,6 +36,7 @@ EDITS, LEAST = 2, 40
 #: Shorter lines than LEAST, from here on, may differ by one edit.
 ONE = 20
 BITMAP = 1 << 24
+SAME = 0.9
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -227,21 +231,31 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
-    """doc_id, text_id, repeated, copied: each document's lines that repeat its own or an earlier document's, where there are any."""
+    """doc_id, text_id, repeated, copied, their characters, and near_copy: each document's lines that repeat its own or an earlier document's, where there are any, and whether it is a near copy of one other."""
     parts = staged(line_links(docs, k, least), "line-parts").select(F.col("node").alias("lid"), "component")
-    seen = staged(occurrences(docs).distinct(), "occurrences")
-    seen = seen.join(parts, "lid", "left").withColumn("c", F.coalesce("component", "lid")).drop("component")
-    doc = F.struct(F.col("doc_id"), F.col("text_id"))
-    groups = seen.groupBy("c").agg(F.min(doc).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    lines = staged(occurrences(docs).distinct(), "occurrences")
+    seen = lines.join(parts, "lid", "left").withColumn("c", F.coalesce("component", "lid")).drop("component")
+    groups = seen.groupBy("c").agg(F.min(F.struct("doc_id", "text_id", "line_no", "lid")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     own = Window.partitionBy("doc_id", "text_id", "c").orderBy("line_no")
-    both = seen.join(groups, "c").withColumn("nth", F.row_number().over(own))
-    again, elsewhere = F.col("nth") > 1, (F.col("nth") == 1) & ~doc.eqNullSafe(F.col("first"))
-    return both.groupBy("doc_id", "text_id").agg(
+    both = staged(seen.join(groups, "c").withColumn("nth", F.row_number().over(own)), "line-repeats")
+    here = F.struct("doc_id", "text_id").eqNullSafe(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.text_id").alias("text_id")))
+    again, elsewhere = F.col("nth") > 1, (F.col("nth") == 1) & ~here
+    marks = both.groupBy("doc_id", "text_id").agg(
         F.collect_list(F.when(again, F.col("line_no"))).alias("repeated"),
         F.collect_list(F.when(elsewhere, F.col("line_no"))).alias("copied"),
         F.coalesce(F.sum(F.when(again, F.col("n"))), F.lit(0)).alias("repeated_chars"),
         F.coalesce(F.sum(F.when(elsewhere, F.col("n"))), F.lit(0)).alias("copied_chars"),
-    ).where("size(repeated) + size(copied) > 0")
+    )
+    # Characters of distinct lines: all less own repeats.
+    told = lines.select("doc_id", "text_id", "n").unionByName(both.where(again).select("doc_id", "text_id", (-F.col("n")).alias("n")))
+    sizes = told.groupBy("doc_id", "text_id").agg(F.sum("n").alias("chars"))
+    shared = both.where(elsewhere & (F.col("lid") == F.col("first.lid"))).groupBy("doc_id", "text_id", F.col("first.doc_id").alias("o_doc"), F.col("first.text_id").alias("o_text")).agg(F.sum("n").alias("shared"))
+    one, other = sizes.toDF("s_doc", "s_text", "chars"), sizes.toDF("p_doc", "p_text", "o_chars")
+    pairs = shared.join(one, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_id") == F.col("s_text"))).where(F.col("shared") >= SAME * F.col("chars"))
+    pairs = pairs.join(other, F.col("o_doc").eqNullSafe(F.col("p_doc")) & (F.col("o_text") == F.col("p_text"))).where(F.col("shared") >= SAME * (F.col("chars") + F.col("o_chars") - F.col("shared")))
+    near = pairs.select(F.col("doc_id").alias("n_doc"), F.col("text_id").alias("n_text")).distinct().withColumn("near", F.lit(True))
+    known = marks.join(near, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("text_id") == F.col("n_text")), "left")
+    return known.withColumn("near_copy", F.coalesce("near", F.lit(False))).drop("n_doc", "n_text", "near").where("size(repeated) + size(copied) > 0")
 
 
 def deduplicated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -260,7 +274,7 @@ def deduplicated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFra
     zero = lambda c: F.coalesce(F.size(c), F.lit(0))
     copy = F.coalesce(2 * F.col("copied_chars") > F.length("text") - F.col("repeated_chars"), F.lit(False))
     got = got.withColumn("is_copy", copy)
-    drop = F.when(F.col("is_copy"), F.col("repeated")).otherwise(F.concat("repeated", "copied"))
+    drop = F.when(F.col("is_copy") & F.col("near_copy"), F.col("repeated")).otherwise(F.concat("repeated", "copied"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(drop, i))
     text = F.when(F.col("repeated").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     gone = F.coalesce(F.size(drop), F.lit(0))

@@ -335,6 +335,14 @@ def test_short_lines_equal_brute_force(spark):
     assert out == {1: (rows[0][1], 0, 0), 2: (f"{own[1]}\nNo.\n\n", 1, 2), 3: (f"{own[2]}\nof.", 0, 1)}
 
 
+def test_copied_lines_go_from_all_but_near_copies(spark):
+    a, b, c, d, e, f = (ch * 50 for ch in "abcdef")
+    rows = [(1, f"{a}\n{b}"), (2, f"{c}\n{d}"), (3, f"{a}\n{c}\n{e}"), (4, f"{a}\n{b}"), (5, f"{a}\n{f}\n{b}\n{f}"), (6, f"{a}\n{c}"), (None, f)]
+    out = {r.doc.doc_id: (r.doc.text, r.lines.is_copy, r.lines.n_kept) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == (f"{a}\n{b}", False, 2) and out[2] == (f"{c}\n{d}", False, 2) and out[4] == (f"{a}\n{b}", True, 2) and out[None] == (f, False, 1)
+    assert out[3] == (e, True, 1) and out[5] == ("", True, 0) and out[6] == ("", True, 0)
+
+
 def best_count(items, capacity):
     items, best = sorted(items, reverse=True), [len(items)]
 
