@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: ASCII white space, the word separators of every contract here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session of one JVM (tests) gets a temporary one where it is unset."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="mendframe-")
         sc.setCheckpointDir(place)
     return place.rstrip("/")
@@ -33,22 +39,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later result reads."""
+    """Delete a table that staged() wrote and that no later result reads."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: the worker process outlives the task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
-def map_arrow(df: DataFrame, rows: Callable[..., dict], schema: str, *, setup: Callable | None = None, finish: Callable | None = None, limit: int = 2_000_000) -> DataFrame:
+def map_arrow(df: DataFrame, rows: Callable[..., dict], schema: str, *, setup: Callable | None = None, finish: Callable | None = None, limit: int = 1_000_000) -> DataFrame:
     """Apply rows(state, *columns) -> columns to slices of each Arrow batch.
 
-    A slice holds at most about `limit` characters of the last column, so that the
-    working set of a task doesn't depend on how long the texts of a batch are. finish(state)
+    A slice holds at most about `limit` bytes of the last column (one row at least), so that
+    the working set of a task doesn't depend on how long the texts of a batch are. finish(state)
     may give last rows of each partition.
     """
     target = df.sparkSession.createDataFrame([], schema).schema
@@ -62,25 +78,33 @@ def map_arrow(df: DataFrame, rows: Callable[..., dict], schema: str, *, setup: C
             return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for lo, hi in slices(columns[-1], limit):
-                yield batch_of(rows(state, *(c[lo:hi] for c in columns)))
+            for lo, hi in slices(batch.column(batch.num_columns - 1), limit):
+                yield batch_of(rows(state, *(c.to_pylist() for c in batch.slice(lo, hi - lo).columns)))
         if finish:
             yield batch_of(finish(state))
+        state = None
+        release()
 
     return df.mapInArrow(run, target)
 
 
-def slices(texts: Sequence, limit: int) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about `limit` bytes or list items of the column each."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        sizes = pc.binary_length(column)
+    elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        sizes = pc.list_value_length(column)
+    else:
+        sizes = pa.array([1] * len(column))
     lo, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if isinstance(t, (str, bytes, list)) else 1
+    for i, n in enumerate(pc.fill_null(sizes, 0).to_pylist()):
         if held and held + n > limit:
             yield lo, i
             lo, held = i, 0
         held += n
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(column):
+        yield lo, len(column)
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -129,32 +153,33 @@ def shingle_sets(texts: Iterable[str | None], size: int = 5) -> list[np.ndarray]
     return out
 
 
-def spread(df: DataFrame, column: str, most: int = 512, each: int = 20_000) -> list[float]:
-    """Approximate quantiles of a numeric column: cut points of about `each` rows, `most` at most."""
-    n = df.count()
-    parts = max(1, min(most, n // each))
-    return sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-
-
-def bucket_of(column: Column, cuts: list[float]) -> Column:
-    """How many cut points are at or below the value; null counts as the least."""
-    if not cuts:
-        return F.lit(0)
-    points = F.array(*[F.lit(int(c)) for c in cuts])
-    return F.coalesce(F.size(F.filter(points, lambda c: c <= column)), F.lit(0))
+def prefix_sums(df: DataFrame, order: Sequence[str], values: dict[str, str], name: str = "prefix-sums") -> DataFrame:
+    """df with exclusive running sums of columns of longs over a global order (nulls first), by new name.
 
+    Rows are range-partitioned and sorted; each partition sums its own, and the partitions'
+    totals (one row each) give each its start. Staged, so that a partition keeps its rows.
+    """
+    schema = StructType([*df.schema.fields, *[StructField(k, LongType()) for k in values], StructField("_part", IntegerType())])
 
-def prefix_sums(df: DataFrame, order: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """Exclusive running sums over a global order whose first column is numeric.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    Rows are cut into ranges, whose totals (one row a range) give each range its start;
-    only within a range are rows sorted together.
-    """
-    cuts = spread(df, order[0])
-    parts = df.withColumn("_range", bucket_of(F.col(order[0]), cuts))
-    by_range = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("_range").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
-    starts = totals.select("_range", *[F.coalesce(F.sum(f"_{k}").over(by_range), F.lit(0)).alias(f"_{k}") for k in values])
-    inside = Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in values.items()}).join(F.broadcast(starts), "_range")
-    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).drop("_range", *[f"_{k}" for k in values])
+        arrow, part = to_arrow_schema(schema), TaskContext.get().partitionId()
+        sums = dict.fromkeys(values, 0)
+        for b in batches:
+            columns = b.columns
+            for k, v in values.items():
+                x = b.column(b.schema.get_field_index(v)).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = sums[k] + np.cumsum(x)
+                columns.append(pa.array(ends - x))
+                sums[k] = int(ends[-1]) if len(x) else sums[k]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(b.num_rows, part, np.int32))], schema=arrow)
+
+    sorted_ = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    parts = staged(sorted_.mapInArrow(run, schema), name)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part").agg(*[F.max(F.col(k) + F.col(v)).alias(f"_{k}") for k, v in values.items()])
+    starts = totals.select(F.col("_part").alias("_its"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in values])
+    out = parts.join(F.broadcast(starts), F.col("_part") == F.col("_its"))
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).select(*df.columns, *values)

@@ -3,7 +3,8 @@
 Documents are encoded whole, an end id is appended, and a rolling hash over the last 16 ids
 cuts each id stream into chunks. A chunk is stored once under its digest; a document is a
 recipe, the ordered digests of its chunks. Merkle roots (chunk -> document -> groups of
-documents) say what a reader must get back.
+documents) are written with the store: the root of each document in its recipe, those of groups
+in the manifest. A reader makes them anew from the stored chunks and compares.
 
 Nulls: a null text is an empty document (its end id alone); null doc_ids come first in the
 order and keep their own recipes, as do repeated rows. Empty tables give empty stores. Other
@@ -14,12 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, map_arrow, prefix_sums, spread, staged, table, unstage
+from .common import map_arrow, prefix_sums, staged, table, unstage
 from .tokens import encoder, tokenizer_path
 
 #: One random 64-bit number an id, from a fixed seed: every writer must cut alike.
@@ -28,23 +31,24 @@ WINDOW = 16
 LONGEST = 4096
 
 
-def cuts(ids: np.ndarray, bits: int = 9, longest: int = LONGEST) -> np.ndarray:
-    """Ends of the chunks of one id stream: where the hash of the last 16 ids has `bits` leading zeros."""
-    h = _GEAR[ids & 0xFFFF]
+def cuts(ids: np.ndarray, lengths: np.ndarray, bits: int = 9, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, counts) of the chunks of id streams that stand one after the other: where the hash of a stream's last 16 ids has `bits` leading zeros, and chunks of each stream."""
+    last = np.cumsum(lengths)
+    # 16 zeros before each stream keep what precedes it out of its hashes.
+    at = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+    h = np.zeros(len(ids) + WINDOW * (len(lengths) + 1), np.uint64)
+    h[at] = _GEAR[ids & 0xFFFF]
     for step in (1, 2, 4, 8):
-        shifted = np.zeros_like(h)
-        shifted[step:] = h[:-step] << np.uint64(step)
-        h = h + shifted
-    ends = np.flatnonzero((h >> np.uint64(64 - bits)) == 0) + 1
-    ends = np.append(ends[ends < len(ids)], len(ids))
+        h[step:] += h[:-step] << np.uint64(step)
+    ends = np.union1d(np.flatnonzero((h[at] >> np.uint64(64 - bits)) == 0) + 1, last)
     gaps = np.diff(ends, prepend=0)
     if gaps.max(initial=0) > longest:
         ends = np.concatenate([np.append(np.arange(e - g + longest, e, longest), e) for e, g in zip(ends, gaps, strict=True)])
-    return ends
+    return ends, np.diff(np.searchsorted(ends, last, side="right"), prepend=0)
 
 
 def encode_chunks(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, row, seq, digest, n_ids, payload of every chunk; a task sends a chunk's bytes once."""
+    """doc_id, row, seq, digest, n_ids, root (with a document's last chunk), payload of every chunk; a task sends a chunk's bytes once."""
 
     def setup():
         from pyspark import TaskContext
@@ -55,42 +59,47 @@ def encode_chunks(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
     def rows(s, doc_id, text):
         ids, counts = s["e"].encode(text)
-        out = {k: [] for k in ("doc_id", "row", "seq", "digest", "n_ids", "payload")}
-        at = 0
-        for d, n in zip(doc_id, counts.tolist(), strict=True):
-            stream = np.append(ids[at : at + n], np.uint32(end_id))
-            at, lo = at + n, 0
-            raw, w = stream.astype(s["width"]).tobytes(), s["width"].itemsize
-            for seq, hi in enumerate(cuts(stream).tolist()):
-                piece = raw[lo * w : hi * w]
-                digest = hashlib.blake2b(piece, digest_size=16).digest()
-                known = digest in s["seen"]
-                if not known:
-                    if len(s["seen"]) >= 500_000:
-                        s["seen"].clear()
-                    s["seen"].add(digest)
-                for k, v in zip(out, (d, s["row"], seq, digest, hi - lo, None if known else piece), strict=True):
-                    out[k].append(v)
-                lo = hi
-            s["row"] += 1
-        return out
-
-    schema = "doc_id long, row long, seq int, digest binary, n_ids int, payload binary"
+        n = len(doc_id)
+        stream = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype(s["width"])
+        ends, chunks = cuts(stream, counts + 1)
+        raw, w = stream.tobytes(), s["width"].itemsize
+        starts = np.append(0, ends[:-1])
+        pieces = [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist(), strict=True)]
+        digests = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
+        seen = s["seen"]
+        for i, d in enumerate(digests):
+            if d in seen:
+                pieces[i] = None
+            else:
+                seen.add(d)
+        if len(seen) > 500_000:
+            seen.clear()
+        own = np.repeat(np.arange(n), chunks)
+        after = np.cumsum(chunks)
+        roots = [None] * len(digests)
+        for lo, hi in zip((after - chunks).tolist(), after.tolist(), strict=True):
+            roots[hi - 1] = merkle(digests[lo:hi])
+        s["row"] += n
+        return {
+            "doc_id": pa.array(doc_id, pa.int64()).take(pa.array(own)), "row": s["row"] - n + own, "seq": (np.arange(len(own)) - (after - chunks)[own]).astype(np.int32),
+            "digest": digests, "n_ids": (ends - starts).astype(np.int32), "root": roots, "payload": pieces,
+        }
+
+    schema = "doc_id long, row long, seq int, digest binary, n_ids int, root binary, payload binary"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema, setup=setup)
 
 
 def write_store(docs: DataFrame, path: str, end_id: int = 0) -> tuple[DataFrame, DataFrame]:
     """(chunks, recipes) as read back from the store's files.
 
-    chunks: digest, payload, each digest once. recipes: doc_id, row, seq, digest, n_ids, in
-    files of ascending doc_id.
+    chunks: digest, payload, each digest once. recipes: doc_id, row, seq, digest, n_ids, root, in
+    files and rows of ascending doc_id.
     """
     raw = staged(encode_chunks(docs, path, end_id), "chunks-raw")
     first = raw.where("payload is not null").groupBy("digest").agg(F.first("payload").alias("payload"))
     chunks = staged(first, "chunks")
-    points = spread(raw.where("seq = 0"), "doc_id")
-    recipes = raw.drop("payload").withColumn("_range", bucket_of(F.col("doc_id"), points)).repartition("_range")
-    recipes = staged(recipes.sortWithinPartitions("_range", "doc_id", "row", "seq").drop("_range"), "recipes")
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "row", "seq")]
+    recipes = staged(raw.drop("payload").repartitionByRange(*order).sortWithinPartitions(*order), "recipes")
     unstage(raw)
     return chunks, recipes
 
@@ -108,42 +117,27 @@ def read_chunks(chunks: DataFrame, width: int) -> DataFrame:
     return map_arrow(chunks.select("digest", "payload"), rows, "digest binary, n int, crc long")
 
 
-_POLY = 0xEDB88320
+_POLY = np.uint64(0xEDB88320)
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo CRC-32's, bits reflected."""
-    p = 0
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo CRC-32's, bits reflected."""
+    p, one = np.zeros(np.broadcast(a, b).shape, np.uint64), np.uint64(1)
     for i in range(31, -1, -1):
-        if a >> i & 1:
-            p ^= b
-        b = b >> 1 ^ (_POLY if b & 1 else 0)
+        p ^= b * (a >> np.uint64(i) & one)
+        b = b >> one ^ _POLY * (b & one)
     return p
 
 
-class CrcJoin:
-    """crc32 of a concatenation from the parts' crc32 and sizes."""
-
-    def __init__(self):
-        self.powers: dict[int, int] = {}
-
-    def power(self, n_bytes: int) -> int:
-        if n_bytes not in self.powers:
-            if len(self.powers) > 100_000:
-                self.powers.clear()
-            out, base, n = 1 << 31, 1 << 23, n_bytes
-            while n:
-                if n & 1:
-                    out = _times(out, base)
-                base, n = _times(base, base), n >> 1
-            self.powers[n_bytes] = out
-        return self.powers[n_bytes]
-
-    def join(self, parts: list[tuple[int, int]]) -> int:
-        crc = 0
-        for part, n in parts:
-            crc = _times(self.power(n), crc) ^ part
-        return crc
+def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What crc32 values of parts are in a whole that has so many bytes after them; the whole's crc32 is their exclusive or."""
+    base, out = np.array([1 << 23], np.uint64), crc.astype(np.uint64)
+    left = n_bytes.astype(np.int64)
+    while left.any():
+        odd = left & 1 == 1
+        out[odd] = _times(base, out[odd])
+        base, left = _times(base, base), left >> 1
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -157,21 +151,28 @@ def read_documents(chunks: DataFrame, recipes: DataFrame, width: int) -> DataFra
     """doc_id, row, n_tokens, ids_crc32, merkle_root of every document, from the stored bytes.
 
     Stored chunks are read and checked once each; documents take their sizes and checksums
-    along the recipes, so no payload is shuffled.
+    along the recipes, so no payload is shuffled. A document that isn't what its stored root
+    says fails the read.
     """
     facts = read_chunks(chunks, width)
-    whole = recipes.join(facts, "digest").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "crc", "digest"))).alias("parts"), F.sum("n_ids").alias("told"))
-
-    def rows(crcs, doc_id, row, told, parts):
-        if any(sum(p["n"] for p in ps) != t or [p["seq"] for p in ps] != list(range(len(ps))) for t, ps in zip(told, parts, strict=True)):
-            raise ValueError("a recipe's chunks aren't all in the store")
-        return {
-            "doc_id": doc_id, "row": row, "n_tokens": told,
-            "ids_crc32": [crcs.join([(p["crc"], 4 * p["n"]) for p in ps]) for ps in parts],
-            "merkle_root": [merkle([p["digest"] for p in ps]).hex() for ps in parts],
-        }
-
-    return map_arrow(whole.select("doc_id", "row", "told", "parts"), rows, "doc_id long, row long, n_tokens long, ids_crc32 long, merkle_root string", setup=CrcJoin)
+    part = F.struct("seq", "n", "crc", "digest", "root")
+    whole = recipes.join(facts, "digest").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum("n_ids").alias("told"))
+    column = lambda name: F.transform("parts", lambda p: p[name]).alias(name)
+    whole = whole.select("doc_id", "row", "told", F.element_at("parts", -1)["root"].alias("root"), column("seq"), column("n"), column("crc"), column("digest"))
+
+    def rows(_, doc_id, row, told, root, seq, n, crc, digest):
+        chunks = np.array([len(x) for x in seq], np.int64)
+        flat_seq, flat_n, flat_crc = (np.fromiter(chain.from_iterable(x), np.int64, int(chunks.sum())) for x in (seq, n, crc))
+        first = np.cumsum(chunks) - chunks
+        ends = np.cumsum(flat_n)
+        total = ends[first + chunks - 1] - (ends - flat_n)[first]
+        whole = (flat_seq == np.arange(len(flat_seq)) - np.repeat(first, chunks)).all() and total.tolist() == told
+        if not whole or [merkle(d) for d in digest] != root:
+            raise ValueError("a document isn't what its stored root says")
+        after = np.repeat(ends[first + chunks - 1], chunks) - ends
+        return {"doc_id": doc_id, "row": row, "n_tokens": told, "ids_crc32": np.bitwise_xor.reduceat(shifted(flat_crc, 4 * after), first).astype(np.int64), "merkle_root": [x.hex() for x in root]}
+
+    return map_arrow(whole, rows, "doc_id long, row long, n_tokens long, ids_crc32 long, merkle_root string", limit=100_000)
 
 
 def reconstruct(chunks: DataFrame, recipes: DataFrame, width: int) -> DataFrame:
@@ -185,8 +186,8 @@ def reconstruct(chunks: DataFrame, recipes: DataFrame, width: int) -> DataFrame:
 
 
 def manifest(documents: DataFrame, fanout: int = 1024) -> DataFrame:
-    """level, node, root, n: roots over groups of `fanout` documents in store order, then over groups of those, up to one."""
-    level = prefix_sums(documents.withColumn("_one", F.lit(1)), ["doc_id", "row"], {"at": "_one"}).select("at", F.col("merkle_root").alias("root"))
+    """level, node, root, n: roots over groups of `fanout` documents (doc_id, row, merkle_root) in store order, then over groups of those, up to one."""
+    level = prefix_sums(documents.select("doc_id", "row", "merkle_root", F.lit(1).cast("long").alias("_one")), ["doc_id", "row"], {"at": "_one"}, "places").select("at", F.col("merkle_root").alias("root"))
     out, depth = None, 0
     while True:
         depth += 1
@@ -199,11 +200,19 @@ def manifest(documents: DataFrame, fanout: int = 1024) -> DataFrame:
         level = level.select(F.col("node").alias("at"), "root")
 
 
+def verified(read: DataFrame, stored: DataFrame) -> DataFrame:
+    """Documents as read, if they give the stored manifest."""
+    if not manifest(read).exceptAll(stored).isEmpty():
+        raise ValueError("the documents aren't what the stored manifest says")
+    return read
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, size and checksum, read back from its content-addressed files."""
     path = tokenizer_path("byte_bpe_50k.json")
     chunks, recipes = write_store(table(spark, sf_dir, "documents"), path)
-    read = staged(read_documents(chunks, recipes, 2), "documents-read")
+    stored = manifest(recipes.where("root is not null").select("doc_id", "row", F.lower(F.hex("root")).alias("merkle_root")))
+    read = verified(staged(read_documents(chunks, recipes, 2), "documents-read"), stored)
     placed = prefix_sums(read, ["doc_id", "row"], {"start": "n_tokens"})
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32", "merkle_root")
 

@@ -19,15 +19,21 @@ _RUNS = {
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
+#: Longer runs aren't remembered. EACH: bytes that a run takes in the memo, its characters and the tables' places.
+LONGEST, EACH = 64, 220
+
+
 class _Memo(dict):
     """Numbers runs in the order in which they are first asked for; fresh holds those not yet encoded."""
 
     def __init__(self):
         super().__init__()
         self.fresh: list[str] = []
+        self.made = 0
 
     def __missing__(self, run: str) -> int:
-        self[run] = i = len(self)
+        self[run] = i = self.made
+        self.made += 1
         self.fresh.append(run)
         return i
 
@@ -35,11 +41,11 @@ class _Memo(dict):
 class Encoder:
     """encode(texts) -> (ids, counts): the same ids as encoding each whole text.
 
-    Equal runs are encoded once. The memo starts anew beyond `most` runs, so its size is
-    bounded; texts in which runs can't be told apart safely are encoded whole.
+    Equal runs are encoded once. The memo starts anew beyond `most` bytes; it keeps no run of
+    over LONGEST characters. Texts in which runs can't be told apart safely are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,6 +57,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index = _Memo()
+        self.held = 0
         self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _add(self, runs: list[str]) -> None:
@@ -60,21 +67,26 @@ class Encoder:
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.pool = np.concatenate([self.pool, flat])
+        self.held += EACH * len(runs) + 4 * len(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         find = _RUNS[self.spaced].findall
-        if len(self.index) > self.most:
+        if self.held > self.most:
             self._reset()
         runs = [[t] if _ODD.search(t) else find(t) for t in (t or "" for t in texts)]
         bounds = np.cumsum([len(d) for d in runs])
         where = np.fromiter(map(self.index.__getitem__, chain.from_iterable(runs)), np.int64, int(bounds[-1]) if runs else 0)
-        if self.index.fresh:
-            self._add(self.index.fresh)
+        fresh = self.index.fresh
+        if fresh:
+            self._add(fresh)
             self.index.fresh = []
         size = self.lengths[where]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.starts[where] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         total = np.concatenate([[0], ends])[bounds]
+        for r in fresh:
+            if len(r) > LONGEST:
+                del self.index[r]
         return ids, np.diff(total, prepend=0)
 
     def byte_lengths(self) -> np.ndarray:
