@@ -4,10 +4,10 @@ Documents are encoded, an end id is appended, and only what exceeds a sequence i
 packing depends on the pieces' lengths alone, so the search runs over the histogram of
 lengths (at most `capacity` numbers, whatever the corpus): the largest remaining length is
 completed by an undominated filling of what is left around it, and the filling is repeated
-as often as its lengths last. Branch and bound backtracks where the waste exceeds what the
-lower bound on sequences allows; the first descent, whose fillings leave the least waste, is
-the best-fit incumbent. The plan is a few thousand slots, and Spark gives each piece its slot
-by its rank among the pieces of its length.
+as often as its lengths last. Best-fit decreasing gives the incumbent; branch and bound looks
+for fewer sequences only, from the lower bound up, and backtracks where the waste exceeds what
+that number allows. The plan is a few thousand slots, and Spark gives each piece its slot by
+its rank among the pieces of its length.
 
 Nulls: a null text is an empty document, a piece of the end id alone. Repeated rows and null
 doc_ids are documents of their own. Empty tables give no rows. Other columns are ignored.
@@ -133,15 +133,35 @@ def _fillings(top: int, capacity: int, left: _Left, most_waste: int, steps: list
     yield from grow(0, room, ())
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing: each length, from the largest, goes where it leaves the least room. Equal sequences are one entry with their number."""
+    made: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]  # by room left
+    for k in sorted(counts, reverse=True):
+        left, room = counts[k], k
+        while left:
+            while room < capacity and not made[room]:
+                room += 1
+            if room == capacity:
+                made[capacity] = [((), left)]
+            held, n = made[room].pop()
+            each = min(room // k, left)  # the next pieces go to the same sequence as long as they fit
+            m = min(n, left // each)
+            left -= m * each
+            made[room - each * k].append((held + (k,) * each, m))
+            if n > m and room < capacity:
+                made[room].append((held, n - m))
+            made[capacity] = []
+    return [x for same in made for x in same]
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 50_000) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences): as few sequences as the search finds.
+    """(lengths of a sequence, how many such sequences): as few sequences as the search finds, best fit's at most.
 
     It is optimal where the count meets the lower bound or the search ends within `steps`.
     """
     counts = {k: n for k, n in counts.items() if n}
     total, bound = sum(k * n for k, n in counts.items()), lower_bound(counts, capacity)
-    best = _search(_Left(counts, capacity), capacity, sum(counts.values()) * capacity, [steps], whole=True) or []
-    budget = [steps]
+    best, budget = best_fit(counts, capacity), [steps]
     for target in range(bound, sum(m for _, m in best)):
         found = _search(_Left(counts, capacity), capacity, target * capacity - total, budget)
         if found is not None:
@@ -151,11 +171,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 50_000)
     return best
 
 
-def _search(left: _Left, capacity: int, waste: int, steps: list[int], whole: bool = False) -> list[tuple[tuple[int, ...], int]] | None:
-    """A packing within that waste, or None. Depth first; each level holds the fillings not yet tried. whole: never out of steps."""
+def _search(left: _Left, capacity: int, waste: int, steps: list[int]) -> list[tuple[tuple[int, ...], int]] | None:
+    """A packing within that waste, or None. Depth first; each level holds the fillings not yet tried."""
     made: list[tuple[tuple[int, ...], int]] = []
     levels: list[Iterator] = []
-    while whole or steps[0] >= 0:
+    while steps[0] >= 0:
         if len(levels) == len(made):
             if not left.lengths:
                 return made
