@@ -7,8 +7,11 @@ emits, for every length it could match, the substrings at the places where a seg
 (windows aware of how many segments precede); lines that share one are candidates, verified by
 a banded bit-parallel edit distance. Keys hold the length and the segment's number, so lists
 are of lines of like length only. As in the shingle join, each list is first linked to one
-line of it (linear), links are contracted, and only lists of several components give all
-pairs across them: components are exact.
+line of it (linear), links are contracted, and only lists of several components are joined
+with themselves across them: components are exact. Such a list may be long (lines of one
+pattern), so the join's condition holds what an edit can change at most: the parities of the
+counts of letters (two of 64) and of pairs of letters (four of 128). What it lets through is
+little but lines that are alike.
 
 A class's first line, by doc_id and place, stays. Repeats within a document go. Repeats of
 other documents' lines go as well, whatever their share, but for one case: a document over half
@@ -29,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged, table
+from .common import map_arrow, mix, staged, table
 from .graph import connected_components
 
 EDITS, LEAST = 2, 40
@@ -145,16 +148,20 @@ def _keys(docs: DataFrame, k: int, least: int) -> DataFrame:
                 size += [n] * len(got)
         return {"key": np.array(key, np.uint64).view(np.int64), "lid": np.array(lid, np.int64), "n": np.array(size, np.int32)}
 
-    return map_arrow(docs.select("text"), rows, "key long, lid long, n int", setup=lambda: (set(), {}))
+    return map_arrow(docs.select("text"), rows, "key long, lid long, n int", setup=lambda: (set(), {}), limit=250_000)
 
 
-def letter_counts(line: str) -> list[int]:
-    """Characters by 8 classes: an edit moves their sum of differences by 2 at most."""
-    return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) * np.uint32(5) % np.uint32(8), minlength=8).tolist()
+def parities(line: str) -> tuple[int, int, int]:
+    """Whether each of 64 classes of letters, and of 128 of pairs of letters, is held an odd number of times. An edit flips 2 bits of the first and 4 of the others at most."""
+    codes = np.frombuffer(f"\n{line}\n".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    letters = np.bincount((mix(codes[1:-1]) & np.uint64(63)).astype(np.int64), minlength=64)
+    pairs = np.bincount((mix(codes[:-1] << np.uint64(32) | codes[1:]) & np.uint64(127)).astype(np.int64), minlength=128)
+    odd = np.packbits((np.concatenate([letters, pairs]) & 1).astype(np.uint8)).view("<i8")
+    return tuple(odd.tolist())
 
 
 def _texts(docs: DataFrame, live: DataFrame, least: int) -> DataFrame:
-    """lid, line, counts of the lines in live; a bitmap of fixed size keeps most others out of the join."""
+    """lid, line, bits of the lines in live; a bitmap of fixed size keeps most others out of the join."""
     wanted = live.select("lid").distinct()
     cell = F.pmod("lid", F.lit(BITMAP))
     words = wanted.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(lid, {BITMAP}) & 63 as int))")).alias("bits")).toArrow()
@@ -172,10 +179,10 @@ def _texts(docs: DataFrame, live: DataFrame, least: int) -> DataFrame:
                     seen.add(own)
                     lid.append(own)
                     line.append(s)
-        return {"lid": lid, "counts": [letter_counts(x) for x in line], "line": line}
+        return {"lid": lid, "bits": [parities(x) for x in line], "line": line}
 
-    read = map_arrow(docs.select("text"), rows, "lid long, counts array<int>, line string", setup=set)
-    return read.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"), F.first("counts").alias("counts"))
+    read = map_arrow(docs.select("text"), rows, "lid long, bits array<long>, line string", setup=set)
+    return read.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.first("line").alias("line"), F.first("bits").alias("bits"))
 
 
 def _pairs(found: DataFrame, k: int) -> DataFrame:
@@ -207,11 +214,11 @@ def line_links(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame
 
     named = live.join(parts, live["lid"] == parts["node"], "left").select("key", "lid", "n", F.coalesce("component", "lid").alias("c"))
     several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    counts = texts.select("lid", *[F.col("counts")[i].alias(f"s{i}") for i in range(8)])
-    rest = staged(named.join(several, "key", "left_semi").join(counts, "lid"), "line-rest")
-    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("lid", "n", "c", *[f"s{i}" for i in range(8)])])
-    apart = sum((F.abs(F.col(f"s{i}") - F.col(f"p_s{i}")) for i in range(8)), F.lit(0))
-    across = _pairs(rest.join(other, "key").where("c < p_c").where(apart <= 2 * k), k).join(stars, ["a", "b"], "left_anti")
+    rest = staged(named.join(several, "key", "left_semi").join(texts.select("lid", *[F.col("bits")[i].alias(f"b{i}") for i in range(3)]), "lid"), "line-rest")
+    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("lid", "n", "c", "b0", "b1", "b2")])
+    flips = [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"p_b{i}"))) for i in range(3)]
+    able = (F.abs(F.col("n") - F.col("p_n")) <= k) & (flips[0] <= 2 * k) & (flips[1] + flips[2] <= 4 * k)
+    across = _pairs(rest.join(other, "key").where("c < p_c").where(able), k).join(stars, ["a", "b"], "left_anti")
     return connected_components(links.unionByName(_verified(across, texts, k, least)))
 
 
