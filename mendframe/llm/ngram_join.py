@@ -4,17 +4,18 @@ A document's set is its distinct 5-word shingles (as 64-bit hashes). Under any g
 shingles, two sets of similarity t share one of the first n - ceil(t n) + 1 of each. The first
 order is rare-first, by a count of all documents' shingles in a fixed number of cells; its
 prefixes are the postings that are shuffled. Two further orders, ascending and descending
-hash, must also agree before a pair is verified on whole sets: the first quarter of the hash
-space under each, cut to 16 bits a shingle, bounds what a pair can share, and only the sets
-of pairs that this bound leaves are fetched.
+hash, must also agree before the sets of a pair are fetched: every class sends its prefix under
+each, cut to 16 bits a shingle, and a pair must share a shingle of both. Where prefixes hold
+the first quarter of the hash space, they bound how much a pair shares as well.
 
 Texts with equal word sequences form one class from the start. Within a posting list every
 class first meets one class only, that with the fewest rarer shingles (a star, linear in the
 list, around what is nearest to the original of a group of copies); what is linked is
 contracted, and only lists that still hold several components give pairs across them. From
 the long ones of those lists classes go that can't be similar to any other of the list: a
-class overlaps the others at most in the shingles that some other class of long lists has.
-No link between different components is lost, so components are exact.
+class overlaps the others at most in the shingles that some other class of long lists has, and
+two classes of a list at most in what the list's middle has and neither of them lacks, and in
+what each else shares. What a class lacks of the middle is sent as 256 bits. No link between different components is lost, so components are exact.
 
 Nulls and texts without words have an empty set and link with nothing. Documents of fewer than
 5 words have one shingle. Rows with equal doc_id count as separate copies of one document.
@@ -48,26 +49,39 @@ def class_ids(texts: list[str | None]) -> list[int | None]:
     return out
 
 
-def heads(x: np.ndarray) -> bytes:
-    """An ascending set's first quarter of the hash space under either hash order, 16 bits a shingle, after the size of the first."""
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def heads(x: np.ndarray, percent: int = 75) -> bytes:
+    """An ascending set's first shingles under either hash order, the lowest and the highest: its prefix at least, and all of a quarter of the hash space. 16 bits a shingle; those beyond the quarter are cut to one value."""
     low, high = np.searchsorted(x, np.array([1 << 62, 3 << 62], np.uint64)).tolist()
-    cut = (np.concatenate([x[:low], x[high:]]) >> np.uint64(46) & np.uint64(0xFFFF)).astype("<u2")
-    return low.to_bytes(4, "little") + cut.tobytes()
+    keep = min(len(x), prefix_length(len(x), percent))
+    up, down = x[: max(low, keep)], x[::-1][: max(len(x) - high, keep)]
+    cut = np.concatenate([np.minimum(up, np.uint64((1 << 62) - 1)), ~np.maximum(down, np.uint64(3 << 62))]) >> np.uint64(46)
+    return np.array([low, len(x) - high, len(up)], "<u4").tobytes() + cut.astype("<u2").tobytes()
+
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Values of one ascending array that the other has."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
 
-def most_shared(n: int, head: bytes, p_n: int, p_head: bytes) -> int:
-    """At most so many shingles two sets share: those that meet in both heads, and all others of the smaller rest."""
+
+def most_shared(n: int, head: bytes, p_n: int, p_head: bytes, percent: int = 75) -> int:
+    """At most so many shingles two sets share: none to speak of (0) if their prefixes under the second or the third order have none in common, else those of both quarters and the smaller rest."""
     shared, rest, p_rest = 0, n, p_n
-    at, p_at = int.from_bytes(head[:4], "little"), int.from_bytes(p_head[:4], "little")
-    x, y = np.frombuffer(head, "<u2", offset=4), np.frombuffer(p_head, "<u2", offset=4)
-    for a, b in ((x[:at], y[:p_at]), (x[at:], y[p_at:])):
-        rest, p_rest = rest - len(a), p_rest - len(b)
-        if len(a) and len(b):
-            shared += int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    sizes, p_sizes = np.frombuffer(head, "<u4", 3).tolist(), np.frombuffer(p_head, "<u4", 3).tolist()
+    x, y = np.frombuffer(head, "<u2", offset=12), np.frombuffer(p_head, "<u2", offset=12)
+    keep, p_keep = prefix_length(n, percent), prefix_length(p_n, percent)
+    for k, a, b in ((0, x[: sizes[2]], y[: p_sizes[2]]), (1, x[sizes[2] :], y[p_sizes[2] :])):
+        if not _shared(a[:keep], b[:p_keep]):
+            return 0
+        rest, p_rest = rest - sizes[k], p_rest - p_sizes[k]
+        shared += _shared(a[: sizes[k]], b[: p_sizes[k]])
     return shared + min(rest, p_rest)
 
 
-def _signatures(docs: DataFrame, size: int) -> DataFrame:
+def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, cid, n of each document, heads once a class and task and, in a last row of each partition, its counts of shingles by cell."""
 
     def setup():
@@ -79,7 +93,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             s["cells"] += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         ids, head = class_ids(text), []
         for c, x in zip(ids, sets, strict=True):
-            head.append(None if c is None or c in s["seen"] else heads(x))
+            head.append(None if c is None or c in s["seen"] else heads(x, percent))
             s["seen"].add(c)
         return {"doc_id": doc_id, "cid": ids, "n": [len(x) for x in sets], "head": head, "cells": [None] * len(sets)}
 
@@ -89,8 +103,8 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, cid long, n int, head binary, cells binary", setup=setup, finish=finish)
 
 
-def _summed(cells: DataFrame) -> np.ndarray:
-    """Sum of the partitions' counts, in two levels of running sums; one row of fixed size reaches the driver."""
+def _summed(cells: DataFrame, n: int) -> np.ndarray:
+    """Sum of n partitions' counts, a tree of which each node takes some 32; one row of fixed size reaches the driver. A vector is a few hundredths of what a partition reads."""
 
     def total(batches):
         import pyarrow as pa
@@ -101,8 +115,10 @@ def _summed(cells: DataFrame) -> np.ndarray:
                 out += np.frombuffer(zlib.decompress(x), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)])], names=["cells"])
 
-    rows = cells.repartition(32).mapInArrow(total, "cells binary").coalesce(1).mapInArrow(total, "cells binary").collect()
-    return sum((np.frombuffer(zlib.decompress(r[0]), np.int64) for r in rows), np.zeros(CELLS, np.int64))
+    while n > 1:
+        n = -(-n // 32)
+        cells = cells.repartition(n).mapInArrow(total, "cells binary")
+    return sum((np.frombuffer(zlib.decompress(r[0]), np.int64) for r in cells.collect()), np.zeros(CELLS, np.int64))
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -120,7 +136,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> D
         parts = []
         for (c, _), x in zip(picked, sets, strict=True):
             n = len(x)
-            keep = n - -(-percent * n // 100) + 1
+            keep = prefix_length(n, percent)
             often = counts[(x % np.uint64(CELLS)).astype(np.int64)]
             first = np.lexsort((mix(x), often))[:keep]
             parts.append((x[first], np.where(often[first] > hot, 1 + c % SALTS, 0), np.full(keep, c), np.full(keep, n), np.arange(keep)))
@@ -153,13 +169,20 @@ def _star(live: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return live.join(least, keys).select("cid", "n", "pos", F.col("p.cid").alias("p_cid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
 
 
+#: Four longs of bits: which of 256 classes of the middle's shingles a class lacks.
+LACKS = [f"lacks{i}" for i in range(4)]
+
+
 def _across(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components in one list, whose bounds let them be similar.
 
-    core: what a class shares with its list's least class; extra: what else it may share.
+    core: what a class shares with its list's middle, of `whole` shingles, and lacks the others;
+    extra: what else it may share.
     """
-    other = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "pos", "c", "core", "extra")])
-    most = F.least("core", "p_core") + F.least("extra", "p_extra")
+    held = ["cid", "n", "pos", "c", "core", "extra", *LACKS]
+    other = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in held])
+    lacking = sum((F.bit_count(F.col(c).bitwiseOR(F.col(f"p_{c}"))) for c in LACKS), F.lit(0))
+    most = F.least("core", "p_core", F.col("whole") - lacking) + F.least("extra", "p_extra")
     enough = most * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
     return _pairs(rest.join(other, "token").where("c < p_c").where(enough), percent)
 
@@ -189,7 +212,9 @@ def _viable(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> tuple[
     x = sets.select("cid", F.col("tokens").alias("x"))
     y = sets.select(F.col("cid").alias("top"), F.col("tokens").alias("y"))
     met = kept.select("cid", "top").distinct().join(x, "cid").join(y, "top")
-    cores = staged(met.select("cid", "top", F.size(F.array_intersect("x", "y")).alias("core"), (F.size("x") + F.size("y")).alias("both")), "cores")
+    bits = lambda q: f"aggregate(array_except(y, x), 0L, (a, t) -> CASE WHEN (shiftright(t, 6) & 3) = {q} THEN a | shiftleft(1L, cast(t & 63 as int)) ELSE a END)"
+    cores = met.select("cid", "top", F.size(F.array_intersect("x", "y")).alias("core"), (F.size("x") + F.size("y")).alias("both"), F.size("y").alias("whole"), *[F.expr(bits(q)).alias(c) for q, c in enumerate(LACKS)])
+    cores = staged(cores, "cores")
     links = cores.where((F.col("core") * (100 + percent) >= F.col("both") * percent) & (F.col("cid") != F.col("top"))).select(F.col("cid").alias("src"), F.col("top").alias("dst"))
     return kept.join(cores.drop("both"), ["cid", "top"]).withColumn("extra", F.greatest(F.lit(0), F.col("shared") - F.col("core"))), links
 
@@ -231,7 +256,7 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     b = known.select(F.col("cid").alias("b"), F.col("s.n").alias("p_n"), F.col("s.head").alias("p_head"))
 
     def rows(_, a, b, *both):
-        able = [most_shared(n, h, m, g) * (100 + percent) >= (n + m) * percent for n, m, h, g in zip(*both, strict=True)]
+        able = [most_shared(n, h, m, g, percent) * (100 + percent) >= (n + m) * percent for n, m, h, g in zip(*both, strict=True)]
         return {"a": [x for x, ok in zip(a, able, strict=True) if ok], "b": [x for x, ok in zip(b, able, strict=True) if ok]}
 
     return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "n", "p_n", "head", "p_head"), rows, "a long, b long")
@@ -254,8 +279,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    first = staged(_signatures(docs, size), "signatures")
-    counts = _summed(first.where("cells is not null").select("cells"))
+    first = staged(_signatures(docs, size, percent), "signatures")
+    cells = first.where("cells is not null").select("cells")
+    counts = _summed(cells, cells.count())
     sigs = first.where("cells is null").select("doc_id", "cid", "n")
     heads_of = first.where("head is not null").select("cid", "n", "head")
 
@@ -273,7 +299,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
 
     # Lists that still hold several components: every pair across them that may be similar.
     rest = staged(_of_several(live.select("token", "cid", "n", "pos"), parts).distinct(), "rest")
-    across = _across(rest.where(f"m < {LONG_LIST}").withColumns({"core": F.col("n"), "extra": F.lit(0)}), percent)
+    across = _across(rest.where(f"m < {LONG_LIST}").withColumns({"core": F.col("n"), "extra": F.lit(0), "whole": F.col("n"), **dict.fromkeys(LACKS, F.lit(0).cast("long"))}), percent)
     long, met = _viable(docs, rest.where(f"m >= {LONG_LIST}").drop("c", "m"), size, percent)
     links = staged(links.unionByName(met), "links")
     long = _of_several(staged(long, "long"), staged(connected_components(links), "parts"))
