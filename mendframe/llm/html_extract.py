@@ -2,11 +2,13 @@
 
 Parts that structure marks as something else (menus, headers, footers, sidebars, notices,
 adverts, forms, comments) go. The other blocks of every page, marked by an article or main
-element or not, are one token stream; a host's streams are cut into shards of about SHARD
-tokens, each with a suffix array (sorted to RUN tokens by prefix doubling). A run of RUN tokens
-is boilerplate if LEAST_PAGES and LEAST_SHARE of the host's distinct streams hold it. That count
-is over the whole host: a run that meets it has a fair part of it in some shard, which names it
-a candidate by hash; all shards count the host's candidates, and the counts are added up.
+element or not, are one token stream, held as 32 bits of each token's hash. A host's distinct
+streams are cut into shards of about SHARD tokens, each with a suffix array (sorted to RUN
+tokens by prefix doubling). A run of RUN tokens is boilerplate if LEAST_PAGES and LEAST_SHARE of
+the host's distinct streams hold it. That count is over the whole host: a run that meets it has
+a fair part of it in some shard, which names it a candidate by hash; the candidates' streams
+are then counted over all pages by an aggregation. Only hashes are shuffled, and the blocks of
+the pages that hold boilerplate.
 
 Covered runs go, unique runs stay. Article and main elements are a guard only: where a page
 would lose over half of their tokens it is a copy of an article, and keeps them whole.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import _MUL, map_arrow, mix, staged, table, word_hashes
 
 RUN, SHARD, LEAST_PAGES, LEAST_SHARE = 8, 200_000, 3, 0.2
+BITMAP = 1 << 24
 
 # Fixed values of HTML.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -46,6 +49,8 @@ _WORDS = {
     "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "replies", "respond", "widget", "skip", "copyright",
 }
 _HEADER = {"header", "head"}
+#: Those that mark an article element as a reader's comment or as something beside the article.
+_NOT_ARTICLE = {"comment", "comments", "disqus", "replies", "reply", "respond", "related", "recommended", "promo", "promotion", "sponsor", "sponsored", "ad", "ads", "advert", "advertisement", "teaser"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -56,9 +61,11 @@ def _is_other(tag: str, attrs: dict, in_main: bool) -> bool:
         return True
     if (attrs.get("role") or "").lower() in _ROLES:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
     words = {w.lower() for w in _PART.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+    if tag == "article":
+        return bool(words & _NOT_ARTICLE)
     return bool(words & _WORDS) or (not in_main and bool(words & _HEADER))
 
 
@@ -151,12 +158,16 @@ def blocks_of(html: str | None) -> tuple[bool, list[str]]:
     return any(inside), blocks
 
 
-def counted(streams: list[list[str]], kinds: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+def stream_of(blocks: list[str]) -> np.ndarray:
+    """32 bits of each token's hash, over all blocks."""
+    return (word_hashes([w.encode() for b in blocks for w in b.split(" ")]) >> np.uint64(32)).astype("<u4")
+
+
+def counted(streams: list[np.ndarray], kinds: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """Over all streams, each with one place after its end: the run of `run` tokens that starts at each place, and on how many kinds of streams each run is."""
     lengths = np.array([len(s) for s in streams], np.int64)
     # One array of all streams, each ended by a token of its own, so that no run crosses pages.
-    index: dict[str, int] = {}
-    tokens = np.concatenate([np.array([*(index.setdefault(t, len(index)) for t in s), -1 - k], np.int64) for k, s in enumerate(streams)])
+    tokens = np.concatenate([np.append(s.astype(np.int64), -1 - k) for k, s in enumerate(streams)])
     page = np.repeat(np.arange(len(streams)), lengths + 1)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     width = 1
@@ -171,10 +182,10 @@ def counted(streams: list[list[str]], kinds: np.ndarray, run: int = RUN) -> tupl
     return rank, np.bincount(rank[order][first])
 
 
-def run_hashes(streams: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+def run_hashes(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """Over the places of counted(): 64 bits of the run that starts there, and whether it ends on its page."""
     lengths = np.array([len(s) for s in streams], np.int64)
-    h = word_hashes([t.encode() for s in streams for t in [*s, ""]])
+    h = np.concatenate([np.append(s, 0) for s in streams]).astype(np.uint64) if streams else np.empty(0, np.uint64)
     rolled = np.full(len(h), run, np.uint64)
     for i in range(run):
         rolled = mix(rolled ^ np.append(h[i:], np.zeros(min(i, len(h)), np.uint64)) * _MUL[i % len(_MUL)] ^ np.uint64(i))
@@ -193,11 +204,11 @@ def covered(starts: np.ndarray, lengths: list[int], run: int = RUN) -> list[np.n
     return [inside[e - k - 1 : e - 1] for e, k in zip(ends, lengths, strict=True)]
 
 
-def recurring(streams: list[list[str]], run: int = RUN, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> list[np.ndarray]:
+def recurring(streams: list[np.ndarray], run: int = RUN, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> list[np.ndarray]:
     """For each token stream which tokens lie in a run of `run` tokens that recurs on enough distinct streams."""
-    if not any(streams):
+    if not any(map(len, streams)):
         return [np.zeros(0, bool) for _ in streams]
-    kinds = np.unique([hash(tuple(s)) for s in streams], return_inverse=True)[1]
+    kinds = np.unique([hash(s.tobytes()) for s in streams], return_inverse=True)[1]
     rank, on_pages = counted(streams, kinds, run)
     return covered(np.flatnonzero(on_pages[rank] >= max(least, int(np.ceil(share * (kinds.max() + 1))))), [len(s) for s in streams], run)
 
@@ -228,8 +239,61 @@ def main_text(blocks: list[str], inside: list[bool], gone: np.ndarray) -> str:
     return "\n".join(unique_runs(blocks, gone))
 
 
-def _streams(pages: list[dict]) -> list[list[str]]:
-    return [[w for b in p["blocks"] for w in b.split(" ")] for p in pages]
+def _read(tokens: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(t, "<u4") for t in tokens]
+
+
+def _runs(tokens: bytes) -> np.ndarray:
+    """The distinct runs of one stream."""
+    run, ends = run_hashes(_read([tokens]))
+    return np.unique(run[ends])
+
+
+def _cells(runs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the cells of the runs (host, run) set."""
+    cell = F.pmod("run", F.lit(BITMAP))
+    words = runs.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(run, {BITMAP}) & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP >> 6, np.uint64)
+    bitmap[words["w"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _in(bitmap: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    at = runs % BITMAP
+    return bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
+def boilerplate(parsed: DataFrame, size: int = SHARD) -> DataFrame:
+    """host, run of the runs that enough distinct streams of their host hold; parsed: host, kind, n_tokens, tokens."""
+    by_kind = parsed.groupBy("host", "kind").agg(F.first("n_tokens").alias("n"))
+    need = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.count("*") * LEAST_SHARE)).cast("long")
+    hosts = by_kind.groupBy("host").agg((1 + F.floor(F.sum("n") / size)).alias("shards"), need.alias("need"))
+    cut = parsed.select("host", "kind", "tokens").join(hosts, "host").withColumn("shard", F.pmod("kind", F.col("shards")))
+    shards = cut.groupBy("host", "shard", "shards", "need").agg(F.collect_set(F.struct("kind", "tokens")).alias("pages"))
+    shards = shards.select("host", "shards", "need", F.transform("pages", lambda p: p["kind"]).alias("kinds"), F.transform("pages", lambda p: p["tokens"]).alias("pages"))
+
+    def name(_, host, shards, need, kinds, pages):
+        out = {"host": [], "need": [], "run": []}
+        for h, s, t, k, p in zip(host, shards, need, kinds, pages, strict=True):
+            streams = _read(p)
+            rank, on_pages = counted(streams, np.array(k, np.int64))
+            run, ends = run_hashes(streams)
+            found = np.unique(run[ends & (on_pages[rank] >= -(-t // s))])
+            for column, v in zip(out, ([h] * len(found), [t] * len(found), found.tolist()), strict=True):
+                out[column] += v
+        return out
+
+    asked = staged(map_arrow(shards, name, "host string, need long, run long", limit=400).distinct(), "runs-asked")
+    bitmap = _cells(asked)
+
+    def held(_, host, kind, tokens):
+        found = [(lambda r: r[_in(bitmap, r)])(_runs(t)) for t in tokens]
+        n = [len(f) for f in found]
+        return {"host": np.repeat(np.array(host, object), n).tolist(), "kind": np.repeat(np.array(kind, np.int64), n), "run": np.concatenate([np.empty(0, np.int64), *found])}
+
+    on = map_arrow(parsed.select("host", "kind", "tokens"), held, "host string, kind long, run long")
+    counts = on.groupBy("host", "run").agg(F.count_distinct("kind").alias("n"))
+    return staged(counts.join(asked, ["host", "run"]).where("n >= need").select("host", "run"), "runs")
 
 
 def extract(pages: DataFrame, size: int = SHARD) -> DataFrame:
@@ -237,55 +301,42 @@ def extract(pages: DataFrame, size: int = SHARD) -> DataFrame:
 
     def rows(_, page_id, url, html):
         found = [parts_of(h) for h in html]
-        return {"page_id": page_id, "url": url, "blocks": [b for b, _ in found], "inside": [i for _, i in found], "n_tokens": [sum(x.count(" ") + 1 for x in b) for b, _ in found]}
+        tokens = [stream_of(b) for b, _ in found]
+        return {"page_id": page_id, "url": url, "n_tokens": [len(t) for t in tokens], "tokens": [t.tobytes() for t in tokens], "inside": [i for _, i in found], "blocks": [b for b, _ in found]}
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     picked = pages.select(F.col("page_id").cast("long"), "url", "html")
-    read = map_arrow(picked, rows, "page_id long, url string, blocks array<string>, inside array<boolean>, n_tokens long")
-    # Equal streams are one kind of page; equal blocks and marks give one text.
-    parsed = staged(read.withColumns({"host": host, "kind": F.xxhash64(F.array_join("blocks", " ")), "form": F.xxhash64("blocks", "inside")}), "blocks")
-    hosts = parsed.groupBy("host", "kind").agg(F.first("n_tokens").alias("n")).groupBy("host").agg((1 + F.floor(F.sum("n") / size)).alias("shards"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.count("*") * LEAST_SHARE)).alias("need"))
-    cut = parsed.join(hosts, "host").withColumn("shard", F.pmod("kind", F.col("shards")))
-    shards = staged(cut.groupBy("host", "shard", "shards", "need").agg(F.collect_set(F.struct("kind", "form", "blocks", "inside")).alias("pages")), "shards")
-
-    def local(pages):
-        """Hashes of the shard's runs, and on how many kinds of pages each is."""
-        streams = _streams(pages)
-        rank, on_pages = counted(streams, np.array([p["kind"] for p in pages], np.int64))
-        run, ends = run_hashes(streams)
-        at = np.flatnonzero(ends)
-        run, first = np.unique(run[at], return_index=True)
-        return run, on_pages[rank[at[first]]]
-
-    def name(_, host, shards, need, pages):
-        found = [(lambda run, n, k=-(-t // s): run[n >= k])(*local(p)) for s, t, p in zip(shards, need, pages, strict=True)]
-        return {"host": [h for h, f in zip(host, found, strict=True) for _ in f], "run": np.concatenate([np.empty(0, np.int64), *found])}
-
-    def count(_, host, need, asked, pages):
-        out = {"host": [], "need": [], "run": [], "n": []}
-        for h, t, a, p in zip(host, need, asked, pages, strict=True):
-            run, n = local(p)
-            ok = np.isin(run, np.array(a, np.int64))
-            for k, v in zip(out, ([h] * int(ok.sum()), [t] * int(ok.sum()), run[ok].tolist(), n[ok].tolist()), strict=True):
-                out[k] += v
-        return out
-
-    def strip(_, host, runs, pages):
-        out = {"host": [], "form": [], "text": []}
-        for h, r, ps in zip(host, runs, pages, strict=True):
-            streams = _streams(ps)
-            run, ends = run_hashes(streams)
-            gone = covered(np.flatnonzero(ends & np.isin(run, np.array(r or [], np.int64))), [len(s) for s in streams])
-            out["host"] += [h] * len(ps)
-            out["form"] += [p["form"] for p in ps]
-            out["text"] += [main_text(p["blocks"], p["inside"], g) for p, g in zip(ps, gone, strict=True)]
-        return out
-
-    asked = staged(map_arrow(shards.select("host", "shards", "need", "pages"), name, "host string, run long").distinct().groupBy("host").agg(F.collect_list("run").alias("asked")), "runs-asked")
-    counts = map_arrow(shards.join(asked, "host").select("host", "need", "asked", "pages"), count, "host string, need long, run long, n long")
-    runs = staged(counts.groupBy("host", "run", "need").agg(F.sum("n").alias("n")).where("n >= need").groupBy("host").agg(F.collect_list("run").alias("runs")), "runs")
-    texts = map_arrow(shards.join(runs, "host", "left").select("host", "runs", "pages"), strip, "host string, form long, text string")
-    return parsed.select("page_id", "url", "host", "form").join(texts, ["host", "form"]).select("page_id", "url", "text")
+    read = map_arrow(picked, rows, "page_id long, url string, n_tokens long, tokens binary, inside array<boolean>, blocks array<string>")
+    # Equal streams are one kind of page.
+    parsed = staged(read.withColumns({"host": host, "kind": F.xxhash64("tokens")}), "blocks")
+    runs = boilerplate(parsed, size)
+    bitmap = _cells(runs)
+
+    def hit(tokens: bytes) -> bool:
+        return bool(_in(bitmap, _runs(tokens)).any())
+
+    def whole(_, page_id, url, tokens, blocks):
+        kept = [i for i, t in enumerate(tokens) if not hit(t)]
+        return {"page_id": [page_id[i] for i in kept], "url": [url[i] for i in kept], "text": ["\n".join(blocks[i]) for i in kept]}
+
+    def marked(_, page_id, url, host, inside, blocks, tokens):
+        kept = [i for i, t in enumerate(tokens) if hit(t)]
+        return {k: [v[i] for i in kept] for k, v in zip(("page_id", "url", "host", "inside", "blocks", "tokens"), (page_id, url, host, inside, blocks, tokens), strict=True)}
+
+    def strip(_, page_id, url, runs, inside, tokens, blocks):
+        texts = []
+        for r, i, t, b in zip(runs, inside, tokens, blocks, strict=True):
+            run, ends = run_hashes(_read([t]))
+            gone = covered(np.flatnonzero(ends & np.isin(run, np.array(r or [], np.int64))), [len(t) // 4])[0]
+            texts.append(main_text(b, i, gone))
+        return {"page_id": page_id, "url": url, "text": texts}
+
+    kept = map_arrow(parsed.select("page_id", "url", "tokens", "blocks"), whole, "page_id long, url string, text string")
+    cut = map_arrow(parsed.select("page_id", "url", "host", "inside", "blocks", "tokens"), marked, "page_id long, url string, host string, inside array<boolean>, blocks array<string>, tokens binary")
+    # Each run is on a fifth of a host's streams, so a host has few: some five times a stream's at most.
+    of_host = runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    cut = cut.join(of_host, "host", "left").select("page_id", "url", "runs", "inside", "tokens", "blocks")
+    return kept.unionByName(map_arrow(cut, strip, "page_id long, url string, text string"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -468,6 +468,7 @@ def test_sequences_keep_positions_and_captions(spark):
 def test_html_extraction(spark):
     page = "<html><head><title>t</title></head><body><header>h</header><nav>n</nav><div class='cookie-notice'>c</div><article><header><h1>T &amp; u</h1></header><p>a  b<b>c</b><p>d<br>e<aside>s</aside><form>f</form><section class='comments'>r</section></article><footer>z"
     assert html_extract.blocks_of(page) == (True, ["T & u", "a bc", "d", "e"])
+    assert html_extract.blocks_of("<main><p>text<article class='comment reply'>reader</article></main><article class=teaser>more</article><p>body") == (True, ["text", "body"])
     assert html_extract.blocks_of(None) == (False, []) and html_extract.blocks_of("<body><div id=sidebar>x</div><p>y") == (False, ["y"])
     menu, tail = "home news sport weather travel money shop help about us", "all rights are kept by the owner of this fine site"
     rows = [(i, f"https://h.example/{i}", f"<body><div>{menu}</div><p>own text {i} of the page</p><div>{tail}</div>") for i in range(6)]
@@ -496,7 +497,58 @@ def test_recurring_runs_equal_brute_force():
                 if len(on[tuple(s[i : i + 8])]) >= need:
                     c[i : i + 8] = [True] * 8
             want.append(c)
-        assert [list(map(bool, x)) for x in html_extract.recurring(streams)] == want
+        assert [list(map(bool, x)) for x in html_extract.recurring([html_extract.stream_of([" ".join(x)] if x else []) for x in streams])] == want
+
+
+def brute_pages(rows):
+    """Texts of (page_id, url, html), with each host's runs counted in dictionaries."""
+    parts = [(i, (u or "").split("/")[2] if u else "", *html_extract.parts_of(h)) for i, u, h in rows]
+    hosts = collections.defaultdict(set)
+    for _, host, blocks, _ in parts:
+        hosts[host].add(tuple(w for b in blocks for w in b.split(" ")))
+    often = {}
+    for host, streams in hosts.items():
+        n = collections.Counter(run for s in streams for run in {s[i : i + 8] for i in range(len(s) - 7)})
+        often[host] = {run for run, k in n.items() if k >= max(3, int(np.ceil(0.2 * len(streams))))}
+    out = []
+    for i, host, blocks, inside in parts:
+        words, cut = [w for b in blocks for w in b.split(" ")], set()
+        for at in range(len(words) - 7):
+            if tuple(words[at : at + 8]) in often[host]:
+                cut |= set(range(at, at + 8))
+        held = [k for b, m in zip(blocks, inside) for k in [m] * len(b.split(" "))]
+        if 2 * sum(held[k] for k in cut) > sum(held):
+            cut = {k for k in cut if not held[k]}
+        kept, at = [], 0
+        for b in blocks:
+            own = b.split(" ")
+            flags = "".join("x" if at + k in cut else "." for k in range(len(own)))
+            at += len(own)
+            if "." not in flags:
+                continue
+            for m in re.finditer("x+", flags):
+                if m.end() - m.start() >= 8:
+                    own[m.start() : m.end()] = [None] * (m.end() - m.start())
+            if any(own):
+                kept.append(" ".join(filter(None, own)))
+        out.append((i, "\n".join(kept)))
+    return out
+
+
+def test_pages_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    notice, r = "this site keeps your choices for a year unless you say otherwise", random.Random(3)
+    for i in range(40):  # pages of two hosts, some without marks, with a notice that structure doesn't mark
+        body = " ".join(r.choice("abcdefghij") + str(r.randrange(50)) for _ in range(r.randrange(0, 60)))
+        inner = f"<p>{body}</p><p>{notice if i % 3 else ''} {i}</p>"
+        rows.append((1000 + i, f"https://x{i % 2}.example/{i}", inner if i % 4 else f"<article>{inner}<article class='comment'>no</article></article>"))
+    rows += [(None, None, None), (1, rows[0][1], "")]
+    df = spark.createDataFrame([(*x, "extra", 1) for x in rows], "page_id long, url string, html string, host string, runs int")
+    want = sorted(brute_pages(rows), key=repr)
+    assert sum(notice in t for _, t in want) < 3
+    for size in (html_extract.SHARD, 300):
+        assert sorted(((x.page_id, x.text) for x in html_extract.extract(df, size).collect()), key=repr) == want
 
 
 def test_host_runs_reach_marked_pages(spark):
