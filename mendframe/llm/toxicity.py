@@ -7,10 +7,11 @@ class prior p the risk of a classifier g is
 
 whose second part estimates the loss on clean text and is kept from going negative. l is the
 logistic loss, so sigmoid(g) is a probability. The model is linear in log(1 + count) of words
-that are commoner in positives than in unlabelled text, learned in numpy on a sample bounded
-by MOST_POSITIVE and MOST_UNLABELLED documents; every document is scored. Hidden positives
-make nnPU scores low, so the bias is set last: the cut that parts confirmed toxic from at
-most MOST_POSITIVE confirmed clean documents best (F1) gets the score THRESHOLD.
+and of beginnings of words (languages that inflect and compound vary the rest) that are
+commoner in positives than in unlabelled text, learned in numpy on a sample bounded by
+MOST_POSITIVE and MOST_UNLABELLED documents; every document is scored. Hidden positives make
+nnPU scores low, so the bias is set last: the cut that parts confirmed toxic from at most
+MOST_POSITIVE confirmed clean documents best (F1) gets the score THRESHOLD.
 
 Labels, language, source and id are never inputs of a score. Rows whose crc32(doc_id) mod 3
 is 1 are held out: neither their labels nor their texts are learned from. Nulls: a null text
@@ -22,6 +23,7 @@ scores 0. Repeated rows score alike; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,33 +31,58 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 
-MOST_POSITIVE, MOST_UNLABELLED, MOST_WORDS = 8_000, 24_000, 512
+MOST_POSITIVE, MOST_UNLABELLED = 8_000, 24_000
 THRESHOLD = 0.7
-#: Words are runs of letters, lower-cased.
+#: Words are runs of letters, lower-cased; their beginnings have so many letters.
 _WORDS = re.compile(r"[^\W\d_]+")
+STEMS = range(3, 8)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def counts_of(texts: list[str | None], index: dict[str, int]) -> np.ndarray:
-    """log(1 + count) of the model's words in each text."""
-    out = np.zeros((len(texts), len(index)), np.float32)
-    for row, t in zip(out, texts, strict=True):
-        for w in filter(index.__contains__, _WORDS.findall((t or "").lower())):
-            row[index[w]] += 1
-    return np.log1p(out)
+def features(word: str) -> list[str]:
+    """The word, and its beginnings marked by a sign that no word has."""
+    return [word, *(f"<{word[:k]}" for k in STEMS if k < len(word))]
 
 
-def learn_nnpu(x: np.ndarray, n: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier of least nnPU risk, by Adam on whole batches. The first n rows are the positives."""
-    w, rest = np.zeros(x.shape[1] + 1), len(x) - n
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def counts_of(texts: list[str | None], index: dict[str, int], known: dict[str, list[int]] | None = None) -> Rows:
+    """(text, feature, log(1 + count)) of the model's features in texts. known: features of words met before."""
+    known = {} if known is None else known
+    row, column = [], []
+    for i, t in enumerate(texts):
+        for w, n in Counter(_WORDS.findall((t or "").lower())).items():
+            own = known.get(w)
+            if own is None:
+                if len(known) > 200_000:
+                    known.clear()
+                own = known[w] = [index[f] for f in features(w) if f in index]
+            for k in own:
+                row += [i] * n
+                column += [k] * n
+    if not row:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    key, count = np.unique(np.array(row, np.int64) * len(index) + np.array(column, np.int64), return_counts=True)
+    return key // len(index), key % len(index), np.log1p(count).astype(np.float32)
+
+
+def values(x: Rows, w: np.ndarray, n: int) -> np.ndarray:
+    """The products of n sparse rows with the weights."""
+    return np.bincount(x[0], x[2] * w[x[1]], n)
+
+
+def learn_nnpu(x: Rows, size: int, width: int, n: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear classifier of least nnPU risk on `size` rows of `width` features, by Adam on whole batches. The first n rows are the positives."""
+    w, rest = np.zeros(width + 1), size - n
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
-        g = x @ w[:-1].astype(np.float32) + w[-1]
-        s = 1 / (1 + np.exp(-g.astype(np.float64)))
+        g = values(x, w[:-1], size) + w[-1]
+        s = 1 / (1 + np.exp(-g))
         # d/dg of softplus(-g) is s - 1, of softplus(g) is s
         clean = np.logaddexp(0, g[n:]).mean() - prior * np.logaddexp(0, g[:n]).mean()
         grad = np.zeros(len(g))
@@ -65,7 +92,7 @@ def learn_nnpu(x: np.ndarray, n: int, prior: float, steps: int = 400, rate: floa
         else:  # step back from overfitting: raise the negative part again
             grad[:n] = prior * s[:n] / n
             grad[n:] = -s[n:] / rest
-        d = np.append(x.T @ grad.astype(np.float32), grad.sum()).astype(np.float64)
+        d = np.append(np.bincount(x[1], x[2] * grad[x[0]], width), grad.sum())
         d[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * d, 0.999 * second + 0.001 * d * d
         w -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -102,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     def words(_, kind, text):
         out = {"pos": [], "word": []}
         for k, t in zip(kind, text, strict=True):
-            own = set(_WORDS.findall((t or "").lower())) if k < 2 else ()
+            own = {f for w in set(_WORDS.findall((t or "").lower())) for f in features(w)} if k < 2 else ()
             out["pos"] += [k == 1] * len(own)
             out["word"] += own
         return out
@@ -111,60 +138,58 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     df = map_arrow(sample, words, "pos boolean, word string").groupBy("word").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u"))
     share_p, share_u = (F.col("p") / n_pos), (F.col("u") + 1) / (n_unl + 2)
     excess = (share_p - share_u) / F.sqrt(share_u * (1 - share_u) / n_pos)
-    chosen = [r["word"] for r in df.where(F.col("p") >= 3).withColumn("z", excess).where("z > 3").orderBy(F.desc("z"), "word").limit(MOST_WORDS).collect()]
+    # What a hundredth of the positives hold (three at least), far oftener than other text; of a bounded sample, so bounded.
+    chosen = sorted(r["word"] for r in df.where(F.col("p") >= max(3, n_pos / 100)).withColumn("z", excess).where("z > 4").select("word").collect())
     if not chosen:
         return [], np.empty(0), float(np.log(prior / (1 - prior)))
     index = {w: i for i, w in enumerate(chosen)}
 
     def vectors(_, kind, text):
-        return {"kind": kind, "x": [np.round(v * 16).astype(np.uint8).tobytes() for v in counts_of(text, index)]}
+        row, column, value = counts_of(text, index)
+        ends = np.searchsorted(row, np.arange(len(text) + 1))
+        return {"kind": kind, "columns": [column[a:b].astype("<i4").tobytes() for a, b in zip(ends, ends[1:])], "x": [value[a:b].tobytes() for a, b in zip(ends, ends[1:])]}
 
-    rows = map_arrow(sample, vectors, "kind int, x binary").toArrow()
-    kind = rows["kind"].to_numpy()
-    packed = rows["x"].to_pylist()
-    del rows
+    rows = map_arrow(sample, vectors, "kind int, columns binary, x binary").toArrow()
     # Positives, unlabelled, confirmed clean, in this order.
+    kind = rows["kind"].to_numpy()
     order = np.argsort(np.array([1, 0, 2])[kind], kind="stable")
-    x = np.empty((len(kind), len(chosen)), np.float32)
-    for row, i in zip(x, order.tolist(), strict=True):
-        row[:] = np.frombuffer(packed[i], np.uint8)
-    del packed
-    x /= 16
+    columns, xs = (rows[c].take(order).to_pylist() for c in ("columns", "x"))
+    x = np.repeat(np.arange(len(kind)), [len(c) // 4 for c in columns]), np.frombuffer(b"".join(columns), "<i4").astype(np.int64), np.frombuffer(b"".join(xs), np.float32)
     n, m = int((kind == 1).sum()), int((kind < 2).sum())
-    weights, bias = learn_nnpu(x[:m], n, float(prior))
-    if m < len(x):
-        g = x @ weights.astype(np.float32) + bias
+    held = int(np.searchsorted(x[0], m))
+    weights, bias = learn_nnpu((x[0][:held], x[1][:held], x[2][:held]), m, len(chosen), n, float(prior))
+    if m < len(kind):
+        g = values(x, weights, len(kind)) + bias
         bias += shift(g[:n], g[m:])
     return chosen, weights, bias
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
-    """docs with score and predicted; docs must end in text."""
+    """doc, a struct of the row, with score and predicted; docs must have text."""
     chosen, weights, bias = model
     index = {w: i for i, w in enumerate(chosen)}
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    names = docs.columns
+    packed = docs.select(F.struct("*").alias("doc"), F.col("text"))
 
-    def rows(_, *columns):
-        g = counts_of(columns[-1], index) @ weights + bias if chosen else np.full(len(columns[-1]), bias)
+    def rows(known, doc, text):
+        g = values(counts_of(text, index, known), weights, len(text)) + bias if chosen else np.full(len(text), bias)
         s = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-        return dict(zip(names, columns, strict=True)) | {"score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
+        return {"doc": doc, "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
 
-    return map_arrow(docs, rows, fields + ", score double, predicted int")
+    return map_arrow(packed, rows, f"doc {packed.schema['doc'].dataType.simpleString()}, score double, predicted int", setup=dict)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = score(docs, model).select("doc.doc_id", "score", "predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
     model = learn(docs.select(F.col("doc_id").cast("long"), "text"), labels)
-    rest = [c for c in docs.columns if c != "text"]
-    return score(docs.select(*rest, "text"), model).where("predicted = 0").select(*docs.columns)
+    return score(docs, model).where("predicted = 0").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}
