@@ -8,12 +8,15 @@ steps: steps are ranked by a fixed hash, and a text of n characters keeps those
 above, which leaves at most KEEP. Samples of a higher level are a subset of a lower one's, so
 texts of different lengths compare at the higher level.
 
-Likeness is the share of equal samples, of the longer's. Banding joins texts whose bands of
-sampled steps agree (near copies agree in some), and pairs are verified by likeness.
+Likeness is the share of equal samples, of the longer's. Banding joins texts one of whose BANDS
+bands of WIDTH sampled steps agrees: at likeness 0.75 that is 94 in 100, more above. Pairs are
+verified by likeness. Each band's list is first linked to one text of it, links are contracted,
+and lists that still hold several components are joined with themselves across them, under a
+bound on the samples' lowest bits: no pair of a list is left out.
 
 Nulls: a null text is empty, its fingerprint "0:", like another empty text 1 and any other 0. Rows
-of equal doc_id are ordered by text. Null doc_ids come first. A single row is its own next.
-Empty tables give no rows. Other columns are ignored.
+of equal doc_id are ordered by text. Null doc_ids come first; a component of them alone has the
+id null. A single row is its own next. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from .common import map_arrow, mix, staged, table
 from .graph import connected_components
 
 KEEP = 256
+WIDTH, BANDS = 7, 20
 BLOCK = 1 << 12
 _CLASS = (mix(np.arange(1, 1 << 16, dtype=np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
@@ -201,54 +205,111 @@ def fingerprints_with_next(docs: DataFrame, together: int = 4_000_000) -> DataFr
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     found = staged(ordered.mapInArrow(run, schema), "fingerprints")
     whole = found.where("part is null").drop("part", "first_text", "last_text")
-    edges = found.where("part is not null").groupBy("part").agg(F.max("doc_id").alias("doc_id"), F.max("first_text").alias("first_text"), F.max("last_text").alias("text"))
+    edges = found.where("part is not null")
+    ends = edges.where("last_text is not null").select("part", "doc_id", F.col("last_text").alias("text"))
+    # Which partition comes next: a row of numbers for each; texts then meet by a join.
     by_part = Window.orderBy("part")
-    first = F.first("first_text").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    edges = edges.select("doc_id", F.coalesce(F.lead("first_text").over(by_part), first).alias("following"), "text")
-    return whole.unionByName(map_arrow(edges, lambda _, i, following, text: _facts(i, text, following), _ROW))
-
-
-def band_keys(fp: tuple[int, np.ndarray], width: int = 6, bands: int = 16) -> list[tuple[int, int, str]]:
-    """(level, band, samples): bands of sampled steps spread over the walk; also at the next higher level, for texts just longer."""
-    out = []
-    for level in (fp[0], fp[0] + 1):
-        s = fp[1] if level == fp[0] else fp[1][_at_level(fp[0], level, len(fp[1]))]
-        pick = np.random.Generator(np.random.PCG64([7, level])).integers(0, KEEP // 2, (bands, width))
-        for band, at in enumerate(pick):
-            got = s[at[at < len(s)]]
-            if len(got) == width or len(s) <= KEEP // 4:
-                out.append((level, band, bytes(got.tolist()).hex()))
+    least = F.min("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = ends.select("part").withColumn("next", F.coalesce(F.lead("part").over(by_part), least))
+    firsts = edges.where("first_text is not null").select(F.col("part").alias("next"), F.col("first_text").alias("following"))
+    pairs = ends.join(following, "part").join(firsts, "next").select("doc_id", "following", "text")
+    return whole.unionByName(staged(map_arrow(pairs, lambda _, i, following, text: _facts(i, text, following), _ROW), "fingerprints-at-edges"))
+
+
+@functools.lru_cache(maxsize=64)
+def _band_steps(level: int) -> np.ndarray:
+    """For each band which samples of that level it takes."""
+    return np.random.Generator(np.random.PCG64([7, level])).integers(0, KEEP // 2, (BANDS, WIDTH))
+
+
+def band_keys(fp: tuple[int, np.ndarray]) -> list[int]:
+    """A 64-bit key of level, band and samples for each band; also of the next higher level, if texts a third longer are there."""
+    out, (own, samples) = [], fp
+    for level in (own, own + 1) if 3 * KEEP < 5 * len(samples) else (own,):
+        s = samples if level == own else samples[_at_level(own, level, len(samples))]
+        if len(s) <= KEEP // 4:  # short texts have bands of what is there
+            steps = _band_steps(level) % max(1, len(s))
+            bands = s[steps] if len(s) else np.empty((0, WIDTH), np.uint8)
+            out += [_key(len(s) // 8 + up, level, k, b) for k, b in enumerate(bands) for up in (0, 1)]
+            continue
+        steps = _band_steps(level)
+        for k in np.flatnonzero((steps < len(s)).all(axis=1)).tolist():
+            out.append(_key(0, level, k, s[steps[k]]))
     return out
 
 
+def _key(group: int, level: int, band: int, samples: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(bytes([group & 255, level, band]) + samples.tobytes())).view(np.int64))
+
+
 def similar_by_fingerprint(fps: DataFrame, least: float = 0.75) -> DataFrame:
-    """doc_id, component_id of rows (doc_id, fingerprint): linked are equal fingerprints, and those whose bands agree with a band's least and whose likeness is enough."""
-    classes = fps.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-
-    def rows(_, rep, fp):
-        out = {k: [] for k in ("rep", "key", "fp")}
-        for r, f in zip(rep, fp, strict=True):
-            for key in band_keys(parse(f)) if f != "0:" else []:
-                for k, v in zip(out, (r, "%d.%d.%s" % key, f), strict=True):
-                    out[k].append(v)
+    """doc_id, fingerprint, component_id of rows (doc_id, fingerprint): the least doc_id of those linked. Linked are equal fingerprints, and those of a common band key whose likeness is enough."""
+    named = fps.select("doc_id", "fingerprint", F.xxhash64("fingerprint").alias("cid"))
+    classes = named.groupBy("cid").agg(F.min("doc_id").alias("rep"))
+
+    def keys_of(seen, cid, fp):
+        out = {"key": [], "cid": []}
+        for c, f in zip(cid, fp, strict=True):
+            if c not in seen and f != "0:":
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(c)
+                got = set(band_keys(parse(f)))
+                out["key"] += got
+                out["cid"] += [c] * len(got)
         return out
 
-    keys = staged(map_arrow(classes.select("rep", F.col("fingerprint").alias("fp")), rows, "rep long, key string, fp string"), "bands")
-    tops = keys.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("p"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.join(tops, "key").where("rep <> p.rep").select("rep", F.col("p.rep").alias("top"), F.col("p.fp").alias("q"), "fp").distinct()
-
-    def verify(_, rep, top, q, fp):
-        ok = [i for i in range(len(rep)) if likeness(parse(q[i]), parse(fp[i])) >= least]
-        return {"src": [rep[i] for i in ok], "dst": [top[i] for i in ok]}
+    keys = map_arrow(named.select("cid", F.col("fingerprint").alias("fp")), keys_of, "key long, cid long", setup=set)
+    span = Window.partitionBy("key")
+    live = staged(keys.withColumns({"lo": F.min("cid").over(span), "hi": F.max("cid").over(span)}).where("lo <> hi").select("key", "cid", "lo").distinct(), "bands")
+
+    def bits_of(_, cid, fp):
+        out = {"cid": cid, "level": [], "m": [], "bits": [], "fp": fp}
+        for f in fp:
+            level, s = parse(f)
+            out["level"].append(level)
+            out["m"].append(len(s))
+            out["bits"].append(np.packbits(np.resize(np.append(s[:KEEP] & 1, np.zeros(KEEP, np.uint8)), KEEP)).view("<i8").tolist())
+        return out
 
-    parts = connected_components(map_arrow(pairs, verify, "src long, dst long"))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return fps.select("doc_id", "fingerprint").join(named, "fingerprint").select("doc_id", "component_id")
+    distinct = named.join(live.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("fingerprint").alias("fp"))
+    known = staged(map_arrow(distinct, bits_of, "cid long, level int, m int, bits array<long>, fp string"), "band-texts")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(known.select(F.col("cid").alias("a"), F.col("fp").alias("x")), "a").join(known.select(F.col("cid").alias("b"), F.col("fp").alias("y")), "b")
+
+        def verify(_, a, b, x, y):
+            ok = [i for i in range(len(a)) if likeness(parse(x[i]), parse(y[i])) >= least]
+            return {"src": [a[i] for i in ok], "dst": [b[i] for i in ok]}
+
+        return map_arrow(both.select("a", "b", "x", "y"), verify, "src long, dst long")
+
+    stars = staged(live.where("cid <> lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).distinct(), "band-stars")
+    links = staged(linked(stars), "band-links")
+    parts = staged(connected_components(links), "band-parts")
+    held = live.join(parts, live["cid"] == parts["node"], "left").select("key", "cid", F.coalesce("component", "cid").alias("c"))
+    several = held.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+    sketch = known.select("cid", "level", "m", *[F.col("bits")[i].alias(f"b{i}") for i in range(4)])
+    rest = staged(held.join(several, "key", "left_semi").join(sketch, "cid"), "band-rest")
+    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("cid", "c", "level", "m", "b0", "b1", "b2", "b3")])
+    # Samples that differ in their lowest bit differ. Of different levels, the bits say nothing.
+    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"p_b{i}"))) for i in range(4)), F.lit(0))
+    able = (F.col("level") != F.col("p_level")) | (differ <= (1 - least) * F.greatest("m", "p_m"))
+    across = rest.join(other, "key").where("c < p_c").where(able).select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b"))
+    parts = connected_components(links.unionByName(linked(across.distinct().join(stars, ["a", "b"], "left_anti"))))
+    members = parts.join(classes, parts["node"] == classes["cid"]).select("cid", "component", "rep")
+    names = members.groupBy("component").agg(F.min("rep").alias("name"))
+    own = classes.join(members.join(names, "component").select("cid", "name"), "cid", "left").select("cid", F.coalesce("name", "rep").alias("component_id"))
+    return named.join(own, "cid").select("doc_id", "fingerprint", "component_id")
 
 
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text."""
-    return fingerprints_with_next(table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and of its edited text, and the component of documents that bands and verification link."""
+    found = fingerprints_with_next(table(spark, sf_dir, "documents"))
+    groups = similar_by_fingerprint(found.select("doc_id", "fingerprint")).select(F.xxhash64("fingerprint").alias("_cid"), "component_id").distinct()
+    return found.join(groups, F.xxhash64("fingerprint") == F.col("_cid")).drop("_cid")
 
 
 QUERIES = {"op9_edit_fingerprints": op9_edit_fingerprints}
