@@ -1,76 +1,206 @@
-"""Repair of damaged JSON text as one Column expression.
+"""Repair of damaged JSON text: one Arrow pass, linear in the text.
 
-The text is cut into tokens by one regular expression; a pass over the token array drops
-comments and stray commas, quotes bare keys and spells literals, and a fold over the brackets
-appends the closers that are missing. What comes out is JSON text for from_json,
-try_parse_json or get_json_object. It stays in the JVM and needs no schema.
-
-Differences from a recursive parser: a value that is no literal becomes null (an error there),
-unknown characters are dropped, brackets that close nothing are dropped.
+A small reader per text takes one token at a time and keeps the containers that are open. It
+forgives: code fences, prose and comments around the JSON, bare keys, stray and missing commas
+and closers, half-written literals and strings, and spellings of booleans. Text that is JSON
+already comes back as it is.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-#: Strings (the last may lack its end), comments, words, numbers, brackets and separators; all else is skipped.
-TOKEN = r'"(?:[^"\\]|\\.)*"?|//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?|[A-Za-z_$][A-Za-z0-9_$]*|-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[{}\[\]:,]'
-TRUE, FALSE = ["yes", "y", "on"], ["no", "off"]
-
-
-def body(c: Column) -> Column:
-    """The text in a json code fence, or all of it; from its first bracket on."""
-    trimmed = F.trim(c)
-    fenced = F.regexp_extract(c, r"(?s)```json[^\n]*\n(.*?)(?:```|$)", 1)
-    inner = F.when(trimmed.rlike(r'^[{\["]') | (fenced == ""), c).otherwise(fenced)
-    return F.regexp_extract(F.regexp_replace(inner, r"(?s)^\s*(?://[^\n]*\n\s*|/\*.*?\*/\s*)+", ""), r"(?s)([{\[].*)$", 1)
-
-
-def _word(t: Column) -> Column:
-    low = F.lower(t)
-    return (
-        F.when(low.isin(*TRUE) | F.lit("true").startswith(t), "true")
-        .when(low.isin(*FALSE) | F.lit("false").startswith(t), "false")
-        .otherwise("null")
-    )
-
-
-def _spelt(tokens: Column) -> Column:
-    """Each token as JSON writes it, given its neighbours; dropped tokens become empty."""
-
-    def one(t: Column, i: Column) -> Column:
-        following, before = F.get(tokens, i + 1), F.get(tokens, i - 1)
-        ends = following.isNull() | following.isin("}", "]", ",") | before.isNull() | before.isin("{", "[")
-        string = F.when((F.length(t) > 1) & t.endswith('"') & ~t.rlike(r'(?s)(?<!\\)(?:\\\\)*\\"$'), t).otherwise(F.concat(F.regexp_replace(t, r"\\$", ""), F.lit('"')))
-        string = F.replace(F.replace(string, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-        number = F.regexp_replace(F.regexp_replace(t, r"^(-?)\.", "$10."), r"\.(?=$|[eE])", "")
-        return (
-            F.when(t == ",", F.when(ends, "").otherwise(","))
-            .when(t == ":", F.when(following.isNull() | following.isin("}", "]", ","), ":null").otherwise(":"))
-            .when(t.isin("{", "}", "[", "]"), t)
-            .when(t.startswith('"'), string)
-            .when(t.rlike(r"^[-.\d]"), number)
-            .when(following == ":", F.concat(F.lit('"'), t, F.lit('"')))
-            .otherwise(_word(t))
-        )
-
-    return F.transform(tokens, one)
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+LONGEST = 16 * 1024 * 1024
+DEEPEST = 512
+# Spellings of booleans, in any case.
+TRUE, FALSE = {"yes", "y", "on"}, {"no", "off"}
+
+_TOKEN = re.compile(r'[ \t\r\n]+|//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<mark>[{}\[\]:,])|"(?P<string>(?:[^"\\]|\\.)*)(?:"|\\?\Z)|(?P<number>[-\d]\d*(?:\.\d*)?(?:[eE][+-]?\d*)?)|(?P<word>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<other>.)', re.S)
+_OUTSIDE = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|([{\[])', re.S)
+_SPACE = re.compile(r"(?:\s|//[^\n]*|/\*.*?(?:\*/|\Z))*", re.S)
+_FENCE = re.compile(r"```json[^\n]*\n(.*?)(?:```|\Z)", re.S)
+_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
+_PAIR = re.compile(r"[\ud800-\udbff][\udc00-\udfff]")
+_PARSED = StructType([StructField("json", StringType()), StructField("code", StringType()), StructField("errors", ArrayType(StringType()))])
+_LETTERS = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+
+def _string(raw: str) -> str:
+    """A string's text: escapes spelt out, half surrogates left out."""
+    if "\\" not in raw:
+        return raw
+    out = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else "\\u" if m[2] == "u" else _LETTERS.get(m[2], m[2]), raw)
+    out = _PAIR.sub(lambda m: m[0].encode("utf-16", "surrogatepass").decode("utf-16"), out)
+    return "".join(c for c in out if not "\ud800" <= c <= "\udfff")
+
+
+def _number(raw: str) -> int | float:
+    for kind in (int, float):
+        try:
+            value = kind(raw)
+        except ValueError:
+            continue
+        if kind is float or -(1 << 63) <= value < 1 << 63:
+            return value if abs(value) != float("inf") else 0
+    return 0
+
+
+def _literal(word: str) -> object:
+    """The value of a literal, of its beginning or of another spelling; Ellipsis if it is none."""
+    low = word.lower()
+    if "true".startswith(word) or low in TRUE:
+        return True
+    if "false".startswith(word) or low in FALSE:
+        return False
+    return None if len(word) > 1 and "null".startswith(word) else ...
+
+
+def _around(text: str, at: int) -> str:
+    """An error's place: 10 characters before it and 20 after."""
+    lo, hi = max(0, at - 10), min(len(text), at + 20)
+    return "..." * (lo > 0) + text[lo:at] + "→" + text[at:hi] + "..." * (hi < len(text))
+
+
+def _primitive(text: str) -> tuple[object, bool]:
+    """(value, whether the text starts with one that is no container); what follows it is ignored."""
+    m = _TOKEN.match(text)
+    if m and m.lastgroup == "string":
+        return _string(m["string"]), True
+    if m and m.lastgroup == "number":
+        return _number(m["number"]), True
+    for k, v in (("true", True), ("false", False), ("null", None)):
+        if text.startswith(k) or k.startswith(text) and (v is not None or len(text) > 1):
+            return v, True
+    low = text.lower()
+    return (True, True) if low in TRUE else (False, True) if low in FALSE else (None, False)
+
+
+def _read(text: str, at: int) -> tuple[object, list[str]]:
+    """(value, what was expected at each error) of the container at that place."""
+    errors: list[str] = []
+    root: object = None
+    open_: list[list] = []  # container, key, state: key, colon or value
+
+    def put(value: object) -> None:
+        nonlocal root
+        if not open_:
+            root = value
+        elif isinstance(open_[-1][0], list):
+            open_[-1][0].append(value)
+        else:
+            open_[-1][0][open_[-1][1]] = value
+            open_[-1][2] = "key"
+
+    def expected(what: str, place: int) -> None:
+        errors.append(f"{what} at {_around(text, place)}")
+
+    while True:
+        m = _TOKEN.match(text, at)
+        if not m:
+            break
+        kind, here = m.lastgroup, at
+        at = m.end()
+        if kind is None:
+            continue
+        got = m[kind]
+        while open_ and open_[-1][2] != "value":  # keys; what can't be one ends the object and is its holder's
+            held = open_[-1]
+            if held[2] == "key":
+                if got == "," and kind == "mark" or got == "}" and kind == "mark":
+                    break
+                if kind in ("string", "word"):
+                    held[1], held[2] = _string(got) if kind == "string" else got, "colon"
+                    got = None
+                    break
+                expected("string key", here)
+            elif kind == "mark" and got == ":":
+                held[2] = "value"
+                got = None
+                break
+            else:
+                expected("':'", here)
+            open_.pop()
+            if not open_:
+                return root, errors
+        if got is None:
+            continue
+        in_list = bool(open_) and isinstance(open_[-1][0], list)
+        if kind == "mark" and got in "{[":
+            if len(open_) >= DEEPEST:
+                expected("fewer levels", here)
+                break
+            new: object = {} if got == "{" else []
+            put(new)
+            open_.append([new, None, "key" if got == "{" else "value"])
+        elif kind == "mark" and got in "}],":
+            if open_ and not in_list and open_[-1][2] == "value":  # no value: null, and the mark counts for the object
+                put(None)
+            if got != "," and open_ and (got == "]") == in_list:
+                open_.pop()
+                if not open_:
+                    break
+        elif kind == "string":
+            put(_string(got))
+        elif kind == "number":
+            put(_number(got))
+        elif kind == "word" and _literal(got) is not ...:
+            put(_literal(got))
+        else:
+            expected(f"unquoted string '{got}'" if kind == "word" else "value", here)
+            if kind == "word":
+                put(None)
+                at = next((i for i in range(at, len(text)) if text[i] in ",}]"), len(text))
+    return root, errors
+
+
+def read(text: str | None) -> tuple[str | None, str | None, list[str]]:
+    """(JSON text or None, code of failure or None, errors met on the way)."""
+    if text is None:
+        return None, None, []
+    if len(text.encode("utf-8", "replace")) > LONGEST:
+        return None, "P003", ["input within 16MB"]
+    try:
+        json.loads(text, parse_constant=_Strange)
+        return text.strip(), None, []
+    except (ValueError, RecursionError):
+        pass
+    bare = text.strip()
+    fence = None if bare[:1] in ("{", "[", '"') else _FENCE.search(text)
+    body = fence[1].strip() if fence else bare
+    if not body:
+        return None, "P001", ["empty input"]
+    value, simple = _primitive(body)
+    errors: list[str] = []
+    if not simple:
+        start = next((m.start() for m in _OUTSIDE.finditer(body) if m[1]), None)
+        if start is None:
+            value, simple = _primitive(body[_SPACE.match(body).end() :] or "?")
+            if not simple:
+                return None, "P002", ["JSON value"]
+        else:
+            value, errors = _read(body, start)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")), None, errors
+
+
+class _Strange(ValueError):
+    """NaN and infinities, which JSON lacks."""
+
+    def __init__(self, name: str):
+        raise ValueError(name)
+
+
+@F.pandas_udf(_PARSED)
+def parsed(texts: pd.Series) -> pd.DataFrame:
+    """json (null on failure), code (P001 empty, P002 no value, P003 too large) and what was expected at each error."""
+    return pd.DataFrame([read(t) for t in texts], columns=["json", "code", "errors"])
 
 
 def repair(c: Column) -> Column:
-    """JSON text, or null where the text holds no bracket."""
-    tokens = F.filter(F.regexp_extract_all(body(c), F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike("^(//|/\\*)"))
-    # What is open after each token, innermost first, and the text so far.
-    start = F.struct(F.lit("").alias("open"), F.lit("").alias("text"))
-
-    def step(acc: Column, t: Column) -> Column:
-        top = F.substring(acc["open"], 1, 1)
-        done = (acc["text"] != "") & (acc["open"] == "")
-        closes = t.isin("}", "]")
-        opened = F.when(t == "{", F.concat(F.lit("}"), acc["open"])).when(t == "[", F.concat(F.lit("]"), acc["open"])).when(closes & (t == top), F.substring(acc["open"], 2, 1 << 30)).otherwise(acc["open"])
-        text = F.when(closes & (t != top), acc["text"]).otherwise(F.concat(acc["text"], t))
-        return F.struct(F.when(done, acc["open"]).otherwise(opened).alias("open"), F.when(done, acc["text"]).otherwise(text).alias("text"))
-
-    out = F.aggregate(_spelt(tokens), start, step, lambda acc: F.concat(acc["text"], acc["open"]))
-    return F.nullif(out, F.lit(""))
+    """JSON text, or null where the text holds no value."""
+    return parsed(c)["json"]
