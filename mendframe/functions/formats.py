@@ -12,8 +12,8 @@ PATTERNS = {
     "email": r"(?i)^[a-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?$",
     "idn-email": r"^.+@([^<>()\[\].,;:\s@]+\.)+[^<>()\[\].,;:\s@]{2,}$",
     "uri": r"(?i)^[a-z][a-z0-9+\-.]*:.+$",
-    "url": r"(?i)^https?://[^\s/$.?#][^\s]*$",
-    "uri-template": r"(?i)^([^\x00-\x20<>%\\^`|{}]|%[0-9a-f]{2}|\{[+#./;?&=,!@|]?[a-z0-9_,%]+\})*$",
+    "url": r"(?i)^https?://[^\s/$.?#].[^\s]*$",
+    "uri-template": r"(?i)^([^\x00-\x20<>%\\^`|]|%[0-9a-f]{2}|\{[+#./;?&=,!@|]?[a-z0-9_,%]+\})*$",
     "iri": r"^[A-Za-z][\d+\-.A-Za-z]*:[^\x00-\x20<>\\^`|]*$",
     "uuid": r"(?i)^(?:urn:uuid:)?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$",
     "date-time": r"(?i)^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])[T\s]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,9})?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])$",
@@ -36,24 +36,41 @@ def ipv6(c: Column) -> Column:
     s = F.when(v4 != "", F.regexp_replace(c, r"[^:]+$", "0:0")).otherwise(c)
     groups = F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
     short = s.contains("::")
-    shape = s.rlike("(?i)^(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?(::)?(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?$")
+    shape = s.rlike("(?i)^(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?(::)?(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?\\z")
     return shape & F.when(short, groups <= 7).otherwise(groups == 8)
 
 
+def _whole(pattern: str) -> str:
+    """The pattern with an end that no line feed may follow: Java's $ lets one."""
+    return pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
+
+
+def regex(c: Column) -> Column:
+    """Whether a text can be a regular expression: no lone backslash at its end, brackets closed, nothing repeated where nothing stands."""
+    bare = F.regexp_replace(c, r"(?s)\\.", "x")
+    classes = F.regexp_replace(bare, r"\[\^?\]?[^\]]*\]", "x")
+    steps = F.transform(F.split(F.regexp_replace(classes, "[^()]", ""), ""), lambda p: F.when(p == "(", 1).when(p == ")", -1).otherwise(0))
+    # The depth, or a large negative number once a bracket closes nothing.
+    depth = F.aggregate(steps, F.lit(0), lambda d, p: F.when(d + p < 0, F.lit(-1 << 20)).otherwise(d + p))
+    return ~bare.endswith("\\") & ~classes.contains("[") & (depth == 0) & ~classes.rlike(r"^[*+?]|[(|][*+]|\|\?")
+
+
 def is_format(c: Column, name: str) -> Column:
     """Whether the text has the format; unknown formats accept all, none accepts more than LONGEST bytes."""
     name = {"datetime": "date-time", "iri-reference": "iri"}.get(name, name)
     if name == "uri-reference":
-        ok = (c == "") | c.rlike(PATTERNS["uri"]) | c.rlike("^[/#?]")
+        ok = (c == "") | c.rlike(_whole(PATTERNS["uri"])) | c.rlike("^[/#?]")
     elif name == "idn-hostname":
         label = lambda x: (F.length(x) > 0) & (F.octet_length(x) <= 63) & ~x.startswith("-") & ~x.endswith("-")
         ok = (c != "") & (F.octet_length(c) <= 253) & F.forall(F.split(c, r"\."), label)
     elif name == "duration":
-        ok = c.rlike(PATTERNS[name]) & ~c.isin("P", "PT")
+        ok = c.rlike(_whole(PATTERNS[name])) & ~c.isin("P", "PT")
     elif name == "hostname":
-        ok = c.rlike(PATTERNS[name]) & (F.octet_length(F.regexp_replace(c, r"\.$", "")) <= 253)
+        ok = c.rlike(_whole(PATTERNS[name])) & (F.octet_length(F.regexp_replace(c, r"\.$", "")) <= 253)
     elif name == "ipv6":
         ok = ipv6(c)
+    elif name == "regex":
+        ok = regex(c)
     else:
-        ok = c.rlike(PATTERNS[name]) if name in PATTERNS else F.lit(True)
+        ok = c.rlike(_whole(PATTERNS[name])) if name in PATTERNS else F.lit(True)
     return (F.octet_length(c) <= LONGEST) & ok

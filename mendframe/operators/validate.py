@@ -129,17 +129,25 @@ def prompt_hints(df: DataFrame) -> DataFrame:
     return by_field.unionByName(by_class.select(F.format_string("%s: %d errors — %s", "class", "n", text).alias("hint")))
 
 
+def _note(errors: Column) -> Column:
+    """Errors as JSON objects, with their descriptions where they have one."""
+    said = lambda e: F.when(e["description"].isNotNull(), F.concat(F.lit(',"description":"'), F.replace(F.replace(e["description"], F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))).otherwise("")
+    return F.transform(errors, lambda e: F.concat(F.lit('{"path":"'), e["path"], F.lit('","expected":"'), e["expected"], F.lit('"'), said(e), F.lit("}")))
+
+
 def feedback(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """keys, feedback: an invalid record as fenced JSON, each broken field followed by its errors in a comment."""
+    """keys, feedback: an invalid record as fenced JSON, each broken field followed by its errors in a comment; errors of other fields in a list below."""
 
     def line(name: str) -> Column:
         own = F.filter("errors", lambda e: e["path"] == f"$input.{name}")
-        note = F.array_join(F.transform(own, lambda e: F.concat(F.lit('{"path":"'), e["path"], F.lit('","expected":"'), e["expected"], F.lit('"}'))), ",")
         value = F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))
         shown = F.when(F.col(name).isNull(), "undefined").otherwise(value)
-        return F.concat(F.lit(f'  "{name}": '), shown, F.lit("" if name == names[-1] else ","), F.when(F.size(own) > 0, F.concat(F.lit(" // ❌ ["), note, F.lit("]"))).otherwise(""))
+        return F.concat(F.lit(f'  "{name}": '), shown, F.lit("" if name == names[-1] else ","), F.when(F.size(own) > 0, F.concat(F.lit(" // ❌ ["), F.array_join(_note(own), ","), F.lit("]"))).otherwise(""))
 
-    text = F.concat(F.lit("```json\n{\n"), F.concat_ws("\n", *[line(n) for n in names]), F.lit("\n}\n```"))
+    other = F.filter("errors", lambda e: ~e["path"].isin(*[f"$input.{n}" for n in names]))
+    bare = F.transform(other, lambda e: F.concat(F.lit('\n  {"path":"'), e["path"], F.lit('","expected":"'), e["expected"], F.lit('"}')))
+    rest = F.when(F.size(other) > 0, F.concat(F.lit("\n\n**Unmappable validation errors:**\n```json\n["), F.array_join(bare, ","), F.lit("\n]\n```"))).otherwise("")
+    text = F.concat(F.lit("```json\n{\n"), F.concat_ws("\n", *[line(n) for n in names]), F.lit("\n}\n```"), rest)
     return df.where(~F.col("valid")).select(*keys, text.alias("feedback"))
 
 
@@ -158,41 +166,102 @@ def compressed(df: DataFrame, keys: list[str], text: str, most: int = 20) -> Dat
     return whole.select(*keys, F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias(text))
 
 
-def compile_rule(logic: object, record: Column | None = None) -> Column:
-    """A JSONLogic rule as a Column over the record's columns: variables, arithmetic, comparison, boolean and conditional operators.
+def truthy(c: Column) -> Column:
+    """Whether a value of any type counts as true: all but null, false, 0, an empty text and an empty array."""
+    text = F.to_json(c.cast("variant"))
+    return F.coalesce(~text.isin("null", "false", '""', "[]") & ~text.rlike(r"^-?0(\.0+)?(E-?\d+)?\z"), F.lit(False))
+
+
+_BOOLEAN = {"==", "===", "!=", "!==", "<", "<=", ">", ">=", "and", "or", "!", "!!", "in", "some", "all", "none"}
+_NUMERIC = {"+", "-", "*", "/", "%", "min", "max"}
+
+
+def _result(logic: object) -> str:
+    """The kind of value that a rule gives, as far as it tells: a column's isn't known."""
+    if isinstance(logic, dict) and len(logic) == 1:
+        op = next(iter(logic))
+        return "boolean" if op in _BOOLEAN else "number" if op in _NUMERIC else "string" if op in ("cat", "substr") else op
+    return "boolean" if isinstance(logic, bool) else "number" if isinstance(logic, (int, float)) else "string" if isinstance(logic, str) else "null" if logic is None else "list"
+
+
+def _equal(a: Column, b: Column, left: object, right: object) -> Column:
+    """Equality; beside a constant the other side is read as its type."""
+    kinds = {_result(left), _result(right)}
+    if kinds & {"number"}:
+        return a.try_cast("double").eqNullSafe(b.try_cast("double"))
+    if kinds & {"string", "boolean"}:
+        return a.cast("string").eqNullSafe(b.cast("string"))
+    return a.eqNullSafe(b)
 
-    Raises ValueError on an operator that isn't known; the caller reports that as a violation.
+
+def compile_rule(logic: object, record: Column | None = None, columns: list[str] | None = None) -> Column:
+    """A JSONLogic rule as a Column over the record's columns: variables, arithmetic, comparison, boolean, conditional and array operators.
+
+    columns: those there are; a variable that isn't among them is null. Raises ValueError on an
+    operator that isn't known; the caller reports that as a violation.
     """
+    if isinstance(logic, list):
+        return F.array(*[compile_rule(x, record, columns) for x in logic])
     if not isinstance(logic, dict):
         return F.lit(logic)
     (op, args), = logic.items()
+    inner = lambda x: compile_rule(x, record, columns)
+    known = lambda name: columns is None or record is not None or str(name).split(".")[0] in columns
+    value = lambda name: (F.col(str(name)) if record is None else record if name == "" else record[name]) if known(name) else F.lit(None)
+    listed = args if isinstance(args, list) else [args]
     if op == "var":
-        name = args[0] if isinstance(args, list) else args
-        column = F.col(name) if record is None else record[name]
-        return F.coalesce(column, F.lit(args[1])) if isinstance(args, list) and len(args) > 1 else column
-    parts = [compile_rule(a, record) for a in (args if isinstance(args, list) else [args])]
+        name = listed[0] if listed else ""
+        return F.coalesce(value(name), F.lit(listed[1])) if len(listed) > 1 else value(name)
+    if op in ("missing", "missing_some"):
+        names = listed[1] if op == "missing_some" else listed
+        lost = F.filter(F.array(*[F.when(value(n).isNull() | (value(n).cast("string") == ""), F.lit(n)) for n in names]), lambda x: x.isNotNull())
+        return lost if op == "missing" else F.when(F.lit(len(names)) - F.size(lost) >= listed[0], F.array().cast("array<string>")).otherwise(lost)
+    if op in ("some", "all", "none", "map", "filter"):
+        items = inner(listed[0])
+        each = lambda e: compile_rule(listed[1], e, columns)
+        if op == "map":
+            return F.transform(items, each)
+        if op == "filter":
+            return F.filter(items, lambda e: truthy(each(e)))
+        any_ = F.coalesce(F.exists(items, lambda e: truthy(each(e))), F.lit(False))
+        return any_ if op == "some" else ~any_ if op == "none" else F.coalesce(F.forall(items, lambda e: truthy(each(e))) & (F.size(items) > 0), F.lit(False))
+    if op == "reduce":
+        items = inner(listed[0])
+        return F.aggregate(items, inner(listed[2]).cast("double"), lambda acc, e: compile_rule(listed[1], F.struct(e.alias("current"), acc.alias("accumulator")), columns).cast("double"))
+    if op == "in" and isinstance(listed[1], list):
+        return inner(listed[0]).isin(*listed[1])
+    parts = [inner(a) for a in listed]
     chain = lambda f: f(parts[0], parts[1]) & f(parts[1], parts[2]) if len(parts) == 3 else f(parts[0], parts[1])
     if op in ("==", "==="):
-        return parts[0].eqNullSafe(parts[1])
+        return _equal(*parts, *listed)
     if op in ("!=", "!=="):
-        return ~parts[0].eqNullSafe(parts[1])
+        return ~_equal(*parts, *listed)
     compare = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
     if op in compare:
+        if any(_result(x) == "number" for x in listed):
+            parts = [p.try_cast("double") for p in parts]
         return F.coalesce(chain(compare[op]), F.lit(False))
     if op in ("and", "or"):
-        out = parts[0]
-        for p in parts[1:]:
-            out = out & p if op == "and" else out | p
+        out = truthy(parts[0]) if _result(listed[0]) != "boolean" else parts[0]
+        for p, x in zip(parts[1:], listed[1:], strict=True):
+            right = p if _result(x) == "boolean" else truthy(p)
+            out = out & right if op == "and" else out | right
         return out
     if op in ("!", "!!"):
-        return ~F.coalesce(parts[0].cast("boolean"), F.lit(False)) if op == "!" else F.coalesce(parts[0].cast("boolean"), F.lit(False))
-    if op == "if":
-        out = parts[-1] if len(parts) % 2 else F.lit(None)
+        return ~truthy(parts[0]) if op == "!" else truthy(parts[0])
+    if op in ("if", "?:"):
+        if len(parts) == 1:
+            return parts[0]
+        results = [x for i, x in enumerate(listed) if i % 2 or i == len(listed) - 1]
+        mixed = len({_result(x) for x in results} - {"null"}) > 1
+        as_one = lambda c: c.cast("variant") if mixed else c
+        out = as_one(parts[-1]) if len(parts) % 2 else F.lit(None)
         for i in range(len(parts) - 2 - len(parts) % 2, -1, -2):
-            out = F.when(parts[i], parts[i + 1]).otherwise(out)
+            out = F.when(truthy(parts[i]), as_one(parts[i + 1])).otherwise(out)
         return out
-    fold = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / F.nullif(b, F.lit(0)), "%": lambda a, b: a % F.nullif(b, F.lit(0))}
+    fold = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / F.nullif(b, F.lit(0.0)), "%": lambda a, b: a % F.nullif(b, F.lit(0.0))}
     if op in fold:
+        parts = [p if _result(x) == "number" else p.try_cast("double") for p, x in zip(parts, listed, strict=True)]
         out = -parts[0] if op == "-" and len(parts) == 1 else parts[0]
         for p in parts[1:]:
             out = fold[op](out, p)
@@ -200,32 +269,37 @@ def compile_rule(logic: object, record: Column | None = None) -> Column:
     if op in ("min", "max"):
         return (F.least if op == "min" else F.greatest)(*parts) if len(parts) > 1 else parts[0]
     if op == "in":
-        return F.contains(parts[1], parts[0]) if not isinstance(args[1], list) else parts[0].isin(*args[1])
+        return F.contains(parts[1].cast("string"), parts[0].cast("string"))
     if op == "cat":
         return F.concat_ws("", *[p.cast("string") for p in parts])
+    if op == "merge":
+        return F.concat(*[p if _result(x) in ("list", "missing", "merge", "map", "filter", "var") else F.array(p) for p, x in zip(parts, listed, strict=True)])
     if op == "substr":
-        start = args[1] + 1 if args[1] >= 0 else args[1]
-        return F.substring(parts[0].cast("string"), start, args[2] if len(args) > 2 else 1 << 30)
-    if op in ("missing", "missing_some"):
-        names = args[1] if op == "missing_some" else args if isinstance(args, list) else [args]
-        lost = F.filter(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names]), lambda x: x.isNotNull())
-        return lost if op == "missing" else F.when(F.lit(len(names)) - F.size(lost) >= args[0], F.array().cast("array<string>")).otherwise(lost)
+        start, text = listed[1], parts[0].cast("string")
+        tail = F.substring(text, start + 1 if start >= 0 else start, 1 << 30)
+        return tail if len(listed) < 3 else F.substring(tail, F.lit(1), F.lit(listed[2]) if listed[2] >= 0 else F.length(tail) + listed[2])
     raise ValueError(f"unknown operator {op}")
 
 
-def rule_errors(rules: list[tuple[str, object]]) -> Column:
-    """Descriptions of the rules that a record breaks; a rule that can't be evaluated breaks."""
+def rule_errors(rules: list[tuple[str, object]], columns: list[str] | None = None) -> Column:
+    """Descriptions of the rules that a record breaks; a rule that can't be evaluated breaks. columns: the record's, so that other names are null."""
     found = []
     for description, logic in rules:
         try:
-            ok = F.coalesce(compile_rule(logic).cast("boolean"), F.lit(False))
-            found.append(F.when(~ok, F.lit(description)))
+            found.append(F.when(~truthy(compile_rule(logic, columns=columns)), F.lit(description)))
         except ValueError as e:
             found.append(F.lit(f"{description}: rule evaluation error: {e}"))
     return F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast("array<string>")
 
 
+def cross_field_document(relations: Column, rules: Column) -> Column:
+    """The violations as one JSON document with codes REL001 and RULE001; null where there are none."""
+    entry = lambda code: lambda m: F.struct(F.lit(code).alias("code"), m.alias("message"))
+    both = F.concat(F.transform(relations, entry("REL001")), F.transform(rules, entry("RULE001")))
+    return F.when(F.size(both) > 0, F.to_json(F.struct(F.lit("Cross-field constraints violated").alias("feedback"), both.alias("diagnostics"))))
+
+
 def guard(df: DataFrame, schema: dict, relations: list, rules: list) -> DataFrame:
     """df with errors, relation and rule violations, and whether the record passes all."""
-    out = validated(df, schema).withColumns({"relations": relation_errors(relations), "rules": rule_errors(rules)})
+    out = validated(df, schema).withColumns({"relations": relation_errors(relations), "rules": rule_errors(rules, df.columns)})
     return out.withColumn("passes", F.col("valid") & (F.size("relations") + F.size("rules") == 0))

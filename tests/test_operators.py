@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mendframe.functions.coerce import to_boolean, to_enum, to_number
 from mendframe.functions.formats import is_format
 from mendframe.functions.guards import sanitized, url_code
-from mendframe.functions.repair import repair
+from mendframe.functions.repair import parsed, repair
 from mendframe.operators import schemas as S
 from mendframe.operators import validate as V
 from mendframe.streaming.quality import repair_loop, route, windowed_rates
@@ -29,6 +29,12 @@ def test_repair_recovers(spark):
         if want is not None:
             assert json.loads(got) == want, text
     assert apply(spark, [None, "", "no brackets", "   "], repair) == [None] * 4
+    simple = {"42 apples": "42", '"a" b': '"a"', "tru": "true", "Off": "false", "// c\n nul": "null", ' {"a": [1, 2.50]} ': '{"a": [1, 2.50]}', 'say "{x}": {"b":1,}': '{"b":1}', "{1:2}": "{}", '{"a": "\\ud800x"': '{"a":"x"}'}
+    assert apply(spark, list(simple), repair) == list(simple.values())
+    long = "[" + ",".join('{a: "x", b: yes,}' for _ in range(20000))
+    assert len(json.loads(apply(spark, [long], repair)[0])) == 20000
+    codes = [tuple(r[0]) for r in column(spark, ['{"a" 1}', "{1:2}", "", "x", None]).orderBy("i").select(F.struct(parsed("v")["code"], F.size(parsed("v")["errors"]))).collect()]
+    assert codes == [(None, 1), (None, 1), ("P001", 1), ("P002", 1), (None, 0)]
 
 
 def test_coercions(spark):
@@ -41,6 +47,7 @@ def test_formats(spark):
     for name, good, bad in [
         ("email", "a.b@c.io", "a@b"), ("ipv4", "192.168.0.1", "1.2.3.256"), ("ipv6", "fe80::1", "1:2:3"), ("ipv6", "::ffff:1.2.3.4", ":::"), ("duration", "P1DT2H", "P"), ("uuid", "urn:uuid:00000000-0000-0000-0000-000000000000", "0"),
         ("date", "2024-02-31", "2024-13-01"), ("json-pointer", "/a~1b", "a"), ("byte", "aGk=", "a"), ("idn-hostname", "bücher.de", "-a.de"), ("hostname", "a-b.c", "a_b"), ("uri-reference", "#x", "x y"),
+        ("date", "2024-01-01", "2024-01-01\n"), ("url", "http://ab", "http://a"), ("regex", "a(b|[c)])*\\(", "(["), ("regex", "", "a\\"), ("regex", "(?:x)+", "*a"), ("regex", "()", ")("), ("ipv6", "::1", "::1\n"),
     ]:
         assert apply(spark, [good, bad], lambda c: is_format(c, name)) == [True, False], name
     assert apply(spark, ["x" * 10001, "x"], lambda c: is_format(c, "password")) == [False, True]
@@ -69,10 +76,35 @@ def test_random_rows_satisfy_their_schema(spark):
 
 
 def test_rules(spark):
-    df = spark.createDataFrame([(1, 5.0, None), (2, 0.0, "x")], "id int, a double, s string")
+    df = spark.createDataFrame([(1, 5.0, None, ["a"]), (2, 0.0, "x", [])], "id int, a double, s string, l array<string>")
+    odd = "odd: rule evaluation error: unknown operator no_such"
     rules = [("positive", {">": [{"var": "a"}, 0]}), ("odd", {"no_such": [1]}), ("has s", {"!": [{"missing": ["s"]}]})]
-    got = [r[0] for r in df.orderBy("id").select(V.rule_errors(rules[:2])).collect()]
-    assert got == [["odd: rule evaluation error: unknown operator no_such"], ["positive", "odd: rule evaluation error: unknown operator no_such"]]
+    got = [r[0] for r in df.orderBy("id").select(V.rule_errors(rules)).collect()]
+    assert got == [[odd, "has s"], ["positive", odd]]
+
+
+def test_rules_by_type(spark):
+    df = spark.createDataFrame([("shipped", None, 3.0, 0, ""), ("shipped", "T1", 0.0, 7, "x"), ("new", None, None, None, None)], "status string, tracking string, total double, n int, t string")
+    shipped = {"if": [{"==": [{"var": "status"}, "shipped"]}, {"!!": [{"var": "tracking"}]}, True]}
+    cases = [
+        (shipped, [False, True, True]), ({"!!": [{"var": "n"}]}, [False, True, False]), ({"!": [{"var": "t"}]}, [True, False, True]), ({"var": "total"}, [True, False, False]), ({"var": "no_such"}, [False] * 3),
+        ({"if": [{"var": "tracking"}, {"var": "tracking"}, False]}, [False, True, False]), ({"==": [{"var": "n"}, {"+": [3, 4]}]}, [False, True, False]), ({"in": [{"var": "status"}, ["new", "old"]]}, [False, False, True]),
+        ({"missing_some": [1, ["tracking", "t"]]}, [True, False, True]), ({"<": [-1, {"var": "n"}, 5]}, [True, False, False]), ({"==": [{"substr": [{"var": "status"}, -4, -2]}, "pp"]}, [True, True, False]),
+        ({"some": [[1, 2], {">": [{"var": ""}, 1]}]}, [True] * 3), ({"==": [{"reduce": [[1, 2, 3], {"+": [{"var": "current"}, {"var": "accumulator"}]}, 0]}, 6]}, [True] * 3), ({"and": [{"var": "tracking"}, True]}, [False, True, False]),
+        ({"none": [{"filter": [[1, 2], {">": [{"var": ""}, 2]}]}, {"==": [{"var": ""}, 1]}]}, [True] * 3), ({"!=": [{"var": "status"}, "new"]}, [True, True, False]), ({"==": [{"/": [{"var": "n"}, 0]}, None]}, [True] * 3),
+    ]
+    got = df.coalesce(1).select(*[V.rule_errors([("r", rule)], df.columns).alias(f"c{i}") for i, (rule, _) in enumerate(cases)]).collect()
+    for i, (rule, want) in enumerate(cases):
+        assert [not row[i] for row in got] == want, rule
+
+
+def test_feedback_keeps_every_error(spark):
+    schema = {"properties": {"a": {"minimum": 1}, "b": {"enum": ["x"]}}, "required": ["a"]}
+    df = V.validated(spark.createDataFrame([(None, "y"), (1, "x")], "a int, b string"), schema)
+    (text,) = [r.feedback for r in V.feedback(df, ["a"], []).collect()]
+    assert '"description":"The value at `$input.a` is `undefined`."' in text and text.endswith('```\n\n**Unmappable validation errors:**\n```json\n[\n  {"path":"$input.b","expected":"one of ["x"]"}\n]\n```')
+    both = V.cross_field_document(V.relation_errors([("a", "gt", "b")]), V.rule_errors([("r", False)]))
+    assert json.loads(spark.createDataFrame([(1, 2)], "a int, b int").select(both).first()[0])["diagnostics"] == [{"code": "REL001", "message": "a must be gt b"}, {"code": "RULE001", "message": "r"}]
 
 
 def test_empty_and_null_records(spark):
