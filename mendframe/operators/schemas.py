@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +55,24 @@ def flattened(schema: dict, root: dict | None = None, prefix: str = "", depth: i
 
 
 def flat_properties(schemas: DataFrame) -> DataFrame:
-    """schema_id and property rows of (schema_id, body); a body that isn't a JSON object has none."""
+    """schema_id and property rows of (schema_id, body), in one Arrow pass; a body that isn't a JSON object has none."""
+    target = schemas.sparkSession.createDataFrame([], f"schema_id string, {ROW}").schema
 
-    @F.udf(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in ROW.split(', '))}>>")
-    def rows(body):
-        try:
-            schema = json.loads(body or "")
-        except ValueError:
-            return []
-        return [tuple(r.values()) for r in flattened(schema)] if isinstance(schema, dict) else []
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    return schemas.select("schema_id", F.explode(rows("body")).alias("p")).select("schema_id", "p.*")
+        arrow = to_arrow_schema(target)
+        for batch in batches:
+            rows = []
+            for schema_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    schema = json.loads(body or "")
+                except ValueError:
+                    continue
+                rows += [{"schema_id": schema_id, **r} for r in flattened(schema)] if isinstance(schema, dict) else []
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return schemas.select(F.col("schema_id").cast("string"), "body").mapInArrow(run, target)
 
 
 def _facet_texts(alias: str) -> Column:
@@ -106,17 +115,29 @@ def enum_agreement(props: DataFrame) -> DataFrame:
 
 
 def facet_agreement(props: DataFrame) -> DataFrame:
-    """path, facet, n, total, universal, value: whether the schemas that set a facet agree on it, and required counts."""
-    total = F.count("*")
+    """path, facet, n, total, universal, value: whether the schemas that set a facet agree on it, and required counts. One aggregation gives all facets."""
     eps = 2.0**-52
-    out = None
-    for facet in ("minimum", "maximum", "format", "type"):
-        same = (F.max(facet) - F.min(facet) <= eps) if facet in ("minimum", "maximum") else (F.count_distinct(F.col(facet)) == 1)
-        part = props.groupBy("path").agg(F.lit(facet).alias("facet"), F.count(facet).alias("n"), total.alias("total"), same.alias("universal"), F.min(facet).cast("string").alias("value")).where("n > 0")
-        part = part.withColumn("value", F.when(F.col("universal"), F.col("value")))
-        out = part if out is None else out.unionByName(part)
-    needed = props.groupBy("path").agg(F.lit("required").alias("facet"), F.count_if("required").alias("n"), total.alias("total"), (F.count_if("required") == total).alias("universal"), F.lit(None).cast("string").alias("value"))
-    return out.unionByName(needed)
+    row = lambda facet, n, same, value: F.struct(F.lit(facet).alias("facet"), n.alias("n"), F.count("*").alias("total"), same.alias("universal"), F.when(same, value).cast("string").alias("value"))
+    rows = [row(f, F.count(f), F.max(f) - F.min(f) <= eps, F.min(f)) for f in ("minimum", "maximum")]
+    rows += [row(f, F.count(f), F.min(f) == F.max(f), F.min(f)) for f in ("format", "type")]
+    rows.append(row("required", F.count_if("required"), F.count_if("required") == F.count("*"), F.lit(None).cast("string")))
+    return props.groupBy("path").agg(F.array(*rows).alias("rows")).select("path", F.inline("rows")).where("n > 0 or facet = 'required'")
+
+
+def shape_warnings(schemas: DataFrame) -> DataFrame:
+    """schema_id, code, severity, path of (schema_id, body): S007 a root that says no type, S004 arrays without items, S008 objects without properties."""
+    v = F.try_parse_json("body")
+    has = lambda c, k: F.try_variant_get(c, f"$.{k}", "variant").isNotNull()
+    parsed = schemas.select("schema_id", v.alias("v")).where("v is not null")
+    bare = ~(has(F.col("v"), "type") | has(F.col("v"), "anyOf") | has(F.col("v"), "oneOf") | has(F.col("v"), "`$ref`".strip("`")))
+    kind = lambda p: F.try_variant_get(p["value"], "$.type", "string")
+    entries = F.map_entries(F.try_variant_get("v", "$.properties", "map<string,variant>"))
+    warn = lambda code: lambda p: F.struct(F.lit(code).alias("code"), F.lit("Warn").alias("severity"), F.concat(F.lit("$."), p["key"]).alias("path"))
+    lists = F.transform(F.filter(entries, lambda p: (kind(p) == "array") & ~has(p["value"], "items")), warn("S004"))
+    objects = F.transform(F.filter(entries, lambda p: (kind(p) == "object") & ~has(p["value"], "properties")), warn("S008"))
+    root = F.when(bare, F.array(F.struct(F.lit("S007").alias("code"), F.lit("Block").alias("severity"), F.lit("$").alias("path"))))
+    none = F.array().cast("array<struct<code:string,severity:string,path:string>>")
+    return parsed.select("schema_id", F.inline(F.concat(*[F.coalesce(x, none) for x in (root, lists, objects)])))
 
 
 def strictness(props: DataFrame) -> DataFrame:
@@ -203,14 +224,14 @@ def random_rows(spark: SparkSession, props: list[dict], n: int, seed: int = 7) -
 
 def inferred(values: DataFrame) -> DataFrame:
     """path, type, n, required from rows (sample, path, type): the first sample's type, and whether every sample has it."""
-    total = values.agg(F.countDistinct("sample").alias("total"))
+    total = values.agg(F.countDistinct("sample")).first()[0]
     by_path = values.groupBy("path").agg(F.min_by("type", "sample").alias("type"), F.countDistinct("sample").alias("n"))
-    return by_path.crossJoin(F.broadcast(total)).select("path", "type", "n", (F.col("n") == F.col("total")).alias("required"))
+    return by_path.select("path", "type", "n", (F.col("n") == total).alias("required"))
 
 
-def evolution(props: DataFrame, failures: DataFrame, runs: int, threshold: int) -> DataFrame:
-    """path, rate, kind, approval: changes that failure rates suggest, once `threshold` runs are in."""
-    p = props.join(failures, "path").withColumn("rate", F.col("n") / F.lit(float(runs)))
+def evolution(props: DataFrame, failures: DataFrame, threshold: int) -> DataFrame:
+    """schema_id, path, rate, kind, approval: changes that failure rates suggest. failures: schema_id, path, n, and runs of the schema, of which `threshold` must be in."""
+    p = props.join(failures.where(F.col("runs") >= threshold), ["schema_id", "path"]).withColumn("rate", F.col("n") / F.col("runs").cast("double"))
     rows = F.array(
         F.when((F.col("rate") >= 0.1) & F.col("description").isNull(), F.struct(F.lit("DescriptionEnrich").alias("kind"), F.lit("Auto").alias("approval"))),
         F.when((F.col("rate") >= 0.2) & F.col("default").isNull(), F.struct(F.lit("DefaultAdd").alias("kind"), F.lit("Auto").alias("approval"))),
@@ -218,8 +239,16 @@ def evolution(props: DataFrame, failures: DataFrame, runs: int, threshold: int)
         F.when((F.col("rate") >= 0.4) & (F.col("minimum").isNotNull() | F.col("maximum").isNotNull()), F.struct(F.lit("RangeExpand").alias("kind"), F.lit("Async").alias("approval"))),
         F.when(F.col("rate") >= 0.5, F.struct(F.lit("TypeChange").alias("kind"), F.lit("Sync").alias("approval"))),
     )
-    out = p.select("path", "rate", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("path", "rate", "x.*")
-    return out if runs >= threshold else out.limit(0)
+    return p.select("schema_id", "path", "rate", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("schema_id", "path", "rate", "x.*")
+
+
+def evolved(props: DataFrame, proposals: DataFrame) -> DataFrame:
+    """props with the proposals that need nobody's approval applied: descriptions and defaults filled in."""
+    auto = proposals.where("approval = 'Auto'").groupBy("schema_id", "path").agg(F.bool_or(F.col("kind") == "DescriptionEnrich").alias("_said"), F.bool_or(F.col("kind") == "DefaultAdd").alias("_filled"))
+    both = props.join(auto, ["schema_id", "path"], "left")
+    zero = F.when(F.col("type").isin("integer", "number"), "0").when(F.col("type") == "boolean", "false").otherwise("")
+    made = {"description": F.when(F.col("_said"), F.coalesce("description", F.concat(F.lit("The "), "path"))).otherwise(F.col("description")), "default": F.when(F.col("_filled"), F.coalesce("default", zero)).otherwise(F.col("default"))}
+    return both.withColumns(made).select(*props.columns)
 
 
 def changes(old: DataFrame, new: DataFrame, keys: list[str], content: str) -> DataFrame:
@@ -268,6 +297,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
+def similar(queries: DataFrame, rows: DataFrame, least: float, block: int = 500) -> DataFrame:
+    """a, b, similarity of pairs of a query (id, vector) and another row (id, vector) with cosine above `least`.
+
+    Both sides are packed into blocks of some `block` vectors of length 1; each block of rows
+    meets each block of queries by its number, and a pair of blocks is one matrix product.
+    Vectors of other lengths than a block's first, and zero vectors, are like nothing.
+    """
+
+    def packed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = 1 + df.count() // block
+        unit = F.transform("vector", lambda x: x.cast("double"))
+        parts = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name), F.struct("id", unit.alias("vector")).alias("v"))
+        return parts.groupBy(name).agg(F.collect_list("v").alias(f"{name}s")), n
+
+    q, n_q = packed(queries, "query")
+    r, _ = packed(rows, "row")
+    met = r.withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(q, "query").select("querys", "rows")
+
+    def compare(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                (ids, x), (others, y) = (_units(b.column(k)[i].values) for k in (0, 1))
+                s = x @ y.T if x.shape[1] == y.shape[1] else np.zeros((len(x), len(y)))
+                at = np.argwhere((s > least) & (ids[:, None] != others[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(others[at[:, 1]]), pa.array(s[at[:, 0], at[:, 1]])], names=["a", "b", "similarity"])
+
+    return met.mapInArrow(compare, "a long, b long, similarity double")
+
+
+def _units(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and vectors scaled to length 1; those that have no direction or another length stay 0."""
+    ids, vectors = values.field("id").to_numpy(zero_copy_only=False), values.field("vector").to_pylist()
+    width = len(next((v for v in vectors if v), []))
+    x = np.array([v if v and len(v) == width and None not in v else [0.0] * width for v in vectors], np.float64).reshape(len(vectors), width)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return ids, np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def tool_rows(functions: DataFrame, layout: str) -> DataFrame:
     """name, tool: a function's description (name, description, parameters as JSON text) in a provider's layout."""
     q = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"^\{\"v\":(.*)\}$", 1)

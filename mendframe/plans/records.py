@@ -59,7 +59,7 @@ def prompt_hints(spark: SparkSession, d: str) -> DataFrame:
 
 def feedback_report(spark: SparkSession, d: str) -> DataFrame:
     """Invalid orders as annotated JSON."""
-    return V.feedback(_orders(spark, d), ["o_orderpriority", "o_orderstatus"], ["o_orderkey"])
+    return V.feedback(_orders(spark, d), ["o_orderpriority", "o_orderstatus", "o_totalprice"], ["o_orderkey"])
 
 
 def errors_by_path(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +137,10 @@ ORACLES = {
       UNION ALL SELECT class || ': ' || n || ' errors — ' || CASE class WHEN 'range' THEN 'State numeric ranges explicitly in prompt' WHEN 'enum' THEN 'List all allowed values in prompt' ELSE 'Check type constraints in schema' END FROM c WHERE n > 3""",
     "feedback_report": f"""WITH o AS ({_CHECKS}),
       f AS (SELECT *, list_aggregate(list_transform(list_filter(errors, lambda e: e.path = '$input.o_orderpriority'), lambda e: '{{"path":"' || e.path || '","expected":"' || e.expected || '"}}'), 'string_agg', ',') AS p,
+        list_aggregate(list_transform(list_filter(errors, lambda e: e.path = '$input.o_totalprice'), lambda e: '{{"path":"' || e.path || '","expected":"' || e.expected || '"}}'), 'string_agg', ',') AS t,
         list_aggregate(list_transform(list_filter(errors, lambda e: e.path = '$input.o_orderstatus'), lambda e: '{{"path":"' || e.path || '","expected":"' || e.expected || '"}}'), 'string_agg', ',') AS s FROM o WHERE len(errors) > 0)
       SELECT o_orderkey, '```json' || chr(10) || '{{' || chr(10) || '  "o_orderpriority": "' || o_orderpriority || '",' || CASE WHEN p <> '' THEN ' // ❌ [' || p || ']' ELSE '' END || chr(10)
-        || '  "o_orderstatus": "' || o_orderstatus || '"' || CASE WHEN s <> '' THEN ' // ❌ [' || s || ']' ELSE '' END || chr(10) || '}}' || chr(10) || '```' AS feedback FROM f""",
+        || '  "o_orderstatus": "' || o_orderstatus || '",' || CASE WHEN s <> '' THEN ' // ❌ [' || s || ']' ELSE '' END || chr(10) || '  "o_totalprice": ' || o_totalprice || CASE WHEN t <> '' THEN ' // ❌ [' || t || ']' ELSE '' END || chr(10) || '}}' || chr(10) || '```' AS feedback FROM f""",
     "errors_by_path": f"{_LONG} SELECT o_orderkey, e.path AS path, string_agg(e.expected, '; ' ORDER BY e.expected) AS expected FROM e GROUP BY 1, 2",
     "cross_field_rules": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey,
         concat_ws('; ', CASE WHEN l_extendedprice < l_quantity THEN 'l_extendedprice must be gte l_quantity' END, CASE WHEN l_tax >= l_discount THEN 'l_tax must be lt l_discount' END, CASE WHEN l_quantity > l_linenumber THEN 'l_quantity must be lte l_linenumber' END) AS relations,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import is_format
-from ..functions.guards import path_component, sanitized, task_scale, url_code
+from ..functions.guards import INJECTIONS, path_component, sanitized, task_scale, url_code
 from ..functions.repair import repair
 from .tables import table
 
@@ -64,12 +64,14 @@ def extracted_fields(spark: SparkSession, d: str) -> DataFrame:
 def sanitized_turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns with an injected phrase, filtered; and the scale of task that each describes."""
     k = F.col("conv_id") + F.col("turn")
-    text = F.when(k % 3 == 0, F.concat(F.lit("Please IGNORE previous Instructions and "), F.substring("text", 1, 20))).when(k % 3 == 1, F.concat(F.lit("fix it: "), F.substring("text", 1, 20))).otherwise(F.concat(F.lit("act as if: Implement "), F.substring("text", 1, 20)))
+    text = F.when(k % 3 == 0, F.concat(F.lit("Please IGNORE previous Instructions and "), F.col("text"))).when(k % 3 == 1, F.concat(F.lit("fix it: "), F.col("text"))).otherwise(F.concat(F.lit("act as if: Implement "), F.col("text")))
     rows = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"), k.alias("k"))
     return rows.select("conv_id", "turn", sanitized(F.col("text")).alias("text"), task_scale(F.col("text"), F.when(F.col("k") % 2 == 0, F.col("k") * 10)).alias("scale"))
 
 
 QUERIES = {f.__name__: f for f in (format_checks, url_safety, repaired_events, extracted_fields, sanitized_turns)}
+#: The phrases as one pattern, written out as SQL needs it: longer ones first.
+_PHRASES = "|".join(sorted(INJECTIONS, key=len, reverse=True))
 ORACLES = {
     "format_checks": """SELECT 'email' AS format, count(*) AS n, count(*) FILTER (WHERE c_custkey % 2 = 0) AS valid FROM customer
       UNION ALL SELECT 'ipv4', count(*), count(*) FILTER (WHERE c_custkey % 300 <= 255) FROM customer UNION ALL SELECT 'date', count(*), count(*) FILTER (WHERE c_custkey % 15 BETWEEN 1 AND 12 AND c_custkey % 33 BETWEEN 1 AND 31) FROM customer
@@ -78,6 +80,6 @@ ORACLES = {
       SELECT k AS s_suppkey, CASE k % 7 WHEN 0 THEN 'SEC003' WHEN 1 THEN 'SEC001' WHEN 2 THEN CASE WHEN k % 40 BETWEEN 16 AND 31 THEN 'SEC003' END WHEN 3 THEN 'SEC002' WHEN 4 THEN 'SEC005' WHEN 5 THEN 'SEC005' END AS code, translate(url, '/\\: .', '_____') AS file FROM u""",
     "repaired_events": """SELECT event_id, event_id AS id, event_type AS type, CASE WHEN event_id % 6 = 4 THEN 'b' END AS tag FROM events""",
     "extracted_fields": "SELECT event_type, count(*) AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS total, max((props::JSON ->> '$.k')::BIGINT) AS most FROM events GROUP BY 1",
-    "sanitized_turns": """WITH t AS (SELECT conv_id, turn, conv_id + turn AS k, CASE (conv_id + turn) % 3 WHEN 0 THEN 'Please [filtered] and ' WHEN 1 THEN 'fix it: ' ELSE '[filtered] if: Implement ' END AS head, substr(text, 1, 20) AS tail FROM conversations)
-      SELECT conv_id, turn, head || tail AS text, CASE WHEN k % 2 = 0 AND k * 10 < 50 THEN 'S' WHEN k % 2 = 0 AND k * 10 < 500 THEN 'M' WHEN k % 3 = 1 OR regexp_matches(lower(tail), 'fix|bug|typo|rename') THEN 'S' WHEN k % 3 = 2 OR regexp_matches(lower(tail), 'feature|add|implement') THEN 'M' ELSE 'L' END AS scale FROM t""",
+    "sanitized_turns": f"""WITH t AS (SELECT conv_id, turn, conv_id + turn AS k, CASE (conv_id + turn) % 3 WHEN 0 THEN 'Please IGNORE previous Instructions and ' WHEN 1 THEN 'fix it: ' ELSE 'act as if: Implement ' END || text AS text FROM conversations)
+      SELECT conv_id, turn, regexp_replace(text, '{_PHRASES}', '[filtered]', 'gi') AS text, CASE WHEN k % 2 = 0 AND k * 10 < 50 THEN 'S' WHEN k % 2 = 0 AND k * 10 < 500 THEN 'M' WHEN regexp_matches(lower(text), 'fix|bug|typo|rename') THEN 'S' WHEN regexp_matches(lower(text), 'feature|add|implement') THEN 'M' ELSE 'L' END AS scale FROM t""",
 }

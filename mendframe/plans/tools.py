@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tools as T
-from .properties import _OLD, _props_sql, props
+from .properties import _props_sql, props
 from .tables import table
 
 
@@ -27,7 +27,7 @@ def tool_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def constrained_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    return props(table(spark, d, "part").where(_OLD)).select("schema_id", "path", T.constrained_description().alias("description"))
+    return props(table(spark, d, "part")).select("schema_id", "path", T.constrained_description().alias("description"))
 
 
 def parse_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLES = {
     "tool_calls": """WITH c AS (SELECT ['price', 'ship', 'lost', 'price'][(l_linenumber % 4 + 1)::INT] AS name, l_quantity AS q, l_partkey AS p FROM lineitem),
       r AS (SELECT name, CASE WHEN name = 'price' AND q >= 10 THEN p * 2 + floor(q)::BIGINT END AS result, CASE name WHEN 'lost' THEN 'function ''lost'' not found' WHEN 'ship' THEN 'no dispatcher for ''ship''' ELSE CASE WHEN q < 10 THEN '$input.quantity: expected integer & Minimum<10>' END END AS error FROM c)
       SELECT name, error, count(*) AS n, sum(result)::BIGINT AS total FROM r GROUP BY 1, 2""",
-    "constrained_descriptions": f"""WITH p AS {_props_sql(_OLD)}, s AS (SELECT *, concat_ws(', ', 'minimum: ' || minimum::BIGINT, 'maximum: ' || maximum::BIGINT, 'format: ' || format, CASE WHEN values IS NOT NULL THEN 'allowed: [' || list_aggregate(list_transform(values, lambda v: '"' || v || '"'), 'string_agg', ', ') || ']' END) AS said FROM p)
+    "constrained_descriptions": f"""WITH p AS {_props_sql('true')}, s AS (SELECT *, concat_ws(', ', 'minimum: ' || minimum::BIGINT, 'maximum: ' || maximum::BIGINT, 'format: ' || format, CASE WHEN values IS NOT NULL THEN 'allowed: [' || list_aggregate(list_transform(values, lambda v: '"' || v || '"'), 'string_agg', ', ') || ']' END) AS said FROM p)
       SELECT schema_id, path, CASE WHEN said = '' THEN description ELSE coalesce(description || ' ', '') || '@constraints ' || said END AS description FROM s""",
     "parse_codes": "SELECT event_id % 6 AS kind, CASE event_id % 6 WHEN 0 THEN 'P001' WHEN 1 THEN 'P002' WHEN 5 THEN 'P001' END AS code, count(*) AS n FROM events GROUP BY 1, 2",
 }
