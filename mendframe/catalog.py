@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import properties, records, texts, tools
+from .plans import nested, properties, records, texts, tools
 
 
 def queries() -> dict:
-    return {**records.QUERIES, **properties.QUERIES, **texts.QUERIES, **tools.QUERIES}
+    return {**records.QUERIES, **properties.QUERIES, **texts.QUERIES, **tools.QUERIES, **nested.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**records.ORACLES, **properties.ORACLES, **texts.ORACLES, **tools.ORACLES}
+    return {**records.ORACLES, **properties.ORACLES, **texts.ORACLES, **tools.ORACLES, **nested.ORACLES}
