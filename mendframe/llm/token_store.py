@@ -186,18 +186,21 @@ def reconstruct(chunks: DataFrame, recipes: DataFrame, width: int) -> DataFrame:
 
 
 def manifest(documents: DataFrame, fanout: int = 1024) -> DataFrame:
-    """level, node, root, n: roots over groups of `fanout` documents (doc_id, row, merkle_root) in store order, then over groups of those, up to one."""
-    level = prefix_sums(documents.select("doc_id", "row", "merkle_root", F.lit(1).cast("long").alias("_one")), ["doc_id", "row"], {"at": "_one"}, "places").select("at", F.col("merkle_root").alias("root"))
+    """level, node, root, n: roots over groups of some `fanout` documents (doc_id, row, merkle_root), dealt by a hash of both ids and in their order, then over groups of those, up to one."""
+    groups = -(-documents.count() // fanout)
+    member = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "row", F.col("merkle_root").alias("root"))
+    level = documents.select(F.pmod(F.xxhash64("doc_id", "row"), F.lit(max(1, groups))).cast("long").alias("node"), member.alias("m"))
     out, depth = None, 0
     while True:
         depth += 1
-        joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("at", "root"))), lambda x: x["root"]))
-        level = staged(level.groupBy(F.floor(F.col("at") / fanout).alias("node")).agg(F.sha2(joined, 256).alias("root"), F.count("*").alias("n")), "manifest")
+        joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list("m")), lambda x: x["root"]))
+        level = staged(level.groupBy("node").agg(F.sha2(joined, 256).alias("root"), F.count("*").alias("n")), "manifest")
         done = level.select(F.lit(depth).alias("level"), "node", "root", "n")
         out = done if out is None else out.unionByName(done)
-        if level.count() <= 1:
+        if groups <= 1:
             return out
-        level = level.select(F.col("node").alias("at"), "root")
+        groups = -(-groups // fanout)
+        level = level.select(F.floor(F.col("node") / fanout).alias("node"), F.struct("node", "root").alias("m"))
 
 
 def verified(read: DataFrame, stored: DataFrame) -> DataFrame:
