@@ -10,9 +10,10 @@ texts of different lengths compare at the higher level.
 
 Likeness is the share of equal samples, of the longer's. Banding joins texts one of whose BANDS
 bands of WIDTH sampled steps agrees: at likeness 0.75 that is 94 in 100, more above. Pairs are
-verified by likeness. Each band's list is first linked to one text of it, links are contracted,
-and lists that still hold several components are joined with themselves across them, under a
-bound on the samples' lowest bits: no pair of a list is left out.
+verified by likeness. Each text is first linked to the least one that it shares most bands with,
+links are contracted, and lists that still hold several components are joined with themselves
+across them, on condition that few samples differ, which their bits tell: no pair of a list is
+left out.
 
 Nulls: a null text is empty, its fingerprint "0:", like another empty text 1 and any other 0. Rows
 of equal doc_id are ordered by text. Null doc_ids come first; a component of them alone has the
@@ -271,7 +272,9 @@ def similar_by_fingerprint(fps: DataFrame, least: float = 0.75) -> DataFrame:
             level, s = parse(f)
             out["level"].append(level)
             out["m"].append(len(s))
-            out["bits"].append(np.packbits(np.resize(np.append(s[:KEEP] & 1, np.zeros(KEEP, np.uint8)), KEEP)).view("<i8").tolist())
+            first = np.zeros(KEEP, np.uint8)
+            first[: min(len(s), KEEP)] = s[:KEEP]
+            out["bits"].append(np.packbits(np.concatenate([first >> k & 1 for k in range(4)])).view("<i8").tolist())
         return out
 
     distinct = named.join(live.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("fingerprint").alias("fp"))
@@ -286,16 +289,18 @@ def similar_by_fingerprint(fps: DataFrame, least: float = 0.75) -> DataFrame:
 
         return map_arrow(both.select("a", "b", "x", "y"), verify, "src long, dst long")
 
-    stars = staged(live.where("cid <> lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).distinct(), "band-stars")
+    shared = live.where("cid <> lo").groupBy("cid", "lo").agg(F.count("*").alias("n"))
+    stars = staged(shared.groupBy("cid").agg(F.max_by("lo", F.struct("n", "lo")).alias("a")).select("a", F.col("cid").alias("b")), "band-stars")
     links = staged(linked(stars), "band-links")
     parts = staged(connected_components(links), "band-parts")
     held = live.join(parts, live["cid"] == parts["node"], "left").select("key", "cid", F.coalesce("component", "cid").alias("c"))
     several = held.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    sketch = known.select("cid", "level", "m", *[F.col("bits")[i].alias(f"b{i}") for i in range(4)])
+    sketch = known.select("cid", "level", "m", *[F.col("bits")[i].alias(f"b{i}") for i in range(16)])
     rest = staged(held.join(several, "key", "left_semi").join(sketch, "cid"), "band-rest")
-    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("cid", "c", "level", "m", "b0", "b1", "b2", "b3")])
-    # Samples that differ in their lowest bit differ. Of different levels, the bits say nothing.
-    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"p_b{i}"))) for i in range(4)), F.lit(0))
+    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("cid", "c", "level", "m", *[f"b{i}" for i in range(16)])])
+    # Four planes of a bit a sample: samples differ that differ in any. Of different levels, they say nothing.
+    apart = [F.col(f"b{i}").bitwiseXOR(F.col(f"p_b{i}")) for i in range(16)]
+    differ = sum((F.bit_count(apart[i].bitwiseOR(apart[i + 4]).bitwiseOR(apart[i + 8]).bitwiseOR(apart[i + 12])) for i in range(4)), F.lit(0))
     able = (F.col("level") != F.col("p_level")) | (differ <= (1 - least) * F.greatest("m", "p_m"))
     across = rest.join(other, "key").where("c < p_c").where(able).select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b"))
     parts = connected_components(links.unionByName(linked(across.distinct().join(stars, ["a", "b"], "left_anti"))))

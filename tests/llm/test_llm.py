@@ -153,7 +153,7 @@ def test_token_store_round_trip(spark, docs, odd, none):
     assert back == sorted((i is not None, i or 0, ids) for (i, _), ids in zip(texts, encoded("byte_bpe_50k.json", [t for _, t in texts]), strict=True))
     read = token_store.read_documents(chunks, recipes, 2)
     m = token_store.manifest(read, fanout=4).collect()
-    assert max(r.level for r in m) == 2 and sum(r.n for r in m if r.level == 1) == odd.count()
+    assert max(r.level for r in m) == 2 and sum(r.n for r in m if r.level == 1) == odd.count() and [r.n for r in m if r.level == 2] == [sum(r.level == 1 for r in m)]
     order = [r.doc_id for r in recipes.select("doc_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("f", "i").collect()]
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
     a, b = [r.digest for r in recipes.where("doc_id in (5, 6) and seq = 0").orderBy("doc_id").collect()]
