@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import importlib
+from . import attribution, fingerprint, html_extract, line_dedup, media, mixing, ngram_join, packing, token_store, toxicity
 
-MODULES = ["mixing", "media", "ngram_join", "attribution", "line_dedup", "toxicity", "packing", "html_extract", "fingerprint", "token_store"]
-
-
-def _loaded() -> list:
-    return [importlib.import_module(f"{__package__}.{m}") for m in MODULES]
+MODULES = [mixing, media, ngram_join, attribution, line_dedup, toxicity, packing, html_extract, fingerprint, token_store]
 
 
 def queries() -> dict:
-    return {k: v for m in _loaded() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {k: v for m in _loaded() for k, v in m.ORACLES.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
