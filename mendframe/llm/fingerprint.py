@@ -293,8 +293,16 @@ def similar_by_fingerprint(fps: DataFrame, least: float = 0.75) -> DataFrame:
     stars = staged(shared.groupBy("cid").agg(F.max_by("lo", F.struct("n", "lo")).alias("a")).select("a", F.col("cid").alias("b")), "band-stars")
     links = staged(linked(stars), "band-links")
     parts = staged(connected_components(links), "band-parts")
-    held = live.join(parts, live["cid"] == parts["node"], "left").select("key", "cid", F.coalesce("component", "cid").alias("c"))
-    several = held.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
+
+    def of_several(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        held = live.join(parts, live["cid"] == parts["node"], "left").select("key", "cid", F.coalesce("component", "cid").alias("c"))
+        return held, held.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min(F.struct("c", "cid")).alias("p")).where("least <> most").select("key", "p")
+
+    # A second star, around the least component of each list that holds several: most lists are of one then.
+    held, several = of_several(parts)
+    again = held.join(several, "key").where("c <> p.c").select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    links = staged(links.unionByName(linked(staged(again, "band-stars"))), "band-links")
+    held, several = of_several(staged(connected_components(links), "band-parts"))
     sketch = known.select("cid", "level", "m", *[F.col("bits")[i].alias(f"b{i}") for i in range(16)])
     rest = staged(held.join(several, "key", "left_semi").join(sketch, "cid"), "band-rest")
     other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("cid", "c", "level", "m", *[f"b{i}" for i in range(16)])])
