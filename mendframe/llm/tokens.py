@@ -21,6 +21,9 @@ _ODD = re.compile(r"[\x1c-\x1f]")
 
 #: Longer runs aren't remembered. EACH: bytes that a run takes in the memo, its characters and the tables' places.
 LONGEST, EACH = 64, 220
+#: Runs that are encoded in one text, and what such a run is.
+TOGETHER = 512
+_JOINS = re.compile(r" \S+\Z").match
 
 
 class _Memo(dict):
@@ -52,6 +55,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = self.tokenizer.normalizer is None
+        self.bytes_of = self.byte_lengths() if self.spaced else None
         self.most = most
         self._reset()
 
@@ -61,13 +65,36 @@ class Encoder:
         self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _add(self, runs: list[str]) -> None:
+        joins = np.array([bool(self.spaced and _JOINS(r)) for r in runs], bool)
+        lengths = np.zeros(len(runs), np.int64)
+        starts, pool = np.zeros(len(runs), np.int64), [self.pool]
+        at = len(self.pool)
+        for chosen, encoded in ((joins, self._together), (~joins, self._apart)):
+            if not chosen.any():
+                continue
+            own, flat = encoded([r for r, c in zip(runs, chosen.tolist(), strict=True) if c])
+            lengths[chosen], starts[chosen] = own, at + np.cumsum(own) - own
+            pool.append(flat)
+            at += len(flat)
+        self.starts, self.lengths, self.pool = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths]), np.concatenate(pool)
+        self.held += EACH * len(runs) + 4 * (at - len(pool[0]))
+
+    def _apart(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each run, all ids), run by run."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, flat])
-        self.held += EACH * len(runs) + 4 * len(flat)
+        return lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+
+    def _together(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs that begin with their only space, hence at a token boundary: many in one text, told apart by the bytes that ids stand for."""
+        texts = ["".join(runs[i : i + TOGETHER]) for i in range(0, len(runs), TOGETHER)]
+        _, flat = self._apart(texts)
+        ends = np.cumsum(self.bytes_of[flat])
+        wanted = np.cumsum(np.fromiter(map(len, map(str.encode, runs)), np.int64, len(runs)))
+        last = np.searchsorted(ends, wanted)
+        if last[-1] + 1 != len(ends) or (ends[last] != wanted).any():
+            return self._apart(runs)
+        return np.diff(last, prepend=-1), flat
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         find = _RUNS[self.spaced].findall
