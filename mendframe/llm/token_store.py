@@ -34,13 +34,18 @@ LONGEST = 4096
 def cuts(ids: np.ndarray, lengths: np.ndarray, bits: int = 9, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
     """(ends, counts) of the chunks of id streams that stand one after the other: where the hash of a stream's last 16 ids has `bits` leading zeros, and chunks of each stream."""
     last = np.cumsum(lengths)
-    # 16 zeros before each stream keep what precedes it out of its hashes.
-    at = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(1, len(lengths) + 1), lengths)
-    h = np.zeros(len(ids) + WINDOW * (len(lengths) + 1), np.uint64)
-    h[at] = _GEAR[ids & 0xFFFF]
+    h = _GEAR.take(ids & 0xFFFF)
+    # The first places of each stream, less what precedes it there.
+    place = np.arange(WINDOW - 1)
+    inside = place < np.asarray(lengths)[:, None]
+    at = ((last - lengths)[:, None] + place)[inside]
+    heads = np.zeros(inside.shape, np.uint64)
+    heads[inside] = h[at]
     for step in (1, 2, 4, 8):
         h[step:] += h[:-step] << np.uint64(step)
-    ends = np.union1d(np.flatnonzero((h[at] >> np.uint64(64 - bits)) == 0) + 1, last)
+        heads[:, step:] += heads[:, :-step] << np.uint64(step)
+    h[at] = heads[inside]
+    ends = np.union1d(np.flatnonzero(h < np.uint64(1 << 64 - bits)) + 1, last)
     gaps = np.diff(ends, prepend=0)
     if gaps.max(initial=0) > longest:
         ends = np.concatenate([np.append(np.arange(e - g + longest, e, longest), e) for e, g in zip(ends, gaps, strict=True)])
