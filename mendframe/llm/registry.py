@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import attribution, fingerprint, html_extract, line_dedup, media, mixing, ngram_join, packing, token_store, toxicity
+from . import alignment, attribution, clusters, fingerprint, html_extract, line_dedup, media, mixing, ngram_join, packing, sharding, token_store, toxicity
 
-MODULES = [mixing, media, ngram_join, attribution, line_dedup, toxicity, packing, html_extract, fingerprint, token_store]
+MODULES = [mixing, media, ngram_join, attribution, line_dedup, toxicity, packing, html_extract, fingerprint, token_store, clusters, alignment, sharding]
 
 
 def queries() -> dict:
