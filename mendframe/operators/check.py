@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import to_boolean
 from ..functions.repair import parsed
-from .nested import DEEPEST, NONE, _as, _Value, errors_of_json, field, strict
+from .nested import NONE, _as, _Value, errors_of_json, field, strict
 from .schemas import resolved
 
+#: Levels of schemas that are coerced; below them values stay as they are.
+DEEPEST = 6
 CHANGES = "array<struct<field:string,original:string,coerced:string,type:string>>"
 
 

@@ -3,8 +3,9 @@
 Each keyword becomes a Column, each level of arrays a transform, so a scan of JSON text, its
 parsing and all checks are one stage; the schema is walked once, on the driver. An error's path
 is built beside the value ($input.items[2].price). References are followed by copying the schema
-they name; a schema that holds itself is followed DEEPEST levels, below which a value is an error
-of its own. Keywords that JSON Schema doesn't know are ignored.
+they name. Schemas that hold themselves, or that ask what has been evaluated, can't be one
+Column: walk.py follows those along the data, to any depth. Keywords that JSON Schema doesn't
+know are ignored.
 
 An absent value is SQL null and breaks nothing but `required`; a JSON null is a value.
 """
@@ -12,16 +13,19 @@ An absent value is SQL null and breaks nothing but `required`; a JSON null is a
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable
+from decimal import Decimal
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import is_format
 from .validate import ERROR
 
-DEEPEST = 6
 TYPES = {"array", "boolean", "integer", "null", "number", "object", "string"}
 NONE = f"array<{ERROR}>"
 
@@ -53,6 +57,31 @@ def _named(reference: str) -> str | None:
     return m[1].replace("~1", "/").replace("~0", "~") if m else None
 
 
+def recursive(root: object) -> bool:
+    """Whether a schema can't be written out as one Column: it comes back to itself, or asks what has been evaluated."""
+    from .walk import compiled as instructions
+
+    below: dict[int, list[int]] = {}
+    for at, op, _, to in instructions(root):
+        if op.startswith("unevaluated"):
+            return True
+        below.setdefault(at, []).extend(to)
+    state: dict[int, int] = {}  # 1: open, 2: done
+    stack = [(0, False)]
+    while stack:
+        at, done = stack.pop()
+        if done:
+            state[at] = 2
+        elif state.get(at) != 2:
+            state[at] = 1
+            stack.append((at, True))
+            for t in below.get(at, []):
+                if state.get(t) == 1:
+                    return True
+                stack.append((t, False))
+    return False
+
+
 def circular(root: object) -> bool:
     """Whether a chain of definitions that are references only comes back to itself."""
     defs = _defs(root)
@@ -79,16 +108,25 @@ def fault(schema: object) -> str | None:
     for k in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties"):
         if k in schema and (isinstance(schema[k], bool) or not isinstance(schema[k], (int, float))):
             return f"{json.dumps(schema[k])} is not of type number"
-    if "pattern" in schema:
-        try:
-            re.compile(schema["pattern"])
-        except (re.error, TypeError):
-            return f"{json.dumps(schema['pattern'])} is not a regex"
+    for p in [*([schema["pattern"]] if "pattern" in schema else []), *schema.get("patternProperties", {})]:
+        if not runs(p):
+            return f"{json.dumps(p)} is not a regex"
     below = [schema[k] for k in ("items", "not", "if", "then", "else", "contains", "propertyNames", "additionalProperties") if isinstance(schema.get(k), dict)]
     below += [s for k in ("allOf", "anyOf", "oneOf", "prefixItems") for s in schema.get(k, [])] + [s for k in ("properties", "patternProperties", "$defs", "definitions") for s in schema.get(k, {}).values()]
     return next((f for s in below if (f := fault(s))), None)
 
 
+def runs(pattern: object) -> bool:
+    """Whether a pattern compiles in the tasks: by Python and, where a session is there, by Java."""
+    try:
+        re.compile(pattern)
+        if jvm := SparkContext._active_spark_context and SparkContext._active_spark_context._jvm:
+            jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, TypeError, RecursionError, OverflowError, Py4JJavaError):
+        return False
+    return True
+
+
 def field(v: Column, name: str) -> Column:
     """A field of an object by name; null where it is absent."""
     for quote in "'", '"':  # a path knows no escapes
@@ -119,7 +157,7 @@ class _Value:
     def has_type(self, kind: str) -> Column:
         return {
             "array": self.array, "object": self.object, "string": self.string, "number": self.number, "boolean": self.name == "BOOLEAN", "null": self.name == "VOID",
-            "integer": self.number & (self.double == F.floor(self.double)),
+            "integer": self.number & (self.double == F.rint(self.double)),
         }[kind]
 
     def equals(self, option: object) -> Column:
@@ -131,7 +169,22 @@ class _Value:
             return self.number & (self.double == float(option))
         if option is None:
             return self.name == "VOID"
-        return F.to_json(self.v) == json.dumps(option, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+        if isinstance(option, list):
+            ok = self.array & (F.size(self.items) == len(option))
+            for i, x in enumerate(option):
+                ok = ok & F.coalesce(_Value(F.get(self.items, F.lit(i))).equals(x), F.lit(False))
+            return ok
+        ok = self.object & (F.size(self.fields) == len(option))
+        for k, x in option.items():
+            ok = ok & F.coalesce(_Value(field(self.v, k)).equals(x), F.lit(False))
+        return ok
+
+
+def is_multiple(exact: Column, rough: Column, of: float) -> Column:
+    """Whether a number is a multiple: in decimals where the limit has ten places at most, else by the nearest quotient."""
+    places = -Decimal(repr(of)).as_tuple().exponent
+    near = F.abs(rough / F.lit(float(of)) - F.rint(rough / F.lit(float(of)))) < 1e-9
+    return F.coalesce(F.pmod(exact, F.lit(Decimal(repr(of))).cast("decimal(38,10)")) == 0, near) if places <= 10 and math.isfinite(of) else near
 
 
 def _error(path: Column, expected: str | Column, value: Column | None, description: str | Column | None = None) -> Column:
@@ -160,25 +213,26 @@ def _matching(entries: Column, pattern: str, schema: object, inner: Callable, at
     return _indexed(F.filter(entries, lambda e: e["key"].rlike(pattern)), lambda e, _: inner(schema, e["value"], at(e["key"])))
 
 
-def compiled(schema: object, v: Column, path: Column, root: object, depth: int = 0) -> Column:
-    """Errors of a present value as an array Column."""
+def compiled(schema: object, v: Column, path: Column, root: object) -> Column:
+    """Errors of a present value as an array Column, by a schema that doesn't hold itself."""
     if schema is True or schema == {}:
         return F.array().cast(NONE)
     if schema is False:
         return F.array(_error(path, "never (false schema)", v))
-    if depth > DEEPEST * 4:
-        return F.array(_error(path, f"at most {DEEPEST * 4} levels of schemas", v))
     x, parts = _Value(v), []
-    inner = lambda s, w, p: compiled(s, w, p, root, depth + 1)
+    inner = lambda s, w, p: compiled(s, w, p, root)
     passes = lambda s: F.size(inner(s, v, path)) == 0
 
     def add(bad: Column, expected: str | Column, description: str | Column | None = None) -> None:
         parts.append(_when(bad, _error(path, expected, v, description)))
 
     if "$ref" in schema:
-        name = "" if schema["$ref"] == "#" else _named(schema["$ref"])
-        target = root if name == "" else _defs(root).get(name)
-        parts.append(F.array(_error(path, "resolvable $ref", v, schema["$ref"])) if target is None else inner(target, v, path))
+        from .walk import target
+
+        try:
+            parts.append(inner(target(root, schema["$ref"]), v, path))
+        except KeyError:
+            parts.append(F.array(_error(path, "resolvable $ref", v, schema["$ref"])))
     if "type" in schema:
         kinds = sorted(schema["type"]) if isinstance(schema["type"], list) else [schema["type"]]
         ok = x.has_type(kinds[0])
@@ -199,8 +253,8 @@ def compiled(schema: object, v: Column, path: Column, root: object, depth: int =
             limit = schema[k]
             kind = "integer & " if isinstance(limit, int) else "number & "
             add(x.number & broken(x.double, F.lit(float(limit))), f"{kind}{label}<{limit}>")
-    if "multipleOf" in schema:
-        add(x.number & (F.pmod(_as(v, "decimal(38,10)"), F.lit(schema["multipleOf"]).cast("decimal(38,10)")) != 0), f"number & MultipleOf<{schema['multipleOf']}>")
+    if schema.get("multipleOf"):  # 0 breaks nothing
+        add(x.number & ~is_multiple(_as(v, "decimal(38,10)"), x.double, schema["multipleOf"]), f"number & MultipleOf<{schema['multipleOf']}>")
 
     if "minLength" in schema:
         add(x.string & (F.length(x.text) < schema["minLength"]), f"string & MinLength<{schema['minLength']}>")
@@ -229,7 +283,9 @@ def compiled(schema: object, v: Column, path: Column, root: object, depth: int =
     elif isinstance(rest, dict) and rest:
         parts.append(_indexed(x.items, lambda e, i: F.when(i >= len(first), inner(rest, e, place(i))).otherwise(F.array().cast(NONE))))
     if "contains" in schema:
-        add(x.array & ~F.coalesce(F.exists(x.items, lambda e: F.size(inner(schema["contains"], e, path)) == 0), F.lit(False)), "array & Contains")
+        hits = F.coalesce(F.size(F.filter(x.items, lambda e: F.size(inner(schema["contains"], e, path)) == 0)), F.lit(0))
+        few = hits < schema.get("minContains", 1)
+        add(x.array & (few | (hits > schema["maxContains"]) if "maxContains" in schema else few), "array & Contains")
 
     at = lambda name: F.concat(path, F.lit("."), name if isinstance(name, Column) else F.lit(name))
     for name in schema.get("required", []):
@@ -290,13 +346,23 @@ def errors_of_json(schema: object, v: Column) -> Column:
     path = F.lit("$input")
     if circular(schema):
         return F.array(_error(path, "non-circular $ref", v, "$ref cycle detected in schema"))
-    said = fault(schema)
-    return F.array(_error(path, "valid schema", v, said)) if said else F.coalesce(compiled(schema, v, path, schema), F.array().cast(NONE))
+    if said := fault(schema):
+        return F.array(_error(path, "valid schema", v, said))
+    if recursive(schema):
+        from .walk import walked
+
+        return walked(schema, F.to_json(v))
+    return F.coalesce(compiled(schema, v, path, schema), F.array().cast(NONE))
 
 
 def validated_json(df: DataFrame, text: str, schema: object) -> DataFrame:
-    """df with errors and valid of the JSON in a text column; text that isn't JSON is one error."""
-    parsed = df.withColumn("_value", F.try_parse_json(text))
+    """df with errors and valid of the JSON in a text column; text that isn't JSON is one error, of repeated keys the last counts."""
+    value = F.try_parse_json(text)
     broken = F.array(F.struct(F.lit("$input").alias("path"), F.lit("JSON value").alias("expected"), F.col(text).alias("value"), F.lit(None).cast("string").alias("description")))
-    errors = F.when(F.col("_value").isNull(), broken).otherwise(errors_of_json(schema, F.col("_value")))
-    return parsed.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("_value")
+    if not (circular(schema) or fault(schema)) and recursive(schema):
+        from .walk import walked
+
+        errors = walked(schema, F.col(text))
+    else:
+        errors = F.when(F.col("_value").isNull(), broken).otherwise(errors_of_json(schema, F.col("_value")))
+    return df.withColumn("_value", value).withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("_value")
