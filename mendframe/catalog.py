@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import nested, packages, properties, records, texts, tools
+from .plans import nested, packages, properties, records, rules, texts, tools
 
 
 def queries() -> dict:
-    return {**records.QUERIES, **properties.QUERIES, **texts.QUERIES, **tools.QUERIES, **nested.QUERIES, **packages.QUERIES}
+    return {**records.QUERIES, **properties.QUERIES, **texts.QUERIES, **tools.QUERIES, **nested.QUERIES, **packages.QUERIES, **rules.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**records.ORACLES, **properties.ORACLES, **texts.ORACLES, **tools.ORACLES, **nested.ORACLES, **packages.ORACLES}
+    return {**records.ORACLES, **properties.ORACLES, **texts.ORACLES, **tools.ORACLES, **nested.ORACLES, **packages.ORACLES, **rules.ORACLES}

@@ -254,7 +254,7 @@ def rule_consistency(spark: SparkSession, d: str) -> DataFrame:
 
     bounds = table(spark, d, "part").groupBy(F.col("p_brand").alias("schema_id"), F.col("p_type").alias("path")).agg(F.min("p_size").cast("double").alias("lo"), F.max("p_size").cast("double").alias("hi"))
     chain = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("a", "op", "b"), row, strict=True)]) for row in _CHAIN])
-    return consistency(bounds, bounds.select("schema_id").distinct().select("schema_id", F.inline(chain)), 3)
+    return consistency(bounds, bounds.select("schema_id").distinct().select("schema_id", F.inline(chain)))
 
 
 QUERIES["rule_consistency"] = rule_consistency
