@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nested as N
+from ..operators.feedback import record_feedback
+from ..operators.fields import extracted
 from ..operators import packages as P
 from ..operators import walk as W
 from .tables import table
@@ -97,7 +99,42 @@ def catalog_errors(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_brand", F.explode("errors").alias("e")).groupBy("p_brand", "e.path", "e.expected").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (tree_errors, unevaluated_errors, package_findings, package_parts, catalog_errors)}
+PACKED = {
+    "type": "object",
+    "required": ["id", "total"],
+    "properties": {"id": {"type": "integer"}, "status": {"enum": ["O", "F"]}, "items": {"type": "array", "minItems": 2, "items": {"properties": {"n": {"maximum": 6}, "qty": {"minimum": 5}}}}},
+}
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    """o_orderkey, text: an order with its lines inside, in no order of keys; every third lacks its total."""
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", q.alias("q"), _text('{"qty":', q, ',"n":', n, F.when(n % 2 == 0, ',"note":"even"').otherwise(""), "}").alias("text"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["text"]), ",").alias("lines"))
+    total = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(_text('"total":', F.floor("o_totalprice"), ","))
+    text = _text("{", total, '"status":"', F.col("o_orderstatus"), '","items":[', F.coalesce("lines", F.lit("")), '],"id":', F.col("o_orderkey"), "}")
+    return table(spark, d, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", text.alias("text"))
+
+
+def nested_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid orders printed with their lines and the errors of both, a line that is missing too."""
+    out = N.validated_json(_packed(spark, d), "text", PACKED)
+    few = F.exists("errors", lambda e: e["expected"].startswith("array & MinItems"))
+    lost = F.struct(F.lit("$input.items[]").alias("path"), F.lit("object").alias("expected"), F.lit("null").alias("value"), F.lit(None).cast("string").alias("description"))
+    errors = F.concat("errors", F.when(few, F.array(lost, lost)).otherwise(F.array().cast(out.schema["errors"].dataType)))
+    return out.where("not valid").select("o_orderkey", record_feedback(F.col("text"), errors).alias("feedback"))
+
+
+_PATHS = ["id", "status", "items[].n", "items[1].qty", "items[].note", "items", "total", "status[]", "id[0]", "items[x]", "items[1", "items..n", "items[0]"]
+
+
+def field_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of orders by path, or why there is none."""
+    rows = F.array(*[F.struct(F.lit(p).alias("path"), extracted(F.col("text"), p).alias("x")) for p in _PATHS])
+    return _packed(spark, d).select("o_orderkey", F.inline(rows)).select("o_orderkey", "path", "x.*")
+
+
+QUERIES = {f.__name__: f for f in (tree_errors, unevaluated_errors, package_findings, package_parts, catalog_errors, nested_feedback, field_paths)}
 
 _LINES = "l AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity::INT) - 1 AS place FROM lineitem)"
 _BRANDS = """b AS (SELECT p_brand, floor(avg(p_size) * 1.5)::INT AS most, list_sort(list(DISTINCT p_type) FILTER (WHERE length(p_type) > 5)) AS types, min(p_size) AS low, max(p_size) AS high, split_part(p_brand, '#', 2)::INT AS n FROM part GROUP BY 1)"""
@@ -121,4 +158,22 @@ ORACLES = {
         UNION ALL SELECT p_brand, '$input.type', 'one of [' || list_aggregate(list_transform(types, lambda x: '"' || x || '"'), 'string_agg', ',') || ']' FROM p WHERE NOT list_contains(types, p_type)
         UNION ALL SELECT p_brand, '$input.name', 'required property' FROM p WHERE p_partkey % 6 = 0 AND n % 3 <> 0)
       SELECT p_brand, path, expected, count(*) AS n FROM e GROUP BY 1, 2, 3""",
+    "nested_feedback": f"""WITH {_LINES}, n AS (SELECT l_orderkey, count(*) AS n FROM l GROUP BY 1),
+      i AS (SELECT l_orderkey, string_agg(E'    {{\n      "n": ' || l_linenumber || ',' || CASE WHEN l_linenumber > 6 THEN ' // ❌ [{{"path":"$input.items[' || place || '].n","expected":"integer & Maximum<6>"}}]' ELSE '' END
+          || CASE WHEN l_linenumber % 2 = 0 THEN E'\n      "note": "even",' ELSE '' END || E'\n      "qty": ' || q || CASE WHEN q < 5 THEN ' // ❌ [{{"path":"$input.items[' || place || '].qty","expected":"integer & Minimum<5>"}}]' ELSE '' END
+          || E'\n    }}', E',\n' ORDER BY place) AS items, bool_or(l_linenumber > 6 OR q < 5) AS wrong FROM l GROUP BY 1),
+      o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderkey % 3 = 0 AS bare, floor(o_totalprice)::BIGINT AS total, coalesce(n, 0) < 2 AS few, coalesce(n, 0) AS n, items, coalesce(wrong, false) AS wrong FROM orders LEFT JOIN n ON n.l_orderkey = o_orderkey LEFT JOIN i ON i.l_orderkey = o_orderkey)
+      SELECT o_orderkey, E'```json\n{{\n  "id": ' || o_orderkey || E',\n  "items": [' || CASE WHEN few THEN ' // ❌ [{{"path":"$input.items","expected":"array & MinItems<2>"}}]' ELSE '' END || E'\n' || coalesce(items, '') || CASE WHEN few AND n > 0 THEN E',\n' ELSE '' END
+        || CASE WHEN few THEN E'    undefined, // ❌ [{{"path":"$input.items[]","expected":"object"}}]\n    undefined // ❌ [{{"path":"$input.items[]","expected":"object"}}]' ELSE '' END || E'\n  ],\n  "status": "' || s || '",'
+        || CASE WHEN s NOT IN ('O', 'F') THEN ' // ❌ [{{"path":"$input.status","expected":"one of ["O","F"]"}}]' ELSE '' END || E'\n  "total": '
+        || CASE WHEN bare THEN 'undefined // ❌ [{{"path":"$input.total","expected":"required property","description":"The value at this path is `undefined`.\\n\\nPlease fill the `total` typed value next time."}}]' ELSE total::VARCHAR END || E'\n}}\n```' AS feedback
+      FROM o WHERE bare OR few OR wrong OR s NOT IN ('O', 'F')""",
+    "field_paths": f"""WITH {_LINES}, g AS (SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, chr(10) ORDER BY place) AS ns, max(q) FILTER (place = 1) AS q1, count(*) AS n, bool_and(l_linenumber % 2 = 0) AS noted, string_agg('even', chr(10)) AS notes,
+          string_agg('{{"n":' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN ',"note":"even"' ELSE '' END || ',"qty":' || q || '}}', chr(10) ORDER BY place) AS whole,
+          max('{{"n":' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN ',"note":"even"' ELSE '' END || ',"qty":' || q || '}}') FILTER (place = 0) AS one FROM l GROUP BY 1),
+      o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderkey % 3 = 0 AS bare, floor(o_totalprice)::BIGINT AS total, coalesce(n, 0) AS n, g.* EXCLUDE (n) FROM orders LEFT JOIN g ON l_orderkey = o_orderkey)
+      SELECT o_orderkey, path, CASE path WHEN 'id' THEN o_orderkey::VARCHAR WHEN 'status' THEN s WHEN 'items[].n' THEN coalesce(ns, '') WHEN 'items[1].qty' THEN q1::VARCHAR WHEN 'items[].note' THEN CASE WHEN n = 0 THEN '' WHEN noted THEN notes END WHEN 'items' THEN coalesce(whole, '') WHEN 'total' THEN CASE WHEN NOT bare THEN total::VARCHAR END WHEN 'items[0]' THEN one END AS text,
+        CASE path WHEN 'items[1].qty' THEN CASE WHEN n < 2 THEN 'index out of bounds: 1' END WHEN 'items[].note' THEN CASE WHEN n > 0 AND NOT noted THEN 'field not found: note' END WHEN 'total' THEN CASE WHEN bare THEN 'field not found: total' END WHEN 'status[]' THEN 'expected array for []' WHEN 'id[0]' THEN 'expected array'
+          WHEN 'items[x]' THEN 'invalid index: x' WHEN 'items[1' THEN 'unclosed bracket in: items[1' WHEN 'items..n' THEN 'empty key in: items..n' WHEN 'items[0]' THEN CASE WHEN n = 0 THEN 'index out of bounds: 0' END END AS error
+      FROM o, (VALUES {', '.join(f"('{p}')" for p in _PATHS)}) v(path)""",
 }
