@@ -37,7 +37,7 @@ from .common import release, staged, table
 from .tokens import tokenizer_path
 
 #: Bytes of text in a block; bytes of runs and their tables in the memo; the longest run that is kept; what a run takes besides its characters and links.
-BLOCK, MOST, LONGEST, EACH = 4 << 20, 128 << 20, 64, 300
+BLOCK, MOST, LONGEST, EACH = 3 << 20, 96 << 20, 64, 300
 #: Runs that are encoded in one text: those that begin with their only white space.
 TOGETHER = 512
 _JOINS = re.compile(r" [^\s\x1c-\x1f]+").fullmatch
