@@ -12,6 +12,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -26,6 +27,7 @@ _OUTSIDE = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|([
 _SPACE = re.compile(r"(?:\s|//[^\n]*|/\*.*?(?:\*/|\Z))*", re.S)
 _FENCE = re.compile(r"```json[^\n]*\n(.*?)(?:```|\Z)", re.S)
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
+_HUGE = re.compile(r"\d[eE]\+?\d{3}")
 _PAIR = re.compile(r"[\ud800-\udbff][\udc00-\udfff]")
 _PARSED = StructType([StructField("json", StringType()), StructField("code", StringType()), StructField("errors", ArrayType(StringType()))])
 _LETTERS = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
@@ -165,11 +167,13 @@ def read(text: str | None) -> tuple[str | None, str | None, list[str]]:
         return None, None, []
     if len(text.encode("utf-8", "replace")) > LONGEST:
         return None, "P003", ["input within 16MB"]
-    try:
-        json.loads(text, parse_constant=_Strange)
-        return text.strip(), None, []
-    except (ValueError, RecursionError):
-        pass
+    if not _HUGE.search(text):  # numbers beyond doubles are read leniently
+        try:
+            twice: list[bool] = []
+            value = json.loads(text, parse_constant=_Strange, object_pairs_hook=lambda p: twice.append(True) or dict(p) if len(d := dict(p)) < len(p) else d)
+            return written(value) if twice else text.strip(), None, []  # of repeated keys the last counts
+        except (ValueError, RecursionError):
+            pass
     bare = text.strip()
     fence = None if bare[:1] in ("{", "[", '"') else _FENCE.search(text)
     body = fence[1].strip() if fence else bare
@@ -185,7 +189,11 @@ def read(text: str | None) -> tuple[str | None, str | None, list[str]]:
                 return None, "P002", ["JSON value"]
         else:
             value, errors = _read(body, start)
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":")), None, errors
+    return written(value), None, errors
+
+
+def written(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 class _Strange(ValueError):
@@ -201,6 +209,25 @@ def parsed(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read(t) for t in texts], columns=["json", "code", "errors"])
 
 
+@F.arrow_udf(StringType())
+def last_wins(texts: pa.Array) -> pa.Array:
+    """JSON text written anew, of repeated keys with the last; null for what isn't JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else written(json.loads(text, parse_constant=_Strange))
+        except (ValueError, RecursionError):
+            return None
+
+    return pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+
+def variant(text: Column) -> Column:
+    """The VARIANT of a JSON text, of repeated keys with the last; null for what isn't JSON. Only texts that the JVM refuses leave it."""
+    first = F.try_parse_json(text)
+    return F.coalesce(first, F.try_parse_json(last_wins(F.when(first.isNull(), text))))
+
+
 def repair(c: Column) -> Column:
     """JSON text, or null where the text holds no value."""
     return parsed(c)["json"]

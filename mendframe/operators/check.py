@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import to_boolean
-from ..functions.repair import parsed
+from ..functions.repair import LONGEST, parsed
+from ..stage import sealed
+from .feedback import record_feedback
 from .nested import NONE, _as, _Value, errors_of_json, field, strict
 from .schemas import resolved
 
@@ -187,19 +189,28 @@ def parse_error_code(expected: Column) -> Column:
 
 
 def checked(df: DataFrame, text: str, schema: dict, closed: bool = False) -> DataFrame:
-    """df with json (repaired and coerced), changes, errors, codes and valid.
+    """df with json (repaired and coerced), changes, errors, codes, feedback and valid.
 
-    codes: that of a failed parse alone, else one for each error and V100 beyond five.
+    codes: those of a failed parse alone, else one for each error and V100 beyond five.
+    feedback: the record with its errors, where it could be read and has any.
     closed: properties that the schema doesn't list are errors.
+    Only texts that aren't JSON as they stand, or repeat a key, leave the JVM to be repaired.
     """
-    read = df.withColumn("_read", parsed(F.col(text))).withColumn("_value", F.try_parse_json("_read.json"))
+    strict_ = F.when(F.octet_length(text) <= LONGEST, F.try_parse_json(text))
+    read = df.withColumn("_strict", strict_).withColumn("_read", parsed(F.when(F.col("_strict").isNull(), F.col(text))))
+    broken = F.coalesce(F.size("_read.errors") > 0, F.lit(False)) & F.col("_read.code").isNull()
+    read = read.withColumn("_value", F.when(~broken, F.coalesce("_strict", F.try_parse_json("_read.json"))))
     typed = read.withColumn("_typed", F.when(F.col("_value").isNotNull(), F.try_parse_json(coerced(schema, F.col("_value")))))
-    out = typed.withColumn("json", F.to_json("_typed")).withColumn("changes", F.when(F.col("_typed").isNotNull(), coercions(schema, F.col("_value"), F.col("_typed"))))
-    failed = F.array(F.struct(F.lit("$input").alias("path"), F.coalesce(F.get("_read.errors", F.lit(0)), F.lit("empty input")).alias("expected"), F.lit("null").alias("value"), F.lit(None).cast("string").alias("description")))
+    out = typed.withColumn("json", F.coalesce(F.to_json("_typed"), F.when(broken, F.col("_read.json")))).withColumn("changes", F.when(F.col("_typed").isNotNull(), coercions(schema, F.col("_value"), F.col("_typed"))))
+    said = F.when(F.size("_read.errors") > 0, F.col("_read.errors")).otherwise(F.array(F.lit("empty input")))
+    failed = F.transform(said, lambda e: F.struct(F.lit("$input").alias("path"), e.alias("expected"), F.lit("null").alias("value"), F.lit(None).cast("string").alias("description")))
     out = out.withColumn("errors", F.when(F.col("_typed").isNull(), F.coalesce(failed, F.array().cast(NONE))).otherwise(errors_of_json(strict(schema) if closed else schema, F.col("_typed"))))
     each = F.transform("errors", lambda e: error_code(e["expected"], e["description"], e["value"]))
-    codes = F.when(F.col("_typed").isNull(), F.array(F.coalesce("_read.code", F.lit("P001")))).otherwise(F.concat(each, F.when(F.size("errors") > 5, F.array(F.lit("V100"))).otherwise(F.array().cast("array<string>"))))
-    return out.withColumn("codes", codes).withColumn("valid", F.col("_typed").isNotNull() & (F.size("errors") == 0)).drop("_read", "_value", "_typed")
+    unread = F.when(F.col("_read.code").isNotNull(), F.array("_read.code")).when(broken, F.transform("_read.errors", parse_error_code)).otherwise(F.array(F.lit("P001")))
+    codes = F.when(F.col("_typed").isNull(), unread).otherwise(F.concat(each, F.when(F.size("errors") > 5, F.array(F.lit("V100"))).otherwise(F.array().cast("array<string>"))))
+    feedback = record_feedback(F.when(F.col("_typed").isNotNull(), F.col("json")), F.col("errors"))
+    out = out.withColumn("codes", codes).withColumn("feedback", feedback).withColumn("valid", F.col("_typed").isNotNull() & (F.size("errors") == 0)).drop("_read", "_strict", "_value", "_typed")
+    return sealed(out, "json", "changes", "errors", "codes", "feedback", "valid")
 
 
 def field_confidence(schema: dict, v: Column, c: Column, errors: Column) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import is_format
+from ..functions.repair import variant
 from .validate import ERROR
 
 TYPES = {"array", "boolean", "integer", "null", "number", "object", "string"}
@@ -357,7 +358,7 @@ def errors_of_json(schema: object, v: Column) -> Column:
 
 def validated_json(df: DataFrame, text: str, schema: object) -> DataFrame:
     """df with errors and valid of the JSON in a text column; text that isn't JSON is one error, of repeated keys the last counts."""
-    value = F.try_parse_json(text)
+    value = variant(F.col(text))
     broken = F.array(F.struct(F.lit("$input").alias("path"), F.lit("JSON value").alias("expected"), F.col(text).alias("value"), F.lit(None).cast("string").alias("description")))
     if not (circular(schema) or fault(schema)) and recursive(schema):
         from .walk import walked

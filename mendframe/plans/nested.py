@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import check as C
 from ..operators import nested as N
 from ..operators import validate as V
+from ..stage import spread
 from .tables import table
 
 ITEM = {
@@ -59,7 +60,7 @@ def _event_texts(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 5 == 0, F.concat(F.lit('So:\n```json\n{"id": "'), n, F.lit('", type: "'), F.upper(t), F.lit('", ok: yes,}\n```'))).when(k % 5 == 1, F.concat(F.lit('{"id": '), n, F.lit(', "type": " '), t, F.lit(' ", "tags": "x"')))
         .when(k % 5 == 2, F.concat(F.lit('{"id": '), n, F.lit(', "ok": "off"}'))).when(k % 5 == 3, F.concat(F.lit("nothing on "), t)).otherwise(F.lit('{"id": "many", "type": "none", "ok": true'))
     )
-    return table(spark, d, "events").select("event_id", text.alias("text"))
+    return spread(table(spark, d, "events")).select("event_id", text.alias("text"))
 
 
 def checked_events(spark: SparkSession, d: str) -> DataFrame:

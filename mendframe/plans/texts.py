@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import is_format
 from ..functions.guards import INJECTIONS, path_component, sanitized, task_scale, url_code
 from ..functions.repair import repair
+from ..stage import spread
 from .tables import table
 
 
@@ -51,7 +52,7 @@ def repaired_events(spark: SparkSession, d: str) -> DataFrame:
         .when(k % 6 == 3, F.concat(F.lit("The event {ok: yes, id: "), n, F.lit(', type: "'), v, F.lit('"} as asked'))).when(k % 6 == 4, F.concat(F.lit('{"type":"'), v, F.lit('","tags":["a","b",,],"id":'), n))
         .otherwise(F.concat(F.lit('{"id": '), n, F.lit(', "ok": tru, "type": "'), v, F.lit('"}')))
     )
-    fixed = table(spark, d, "events").select("event_id", repair(damaged).alias("json"))
+    fixed = spread(table(spark, d, "events")).select("event_id", repair(damaged).alias("json"))
     return fixed.select("event_id", F.get_json_object("json", "$.id").cast("long").alias("id"), F.get_json_object("json", "$.type").alias("type"), F.get_json_object("json", "$.tags[1]").alias("tag"))
 
 

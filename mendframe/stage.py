@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What Spark counts a file's opening as, below which it doesn't split.
+SPLIT = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +39,16 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_at)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is smaller than one split a core, dealt to all cores before costly work on its rows; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPLIT
+    return df.repartition(cores) if small else df
+
+
+def sealed(df: DataFrame, *names: str) -> DataFrame:
+    """df as it is, but that conditions on these columns stay above them: pushed below, they would be worked out again, written out in full."""
+    kept = [c for c in df.columns if c not in names]
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline_outer(F.array(F.struct(*names)))).select(*[F.col(f"`{c}`") for c in df.columns])
