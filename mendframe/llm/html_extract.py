@@ -21,13 +21,13 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _MUL, map_arrow, mix, staged, table, word_hashes
+from .markup import Markup
 
 RUN, SHARD, LEAST_PAGES, LEAST_SHARE = 8, 200_000, 3, 0.2
 BITMAP = 1 << 24
@@ -38,7 +38,9 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-_DROP = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "textarea", "iframe", "object", "svg", "canvas", "dialog", "menu", "audio", "video"}
+_DROP = {"head", "script", "style", "noscript", "template", "button", "select", "textarea", "iframe", "object", "svg", "canvas", "audio", "video"}
+#: Those that mark what they hold as something other than the article.
+_MARK = {"nav", "footer", "aside", "form", "dialog", "menu"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"article", "main", "body", "div", "section", "ul", "ol", "table", "td", "th", "blockquote", "nav", "aside", "footer", "header", "form", "figure"}
@@ -51,36 +53,65 @@ _WORDS = {
 _HEADER = {"header", "head"}
 #: Those that mark an article element as a reader's comment or as something beside the article.
 _NOT_ARTICLE = {"comment", "comments", "disqus", "replies", "reply", "respond", "related", "recommended", "promo", "promotion", "sponsor", "sponsored", "ad", "ads", "advert", "advertisement", "teaser"}
+#: Words that say nothing beside those above: where and how something stands on a page.
+_PLACES = {
+    "bar", "box", "list", "links", "link", "item", "items", "slot", "unit", "wrap", "wrapper", "container", "inner", "outer", "area", "block", "panel", "section", "group", "row", "site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "side", "sticky", "fixed", "mobile",
+    "desktop", "header", "head", "posts", "post", "articles", "stories", "form", "icons", "buttons", "button", "thread", "user", "reader", "line", "text", "message", "js", "the",
+}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _is_other(tag: str, attrs: dict, in_main: bool) -> bool:
-    if tag in _DROP or (tag == "header" and not in_main):
-        return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
-        return True
-    if (attrs.get("role") or "").lower() in _ROLES:
-        return True
+def _named(attrs: dict) -> set[str]:
+    """Words of classes and the id that mark something else: of names that hold nothing but such words, places and numbers."""
+    found: set[str] = set()
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = {w.lower() for w in _PART.findall(name)}
+        if words <= _WORDS | _PLACES | _NOT_ARTICLE:
+            found |= words & (_WORDS | _HEADER | _NOT_ARTICLE)
+    return found
+
+
+def _hidden(tag: str, attrs: dict) -> bool:
+    """Whether an element shows no text of the page."""
+    return tag in _DROP or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or ""))
+
+
+def _mark(tag: str, attrs: dict, in_main: bool) -> str | None:
+    """"beside", "form" or "other" for an element that its tag, role or name marks as something else than the article; None if nothing does."""
+    names = _named(attrs)
     if tag in ("html", "body", "main"):
-        return False
-    words = {w.lower() for w in _PART.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+        return None
+    if names & (_NOT_ARTICLE if tag == "article" else _NOT_ARTICLE & _WORDS):
+        return "beside"
     if tag == "article":
-        return bool(words & _NOT_ARTICLE)
-    return bool(words & _WORDS) or (not in_main and bool(words & _HEADER))
+        return None
+    if tag == "form" and not names & _WORDS:
+        return "form"
+    if tag in _MARK or (attrs.get("role") or "").lower() in _ROLES or names & _WORDS or not in_main and (tag == "header" or names & _HEADER):
+        return "other"
+    return None
 
 
-class _Page(HTMLParser):
-    """Text blocks of one page, and whether an article or main element holds each."""
+class _Page(Markup):
+    """Text blocks of one page, whether an article or main element holds each, and which marked elements do.
+
+    An element that is marked keeps what it holds if that is the page itself: an article or
+    main element (and, for what stands beside articles, most of the text as well), or, for a
+    form, which may wrap a page, most of its text.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, dropped, in article or main
+        super().__init__()
+        self.open: list[tuple[str, bool, str | None, bool]] = []  # tag, hidden above, article or main, marked
         self.blocks: list[str] = []
         self.inside: list[bool] = []
+        self.under: list[tuple[int, ...]] = []
         self.text: list[str] = []
-        self.zone = "body"
         self.dropped = False
         self.zones = {"article": 0, "main": 0}
+        self.marks: list[int] = []  # open marked elements, by number
+        self.kinds: list[str] = []  # of all marked elements
+        self.holds: set[int] = set()  # those with an article or main element inside
 
     def _flush(self) -> None:
         if self.text:
@@ -89,11 +120,14 @@ class _Page(HTMLParser):
             if block:
                 self.blocks.append(block)
                 self.inside.append(any(self.zones.values()))
+                self.under.append(tuple(self.marks))
 
     def _pop(self) -> None:
-        tag, self.dropped, zone = self.open.pop()
+        tag, self.dropped, zone, marked = self.open.pop()
         if zone:
             self.zones[zone] -= 1
+        if marked:
+            self.marks.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag not in _INLINE:
@@ -111,27 +145,37 @@ class _Page(HTMLParser):
             return
         found = {k: v for k, v in attrs}
         was = self.dropped
-        self.dropped = was or _is_other(tag, found, any(self.zones.values()))
-        zone = None
+        self.dropped = was or _hidden(tag, found)
+        zone, kind = None, None
         if not self.dropped:
-            zone = "article" if tag == "article" else "main" if tag == "main" or (found.get("role") or "").lower() == "main" else None
-            if zone:
-                self.zones[zone] += 1
-        self.open.append((tag, was, zone))
+            kind = _mark(tag, found, any(self.zones.values()))
+            if kind:
+                if tag in _INLINE:  # its text is apart from its line's
+                    self._flush()
+                self.marks.append(len(self.kinds))
+                self.kinds.append(kind)
+            else:
+                zone = "article" if tag == "article" else "main" if tag == "main" or (found.get("role") or "").lower() == "main" else None
+                if zone:
+                    self.zones[zone] += 1
+                    self.holds.update(self.marks)
+        self.open.append((tag, was, zone, kind is not None))
 
     def handle_endtag(self, tag):
-        if tag not in _INLINE:
-            self._flush()
-        if any(t == tag for t, _, _ in self.open):
+        if any(t[0] == tag for t in self.open):
             if tag in _INLINE and not self._near(tag):
                 return
-            while self.open[-1][0] != tag:
+            at = max(i for i, t in enumerate(self.open) if t[0] == tag)
+            if tag not in _INLINE or any(t[3] for t in self.open[at:]):
+                self._flush()
+            while len(self.open) > at:
                 self._pop()
-            self._pop()
+        elif tag not in _INLINE:
+            self._flush()
 
     def _near(self, tag: str) -> bool:
         """Whether no block stands between here and the open inline element."""
-        for t, _, _ in reversed(self.open):
+        for t, *_ in reversed(self.open):
             if t == tag:
                 return True
             if t not in _INLINE:
@@ -143,13 +187,25 @@ class _Page(HTMLParser):
             self.text.append(data)
 
 
+    def kept(self) -> list[int]:
+        """Places of the blocks that no marked element takes away."""
+        sizes = [len(b) for b in self.blocks]
+        most, held = sum(sizes) / 2, [0] * len(self.kinds)
+        for n, under in zip(sizes, self.under, strict=True):
+            for m in under:
+                held[m] += n
+        gone = [not (held[m] > most and m in self.holds if kind == "beside" else m in self.holds or kind == "form" and held[m] > most) for m, kind in enumerate(self.kinds)]
+        return [i for i, under in enumerate(self.under) if not any(gone[m] for m in under)]
+
+
 def parts_of(html: str | None) -> tuple[list[str], list[bool]]:
     """The page's blocks, and whether an article or main element holds each."""
     page = _Page()
     page.feed(html or "")
     page.close()
     page._flush()
-    return page.blocks, page.inside
+    kept = page.kept()
+    return [page.blocks[i] for i in kept], [page.inside[i] for i in kept]
 
 
 def blocks_of(html: str | None) -> tuple[bool, list[str]]:

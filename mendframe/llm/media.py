@@ -18,13 +18,13 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from html.parser import HTMLParser
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, staged, table
+from .markup import Markup
 
 TILE = 24
 UNIT = TILE * TILE
@@ -34,11 +34,11 @@ _SILENT = {"script", "style", "template", "noscript", "title"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 
 
-class _Sequence(HTMLParser):
+class _Sequence(Markup):
     """Collects the elements of one page."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.elements: list[dict] = []
         self.words: list[str] = []
         self.silent = 0

@@ -320,19 +320,20 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
 def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """docs with one document of each component, that of the least doc_id, once; documents without words all stay.
 
-    Of rows with that same doc_id one stays, the least by text.
+    Of rows with that same doc_id one stays, the least by text. Rows travel as one struct, so
+    that no column of theirs meets one of this stage's.
     """
     named = staged(similar_documents(docs, size, percent).where("doc_id is not null"), "components")
     gone = named.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = named.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("doc"))
+    kept = packed.join(gone, "doc_id", "left_anti")
+    again = named.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
-        return kept
+        return kept.select("doc.*")
     again = staged(again, "repeated-ids")
-    several = kept.join(again, F.col("doc_id") == F.col("_id"))
-    first = Window.partitionBy("_id").orderBy("text")
-    once = several.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
-    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    first = Window.partitionBy("doc_id").orderBy("doc.text")
+    once = kept.join(again, "doc_id").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc_id", "doc")
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select("doc.*")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
