@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import is_format
 from ..functions.repair import variant
+from ..stage import sealed
 from .validate import ERROR
 
 TYPES = {"array", "boolean", "integer", "null", "number", "object", "string"}
@@ -366,4 +367,5 @@ def validated_json(df: DataFrame, text: str, schema: object) -> DataFrame:
         errors = walked(schema, F.col(text))
     else:
         errors = F.when(F.col("_value").isNull(), broken).otherwise(errors_of_json(schema, F.col("_value")))
-    return df.withColumn("_value", value).withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("_value")
+    out = df.withColumn("_value", value).withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("_value")
+    return sealed(out, "errors", "valid")

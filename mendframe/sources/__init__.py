@@ -1,0 +1 @@
+"""Readers and writers of packages and versions."""
