@@ -26,18 +26,23 @@ PATTERNS = {
     "relative-json-pointer": r"^(?:0|[1-9][0-9]*)(?:#|(?:/(?:[^~/]|~0|~1)*)*)$",
     "byte": r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$",
 }
+#: Names of character properties: general categories, and scripts and blocks by their usual form.
+_PROPERTY = r"^(\^?(L[ulmot]?|M[nce]?|N[dlo]?|P[cdseifo]?|S[mcko]?|Z[slp]?|C[cfson]?)|Alpha(betic)?|Letter|Number|Punctuation|Symbol|Upper(case)?|Lower(case)?|White_?Space|Is\w+|In\w+|(Script|sc|Block|blk|General_Category|gc)=\w+|Latin|Greek|Cyrillic|Han|Hiragana|Katakana|Hangul|Arabic|Hebrew|Thai)$"
 LONGEST = 10_000
 SUPPORTED = sorted({*PATTERNS, "idn-hostname", "iri-reference", "uri-reference", "ipv6", "regex", "password"})
 
 
 def ipv6(c: Column) -> Column:
-    """Up to eight groups of hex digits, one run of them left out, an IPv4 address for the last two."""
+    """Up to eight groups of one to four hex digits, one run of them left out, an IPv4 address for the last two."""
     v4 = F.regexp_extract(c, rf"^(?:.*:)({_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET})$", 1)
     s = F.when(v4 != "", F.regexp_replace(c, r"[^:]+$", "0:0")).otherwise(c)
-    groups = F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
+    groups = F.split(s, ":")
     short = s.contains("::")
-    shape = s.rlike("(?i)^(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?(::)?(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?\\z")
-    return shape & F.when(short, groups <= 7).otherwise(groups == 8)
+    good = F.forall(groups, lambda g: g.rlike("(?i)^[0-9a-f]{0,4}\\z"))
+    # Empty groups stand only where the run is left out: one within, two at an end, three alone.
+    empty = F.size(F.filter(groups, lambda g: g == ""))
+    room = F.when(s == "::", 3).when(s.startswith("::") | s.endswith("::"), 2).otherwise(1)
+    return good & ~s.contains(":::") & F.when(short, (empty == room) & (F.size(groups) - empty <= 7)).otherwise((empty == 0) & (F.size(groups) == 8))
 
 
 def _whole(pattern: str) -> str:
@@ -52,7 +57,15 @@ def regex(c: Column) -> Column:
     steps = F.transform(F.split(F.regexp_replace(classes, "[^()]", ""), ""), lambda p: F.when(p == "(", 1).when(p == ")", -1).otherwise(0))
     # The depth, or a large negative number once a bracket closes nothing.
     depth = F.aggregate(steps, F.lit(0), lambda d, p: F.when(d + p < 0, F.lit(-1 << 20)).otherwise(d + p))
-    return ~bare.endswith("\\") & ~classes.contains("[") & (depth == 0) & ~classes.rlike(r"^[*+?]|[(|][*+]|\|\?")
+    # Ranges and counts that run backwards, and properties that no engine knows.
+    ranges = F.regexp_extract_all(c, F.lit(r"(?s)\[\^?\]?[^\]]*\]"), F.lit(0))
+    spans = lambda k: F.flatten(F.transform(ranges, lambda r: F.regexp_extract_all(r, F.lit(r"([A-Za-z0-9])-([A-Za-z0-9])"), F.lit(k))))
+    backwards = F.exists(F.zip_with(spans(1), spans(2), lambda a, b: F.ascii(a) > F.ascii(b)), lambda x: x)
+    least, most = (F.regexp_extract_all(classes, F.lit(r"\{(\d+),(\d+)\}"), F.lit(k)) for k in (1, 2))
+    counts = F.exists(F.zip_with(least, most, lambda a, b: F.coalesce(a.try_cast("decimal(38,0)") > b.try_cast("decimal(38,0)"), F.lit(False))), lambda x: x)
+    named = F.transform(F.regexp_extract_all(c, F.lit(r"\\[pP]\{([^}]*)\}"), F.lit(1)), lambda n: ~n.rlike(_PROPERTY))
+    odd = backwards | counts | F.exists(named, lambda x: x)
+    return ~bare.endswith("\\") & ~classes.contains("[") & (depth == 0) & ~classes.rlike(r"^[*+?]|[(|][*+]|\|\?") & ~odd
 
 
 def is_format(c: Column, name: str) -> Column:

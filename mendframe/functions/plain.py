@@ -8,10 +8,15 @@ import re
 
 from .formats import LONGEST, PATTERNS
 
+try:
+    import regex as engine  # knows \\p{..}
+except ImportError:
+    engine = re
+
 
 @functools.cache
 def pattern(text: str) -> re.Pattern:
-    return re.compile(text)
+    return engine.compile(text)
 
 
 @functools.cache
@@ -22,8 +27,8 @@ def _whole(name: str) -> re.Pattern:
 
 def _compiles(text: str) -> bool:
     try:
-        re.compile(text)
-    except (re.error, OverflowError, RecursionError):
+        engine.compile(text)
+    except (engine.error, OverflowError, RecursionError, ValueError):
         return False
     return True
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import is_format
+from ..functions.plain import engine
 from ..functions.repair import variant
 from ..stage import sealed
 from .validate import ERROR
@@ -121,10 +122,10 @@ def fault(schema: object) -> str | None:
 def runs(pattern: object) -> bool:
     """Whether a pattern compiles in the tasks: by Python and, where a session is there, by Java."""
     try:
-        re.compile(pattern)
+        engine.compile(pattern)
         if jvm := SparkContext._active_spark_context and SparkContext._active_spark_context._jvm:
             jvm.java.util.regex.Pattern.compile(pattern)
-    except (re.error, TypeError, RecursionError, OverflowError, Py4JJavaError):
+    except (engine.error, TypeError, RecursionError, OverflowError, Py4JJavaError):
         return False
     return True
 

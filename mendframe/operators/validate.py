@@ -28,6 +28,22 @@ def _limit(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else str(x)
 
 
+_INTEGER, _REAL = r"^\s*[+-]?\d+\s*\z", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
+
+
+def _fraction(kind: Column, text: Column) -> Column:
+    number = text.try_cast("double")
+    return kind.rlike("^(float|double|decimal)") & (number != F.rint(number))
+
+
+#: Whether a column of some kind holds what can't be a value of a schema's type: texts that don't read as one, fractions for integers.
+_UNREAD = {
+    "integer": lambda kind, text: ((kind == "string") & ~text.rlike(_INTEGER)) | F.coalesce(_fraction(kind, text), F.lit(False)),
+    "number": lambda kind, text: (kind == "string") & ~text.rlike(_REAL),
+    "boolean": lambda kind, text: ((kind == "string") & ~text.isin("true", "false")) | kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)"),
+}
+
+
 def field_errors(name: str, rules: dict, value: Column, required: bool) -> list[Column]:
     """A Column for each keyword: an error struct where it is broken, else null."""
     path, text = f"$input.{name}", value.cast("string")
@@ -39,14 +55,18 @@ def field_errors(name: str, rules: dict, value: Column, required: bool) -> list[
     if required:
         missing = F.lit(f"The value at `{path}` is `undefined`.")
         found.append(F.when(value.isNull(), _error(path, "required property", F.lit("null"), missing)))
+    if rules.get("type") in _UNREAD:
+        add(_UNREAD[rules["type"]](F.typeof(value), text), rules["type"])
     for key, (op, label) in {
         "minimum": (lambda v, x: v < x, "Minimum"), "maximum": (lambda v, x: v > x, "Maximum"),
         "exclusiveMinimum": (lambda v, x: v <= x, "ExclusiveMinimum"), "exclusiveMaximum": (lambda v, x: v >= x, "ExclusiveMaximum"),
     }.items():
         if key in rules:
             add(op(value, rules[key]), f"{_number(rules[key])}{label}<{_limit(rules[key])}>")
-    if "multipleOf" in rules:
-        add(F.pmod(value.cast("decimal(38,10)"), F.lit(rules["multipleOf"]).cast("decimal(38,10)")) != 0, f"number & MultipleOf<{_limit(rules['multipleOf'])}>")
+    if rules.get("multipleOf"):  # 0 breaks nothing
+        from .nested import is_multiple
+
+        add(~is_multiple(value.try_cast("decimal(38,10)"), value.try_cast("double"), rules["multipleOf"]), f"number & MultipleOf<{_limit(rules['multipleOf'])}>")
     if "minLength" in rules:
         add(F.length(text) < rules["minLength"], f"string & MinLength<{rules['minLength']}>")
     if "maxLength" in rules:
@@ -172,6 +192,16 @@ def truthy(c: Column) -> Column:
     return F.coalesce(~text.isin("null", "false", '""', "[]") & ~text.rlike(r"^-?0(\.0+)?(E-?\d+)?\z"), F.lit(False))
 
 
+def _true(c: Column, logic: object) -> Column:
+    """Whether what a rule gives counts as true: booleans as they are, numbers against 0, texts against the empty one; others by truthy()."""
+    kind = _result(logic)
+    if kind == "boolean":
+        return F.coalesce(c, F.lit(False)) if isinstance(logic, dict) else c
+    if kind == "number":
+        return F.coalesce(c != 0, F.lit(False))
+    return F.coalesce(c != "", F.lit(False)) if kind == "string" else truthy(c)
+
+
 _BOOLEAN = {"==", "===", "!=", "!==", "<", "<=", ">", ">=", "and", "or", "!", "!!", "in", "some", "all", "none"}
 _NUMERIC = {"+", "-", "*", "/", "%", "min", "max"}
 
@@ -194,6 +224,23 @@ def _equal(a: Column, b: Column, left: object, right: object) -> Column:
     return a.eqNullSafe(b)
 
 
+def _variable(name: str, record: Column | None) -> Column:
+    """A variable by dotted path; a number in it is an element's place."""
+    if record is not None and name == "":
+        return record
+    first, *rest = name.split(".")
+    out = F.col(first) if record is None else record[first]
+    for step in rest:
+        out = F.get(out, F.lit(int(step))) if step.isdigit() else out[step]
+    return out
+
+
+def _unlike(left: object, right: object) -> bool:
+    """Whether two sides are known to be of different kinds: for the strict comparisons that is enough to differ."""
+    kinds = [_result(left), _result(right)]
+    return all(k in ("boolean", "number", "string", "null", "list") for k in kinds) and kinds[0] != kinds[1]
+
+
 def compile_rule(logic: object, record: Column | None = None, columns: list[str] | None = None) -> Column:
     """A JSONLogic rule as a Column over the record's columns: variables, arithmetic, comparison, boolean, conditional and array operators.
 
@@ -207,7 +254,7 @@ def compile_rule(logic: object, record: Column | None = None, columns: list[str]
     (op, args), = logic.items()
     inner = lambda x: compile_rule(x, record, columns)
     known = lambda name: columns is None or record is not None or str(name).split(".")[0] in columns
-    value = lambda name: (F.col(str(name)) if record is None else record if name == "" else record[name]) if known(name) else F.lit(None)
+    value = lambda name: _variable(str(name), record) if known(name) else F.lit(None)
     listed = args if isinstance(args, list) else [args]
     if op == "var":
         name = listed[0] if listed else ""
@@ -222,9 +269,9 @@ def compile_rule(logic: object, record: Column | None = None, columns: list[str]
         if op == "map":
             return F.transform(items, each)
         if op == "filter":
-            return F.filter(items, lambda e: truthy(each(e)))
-        any_ = F.coalesce(F.exists(items, lambda e: truthy(each(e))), F.lit(False))
-        return any_ if op == "some" else ~any_ if op == "none" else F.coalesce(F.forall(items, lambda e: truthy(each(e))) & (F.size(items) > 0), F.lit(False))
+            return F.filter(items, lambda e: _true(each(e), listed[1]))
+        any_ = F.coalesce(F.exists(items, lambda e: _true(each(e), listed[1])), F.lit(False))
+        return any_ if op == "some" else ~any_ if op == "none" else F.coalesce(F.forall(items, lambda e: _true(each(e), listed[1])) & (F.size(items) > 0), F.lit(False))
     if op == "reduce":
         items = inner(listed[0])
         return F.aggregate(items, inner(listed[2]).cast("double"), lambda acc, e: compile_rule(listed[1], F.struct(e.alias("current"), acc.alias("accumulator")), columns).cast("double"))
@@ -232,23 +279,23 @@ def compile_rule(logic: object, record: Column | None = None, columns: list[str]
         return inner(listed[0]).isin(*listed[1])
     parts = [inner(a) for a in listed]
     chain = lambda f: f(parts[0], parts[1]) & f(parts[1], parts[2]) if len(parts) == 3 else f(parts[0], parts[1])
-    if op in ("==", "==="):
-        return _equal(*parts, *listed)
-    if op in ("!=", "!=="):
-        return ~_equal(*parts, *listed)
+    if op in ("==", "===", "!=", "!=="):
+        same = F.lit(False) if len(op) == 3 and _unlike(*listed) else _equal(*parts, *listed)
+        return same if op[0] == "=" else ~same
     compare = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
     if op in compare:
         if any(_result(x) == "number" for x in listed):
             parts = [p.try_cast("double") for p in parts]
         return F.coalesce(chain(compare[op]), F.lit(False))
     if op in ("and", "or"):
-        out = truthy(parts[0]) if _result(listed[0]) != "boolean" else parts[0]
+        if not parts:
+            return F.lit(None)
+        out = _true(parts[0], listed[0])
         for p, x in zip(parts[1:], listed[1:], strict=True):
-            right = p if _result(x) == "boolean" else truthy(p)
-            out = out & right if op == "and" else out | right
+            out = out & _true(p, x) if op == "and" else out | _true(p, x)
         return out
     if op in ("!", "!!"):
-        return ~truthy(parts[0]) if op == "!" else truthy(parts[0])
+        return ~_true(parts[0], listed[0]) if op == "!" else _true(parts[0], listed[0])
     if op in ("if", "?:"):
         if len(parts) == 1:
             return parts[0]
@@ -257,7 +304,7 @@ def compile_rule(logic: object, record: Column | None = None, columns: list[str]
         as_one = lambda c: c.cast("variant") if mixed else c
         out = as_one(parts[-1]) if len(parts) % 2 else F.lit(None)
         for i in range(len(parts) - 2 - len(parts) % 2, -1, -2):
-            out = F.when(truthy(parts[i]), as_one(parts[i + 1])).otherwise(out)
+            out = F.when(_true(parts[i], listed[i]), as_one(parts[i + 1])).otherwise(out)
         return out
     fold = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / F.nullif(b, F.lit(0.0)), "%": lambda a, b: a % F.nullif(b, F.lit(0.0))}
     if op in fold:
@@ -286,7 +333,7 @@ def rule_errors(rules: list[tuple[str, object]], columns: list[str] | None = Non
     found = []
     for description, logic in rules:
         try:
-            found.append(F.when(~truthy(compile_rule(logic, columns=columns)), F.lit(description)))
+            found.append(F.when(~_true(compile_rule(logic, columns=columns), logic), F.lit(description)))
         except ValueError as e:
             found.append(F.lit(f"{description}: rule evaluation error: {e}"))
     return F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast("array<string>")

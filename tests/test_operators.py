@@ -141,3 +141,30 @@ def test_repair_loop(spark):
     schema = {"properties": {"a": {"minimum": 3}}, "required": ["a"]}
     passed, failed = repair_loop(lambda df: df.withColumn("a", F.col("a") + 1), spark.createDataFrame([(2,), (1,), (-9,)], "a int"), schema, 2)
     assert sorted(map(tuple, passed.collect())) == [(3, 1), (3, 2)] and [r.a for r in failed.collect()] == [-7]
+
+
+def test_rules_that_used_to_stop(spark):
+    df = spark.createDataFrame([([5, 0], "1", 1)], "l array<int>, s string, n int")
+    cases = [({"and": []}, False), ({"var": "l.0"}, True), ({"var": "l.1"}, False), ({"var": "l.9"}, False), ({"===": [1, "1"]}, False), ({"==": [1, "1"]}, True), ({"!==": [1, "1"]}, True), ({"if": [{"+": [1, -1]}, False, True]}, True), ({"or": [{"cat": ["", ""]}, {"var": "n"}]}, True)]
+    got = df.select(*[V.rule_errors([("r", rule)], df.columns).alias(f"c{i}") for i, (rule, _) in enumerate(cases)]).first()
+    assert [not x for x in got] == [want for _, want in cases]
+
+
+def test_formats_by_rule(spark):
+    good = {"ipv6": ["1:2:3:4:5:6:7:8", "::", "::1", "1::", "1::8", "1:2:3:4:5:6:1.2.3.4", "::ffff:1.2.3.4", "ABCD::1"], "regex": ["[a-z]", "a{2,10}", "\\p{Lu}+", "[z\\-a]", "x{3}", "\\P{L}", "[A-Za-z0-9_]"]}
+    bad = {"ipv6": ["1:2:3:4:5:6:7:12345678", "1:2:3:4:5:6:7", "1::2::3", ":1", "1:", "1:2:3:4:5:6:7:8:9", "1:::2", "g::1", "::1.2.3.999", "1:2:3:4:5:6:7::8:9"], "regex": ["[z-a]", "a{2,1}", "\\p{Foo}", "(", "[", "*"]}
+    for texts, want in ((good, True), (bad, False)):
+        for name, values in texts.items():
+            assert apply(spark, values, lambda c: is_format(c, name)) == [want] * len(values), name
+
+
+def test_flat_multiples(spark):
+    schema = {"properties": {"a": {"multipleOf": 0}, "b": {"multipleOf": 1e-12}, "c": {"multipleOf": 0.1}}}
+    df = V.validated(spark.createDataFrame([(3.0, 3.5, 0.3), (3.0, 3.5, 0.35)], "a double, b double, c double"), schema)
+    assert [[e.expected for e in r.errors] for r in df.orderBy("c").collect()] == [[], ["number & MultipleOf<0.1>"]]
+
+
+def test_flat_types(spark):
+    schema = {"properties": {"i": {"type": "integer"}, "d": {"type": "integer"}, "n": {"type": "number"}, "b": {"type": "boolean"}}}
+    df = V.validated(spark.createDataFrame([("x", 1.5, "1e3", "yes"), ("7", 2.0, "?", "true"), (None, None, None, None)], "i string, d double, n string, b string"), schema)
+    assert [[e.path for e in r.errors] for r in df.collect()] == [["$input.i", "$input.d", "$input.b"], ["$input.n"], []]
