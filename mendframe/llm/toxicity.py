@@ -26,6 +26,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from .common import map_arrow, table
 
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 24_000
 THRESHOLD = 0.7
+#: Entries of the sample's rows that are worked on at a time.
+SLICE = 1 << 20
 #: Words are runs of letters, lower-cased; their beginnings have so many letters.
 _WORDS = re.compile(r"[^\W\d_]+")
 STEMS = range(3, 8)
@@ -70,9 +74,18 @@ def counts_of(texts: list[str | None], index: dict[str, int], known: dict[str, l
     return key // len(index), key % len(index), np.log1p(count).astype(np.float32)
 
 
+def _sums(at: np.ndarray, by: np.ndarray, x: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Sums of x * w[by] by at, a slice of the entries at a time, so that working arrays stay small."""
+    out = np.zeros(n)
+    for lo in range(0, len(x), SLICE):
+        cut = slice(lo, lo + SLICE)
+        out += np.bincount(at[cut], x[cut] * w[by[cut]], n)
+    return out
+
+
 def values(x: Rows, w: np.ndarray, n: int) -> np.ndarray:
     """The products of n sparse rows with the weights."""
-    return np.bincount(x[0], x[2] * w[x[1]], n)
+    return _sums(x[0], x[1], x[2], w, n)
 
 
 def learn_nnpu(x: Rows, size: int, width: int, n: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -92,7 +105,7 @@ def learn_nnpu(x: Rows, size: int, width: int, n: int, prior: float, steps: int
         else:  # step back from overfitting: raise the negative part again
             grad[:n] = prior * s[:n] / n
             grad[n:] = -s[n:] / rest
-        d = np.append(np.bincount(x[1], x[2] * grad[x[0]], width), grad.sum())
+        d = np.append(_sums(x[1], x[0], x[2], grad, width), grad.sum())
         d[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * d, 0.999 * second + 0.001 * d * d
         w -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -110,6 +123,14 @@ def shift(pos: np.ndarray, clean: np.ndarray) -> float:
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
 
 
+def _bytes_of(column: pa.BinaryArray, dtype: str) -> np.ndarray:
+    """All values of a column of bytes, one after the other, as they lie."""
+    if not len(column):
+        return np.empty(0, dtype)
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(dtype)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
     """(words, weights, bias) from the documents that aren't held out."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
@@ -153,8 +174,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     # Positives, unlabelled, confirmed clean, in this order.
     kind = rows["kind"].to_numpy()
     order = np.argsort(np.array([1, 0, 2])[kind], kind="stable")
-    columns, xs = (rows[c].take(order).to_pylist() for c in ("columns", "x"))
-    x = np.repeat(np.arange(len(kind)), [len(c) // 4 for c in columns]), np.frombuffer(b"".join(columns), "<i4").astype(np.int64), np.frombuffer(b"".join(xs), np.float32)
+    columns, xs = (rows[c].take(order).combine_chunks() for c in ("columns", "x"))
+    del rows
+    size = pc.binary_length(columns).to_numpy(zero_copy_only=False) // 4
+    x = np.repeat(np.arange(len(kind), dtype=np.int32), size), _bytes_of(columns, "<i4"), _bytes_of(xs, "<f4")
     n, m = int((kind == 1).sum()), int((kind < 2).sum())
     held = int(np.searchsorted(x[0], m))
     weights, bias = learn_nnpu((x[0][:held], x[1][:held], x[2][:held]), m, len(chosen), n, float(prior))
