@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import nested, packages, properties, records, repairs, rules, stores, texts, tools
+from .plans import catalogs, nested, packages, properties, records, repairs, rules, stores, texts, tools
 
 
 def queries() -> dict:
-    return {**records.QUERIES, **properties.QUERIES, **texts.QUERIES, **tools.QUERIES, **nested.QUERIES, **packages.QUERIES, **rules.QUERIES, **repairs.QUERIES, **stores.QUERIES}
+    return {**records.QUERIES, **properties.QUERIES, **texts.QUERIES, **tools.QUERIES, **nested.QUERIES, **packages.QUERIES, **rules.QUERIES, **repairs.QUERIES, **stores.QUERIES, **catalogs.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {**records.ORACLES, **properties.ORACLES, **texts.ORACLES, **tools.ORACLES, **nested.ORACLES, **packages.ORACLES, **rules.ORACLES, **repairs.ORACLES, **stores.ORACLES}
+    return {**records.ORACLES, **properties.ORACLES, **texts.ORACLES, **tools.ORACLES, **nested.ORACLES, **packages.ORACLES, **rules.ORACLES, **repairs.ORACLES, **stores.ORACLES, **catalogs.ORACLES}

@@ -45,7 +45,7 @@ def steps(path: str) -> list[Step]:
 _FOUND = "struct<values:array<variant>,error:string>"
 
 
-def _with(c: Column, use: Callable[[Column], Column]) -> Column:
+def worked_out_once(c: Column, use: Callable[[Column], Column]) -> Column:
     """use(c), with c worked out once."""
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
@@ -60,14 +60,14 @@ def _resolved(v: Column, path: list[Step]) -> Column:
         return F.struct(F.array(v).alias("values"), F.lit(None).cast("string").alias("error"))
     step, rest = path[0], path[1:]
     if isinstance(step, str):
-        return _with(field(v, step), lambda x: F.when(x.isNull(), _failed(f"field not found: {step}")).otherwise(_resolved(x, rest)))
+        return worked_out_once(field(v, step), lambda x: F.when(x.isNull(), _failed(f"field not found: {step}")).otherwise(_resolved(x, rest)))
     items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
     if step is not None:
         inside = lambda x: F.when(x.isNull(), _failed("expected array")).when(F.size(x) <= step, _failed(f"index out of bounds: {step}")).otherwise(_resolved(F.get(x, F.lit(step)), rest))
-        return _with(items, inside)
+        return worked_out_once(items, inside)
     each = F.transform(items, lambda x: _resolved(x, rest))
     whole = lambda r: F.struct(F.flatten(F.transform(r, lambda x: x["values"])).alias("values"), F.get(F.filter(F.transform(r, lambda x: x["error"]), lambda e: e.isNotNull()), F.lit(0)).alias("error"))
-    return _with(each, lambda r: F.when(r.isNull(), _failed("expected array for []")).otherwise(whole(r)))
+    return worked_out_once(each, lambda r: F.when(r.isNull(), _failed("expected array for []")).otherwise(whole(r)))
 
 
 def _shown(v: Column) -> Column:
@@ -85,4 +85,4 @@ def extracted(text: Column, path: str) -> Column:
     lone = lambda x: F.when((F.size(x) == 1) & F.schema_of_variant(F.get(x, F.lit(0))).startswith("ARRAY"), F.try_variant_get(F.get(x, F.lit(0)), "$", "array<variant>")).otherwise(x)
     lines = lambda r: F.array_join(F.transform(lone(r["values"]), _shown), "\n")
     found = lambda r: F.when(r["error"].isNotNull(), one(none, r["error"])).otherwise(one(lines(r), none))
-    return _with(F.try_parse_json(text), lambda v: F.when(v.isNull(), one(none, F.lit("invalid JSON"))).otherwise(_with(_resolved(v, parsed), found)))
+    return worked_out_once(F.try_parse_json(text), lambda v: F.when(v.isNull(), one(none, F.lit("invalid JSON"))).otherwise(worked_out_once(_resolved(v, parsed), found)))
