@@ -54,7 +54,7 @@ ORACLES = {
         UNION ALL SELECT p_brand, 'S004', 'warning', 'Schema has properties but no "required" array', E'{_HELP4}', NULL FROM b WHERE n % 7 <> 0 AND n % 11 <> 0 AND n % 3 = 0)
       SELECT p_brand, code, '[' || severity || '][' || code || '] ' || message || coalesce(chr(10) || '  context: ' || context, '') || chr(10) || '  help: ' || help AS words,
         '{{"code":' || to_json(code)::VARCHAR || ',"context":' || coalesce(to_json(context)::VARCHAR, 'null') || ',"help":' || to_json(help)::VARCHAR || ',"message":' || to_json(message)::VARCHAR || ',"severity":' || to_json(severity)::VARCHAR || '}}' AS json FROM d""",
-    "partial_schemas": f"""WITH {_BRANDS} SELECT p_brand, '{{"properties":{{"name":{{"type":"string"}},"size":' || CASE WHEN n % 4 = 3 THEN '{{}}' ELSE '{{"maximum":' || most || ',"type":"integer"}}' END || ',"type":{{"enum":[' || list_aggregate(list_transform(types, lambda x: '"' || x || '"'), 'string_agg', ',') || ']}}}}'
+    "partial_schemas": f"""WITH {_BRANDS} SELECT p_brand, '{{"properties":{{"name":{{"type":"string"}},"size":' || CASE WHEN n % 4 = 3 THEN '{{}}' ELSE '{{"maximum":' || most || ',"type":"integer"}}' END || ',"type":{{"enum":[' || coalesce(list_aggregate(list_transform(types, lambda x: '"' || x || '"'), 'string_agg', ','), '') || ']}}}}'
       || CASE WHEN n % 5 = 0 THEN '' ELSE ',"type":"object"' END || '}}' AS schema FROM b""",
     "relation_cases": """WITH t AS (SELECT p_brand, min(p_type) AS a, max(p_type) AS b, ['lte', 'gte', 'eq', 'lt'][(max(p_partkey) % 4 + 1)::INT] AS op FROM part GROUP BY 1),
       s AS (SELECT *, CASE WHEN op = 'gte' THEN b ELSE a END AS x, CASE WHEN op = 'gte' THEN a ELSE b END AS y FROM t WHERE op <> 'lt'),

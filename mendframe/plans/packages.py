@@ -137,7 +137,7 @@ def field_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (tree_errors, unevaluated_errors, package_findings, package_parts, catalog_errors, nested_feedback, field_paths)}
 
 _LINES = "l AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity::INT) - 1 AS place FROM lineitem)"
-_BRANDS = """b AS (SELECT p_brand, floor(avg(p_size) * 1.5)::INT AS most, list_sort(list(DISTINCT p_type) FILTER (WHERE length(p_type) > 5)) AS types, min(p_size) AS low, max(p_size) AS high, split_part(p_brand, '#', 2)::INT AS n FROM part GROUP BY 1)"""
+_BRANDS = """b AS (SELECT p_brand, floor(avg(p_size) * 1.5)::INT AS most, coalesce(list_sort(list(DISTINCT p_type) FILTER (WHERE length(p_type) > 5)), []) AS types, min(p_size) AS low, max(p_size) AS high, split_part(p_brand, '#', 2)::INT AS n FROM part GROUP BY 1)"""
 ORACLES = {
     "tree_errors": f"""WITH RECURSIVE {_LINES},
       w(l_orderkey, place, l_linenumber, q, path, left_) AS (SELECT l_orderkey, place, l_linenumber, q, '$input' || repeat('.right', place::INT), q FROM l
@@ -155,7 +155,7 @@ ORACLES = {
     "package_parts": "SELECT DISTINCT p_brand, true AS package, 1 AS relations, 0 AS rules, 3 AS counterexamples FROM part",
     "catalog_errors": f"""WITH {_BRANDS}, p AS (SELECT * FROM part JOIN b USING (p_brand)), e AS (
         SELECT p_brand, '$input.size' AS path, 'integer & Maximum<' || most || '>' AS expected FROM p WHERE n % 4 <> 3 AND p_size > most
-        UNION ALL SELECT p_brand, '$input.type', 'one of [' || list_aggregate(list_transform(types, lambda x: '"' || x || '"'), 'string_agg', ',') || ']' FROM p WHERE NOT list_contains(types, p_type)
+        UNION ALL SELECT p_brand, '$input.type', 'one of [' || coalesce(list_aggregate(list_transform(types, lambda x: '"' || x || '"'), 'string_agg', ','), '') || ']' FROM p WHERE NOT list_contains(types, p_type)
         UNION ALL SELECT p_brand, '$input.name', 'required property' FROM p WHERE p_partkey % 6 = 0 AND n % 3 <> 0)
       SELECT p_brand, path, expected, count(*) AS n FROM e GROUP BY 1, 2, 3""",
     "nested_feedback": f"""WITH {_LINES}, n AS (SELECT l_orderkey, count(*) AS n FROM l GROUP BY 1),

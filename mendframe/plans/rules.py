@@ -68,6 +68,6 @@ _SOLVED = (
 _VALUE = "CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2 WHEN lo IS NOT NULL THEN lo + 1 WHEN hi IS NOT NULL THEN hi - 1 ELSE 0.0 END"
 ORACLES = {
     "rule_conflicts": f"{_SOLVED} SELECT * FROM c",
-    "rule_examples": f"""{_SOLVED}, x AS (SELECT schema_id, path, {_VALUE} AS v FROM b7 WHERE path <> 'TOTAL' AND schema_id NOT IN (SELECT schema_id FROM c))
+    "rule_examples": f"""{_SOLVED}, x AS (SELECT schema_id, path, {_VALUE} AS v FROM b7 WHERE (schema_id, path) IN (SELECT schema_id, path FROM b0) AND schema_id NOT IN (SELECT schema_id FROM c))
       SELECT schema_id, '{{' || string_agg('"' || path || '":' || CASE WHEN path LIKE 'S%' THEN trunc(v)::BIGINT::VARCHAR ELSE v::VARCHAR END, ',' ORDER BY path) || '}}' AS example FROM x GROUP BY 1""",
 }
