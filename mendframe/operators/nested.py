@@ -29,6 +29,8 @@ from ..functions.repair import variant
 from ..stage import sealed
 from .validate import ERROR
 
+#: Names that are shown as places.
+PLACE = re.compile(r"\+?[0-9]{1,19}")
 TYPES = {"array", "boolean", "integer", "null", "number", "object", "string"}
 NONE = f"array<{ERROR}>"
 
@@ -290,10 +292,16 @@ def compiled(schema: object, v: Column, path: Column, root: object) -> Column:
         few = hits < schema.get("minContains", 1)
         add(x.array & (few | (hits > schema["maxContains"]) if "maxContains" in schema else few), "array & Contains")
 
-    at = lambda name: F.concat(path, F.lit("."), name if isinstance(name, Column) else F.lit(name))
+    missing = lambda name: F.concat(path, F.lit(f".{name}"))
+
+    def at(name: str | Column) -> Column:
+        if isinstance(name, str):
+            return F.concat(path, F.lit(f"[{int(name)}]" if PLACE.fullmatch(name) else f".{name}"))
+        return F.concat(path, F.when(name.rlike(rf"^{PLACE.pattern}\z"), F.concat(F.lit("["), name.try_cast("decimal(20,0)").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), name)))
+
     for name in schema.get("required", []):
         said = f"The value at this path is `undefined`.\n\nPlease fill the `{name}` typed value next time."
-        parts.append(_when(x.object & field(v, name).isNull(), _error(at(name), "required property", None, said)))
+        parts.append(_when(x.object & field(v, name).isNull(), _error(missing(name), "required property", None, said)))
     if "minProperties" in schema:
         add(x.object & (F.size(x.fields) < schema["minProperties"]), f"object & MinProperties<{schema['minProperties']}>")
     if "maxProperties" in schema:
@@ -320,7 +328,7 @@ def compiled(schema: object, v: Column, path: Column, root: object) -> Column:
     for name, needs in {**schema.get("dependentRequired", {}), **{k: d for k, d in schema.get("dependencies", {}).items() if isinstance(d, list)}}.items():
         for other_name in needs:
             said = f"The value at this path is `undefined`.\n\nPlease fill the `{other_name}` typed value next time."
-            parts.append(_when(x.object & field(v, name).isNotNull() & field(v, other_name).isNull(), _error(at(other_name), "required property", None, said)))
+            parts.append(_when(x.object & field(v, name).isNotNull() & field(v, other_name).isNull(), _error(missing(other_name), "required property", None, said)))
     for name, s in {**schema.get("dependentSchemas", {}), **{k: d for k, d in schema.get("dependencies", {}).items() if not isinstance(d, list)}}.items():
         parts.append(_below(field(v, name), inner(s, v, path)))
 

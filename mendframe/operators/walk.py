@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.plain import has_format, pattern
-from .nested import circular, fault
+from .nested import PLACE, circular, fault
 from .validate import ERROR
 
 #: Bytes of instructions that are shipped with tasks at most; records of a key that a task takes before the key is spread.
@@ -204,11 +204,15 @@ def compiled_text(text: str | None) -> list[tuple[int, str, str, list[int]]]:
 
 
 def shown(path: tuple) -> str:
-    """A place as text. A path is (the path above, name or index), () at the top, so that a step costs the same at any depth."""
+    """A place as text. A path is (the path above, name or index), () at the top, so that a step costs the same at any depth.
+
+    A name of digits is shown as a place, but for one that is missing, which has a third part.
+    """
     steps = []
     while path:
-        path, step = path
-        steps.append(f"[{step}]" if isinstance(step, int) else f".{step}")
+        path, step, *missing = path
+        number = isinstance(step, int) or not missing and PLACE.fullmatch(step)
+        steps.append(f"[{int(step)}]" if number else f".{step}")
     return "$input" + "".join(reversed(steps))
 
 
@@ -355,7 +359,7 @@ class Walk:
     def _required(self, op, arg, to, v, path, out, own) -> None:
         if isinstance(v, dict):
             needed = arg[0] + [x for k, names in arg[1].items() if k in v for x in names]
-            out += [((path, k), "required property", None, f"The value at this path is `undefined`.\n\nPlease fill the `{k}` typed value next time.") for k in needed if k not in v]
+            out += [((path, k, "missing"), "required property", None, f"The value at this path is `undefined`.\n\nPlease fill the `{k}` typed value next time.") for k in needed if k not in v]
 
     def _named(self, names, v, path, out, own, to) -> None:
         for k, t in zip(names, to, strict=True):

@@ -78,6 +78,15 @@ CASES = [
 ]
 
 
+def test_names_of_digits_are_places(spark):
+    schema = {"properties": {"0": {"type": "null"}, "a": {"required": ["7"]}}, "patternProperties": {"^[1-9]": {"type": "string"}}}
+    text = '{"0": 1, "12": 2, "1x": 3, "a": {}}'
+    want = [("$input.1x", "string"), ("$input.a.7", "required property"), ("$input[0]", "null"), ("$input[12]", "string")]
+    assert sorted(found(schema, json.loads(text))) == want
+    row = N.validated_json(spark.createDataFrame([(text,)], "t string"), "t", schema).first()
+    assert sorted((e.path, e.expected) for e in row.errors) == want
+
+
 @pytest.mark.parametrize("case", range(len(CASES)))
 def test_keywords(case):
     schema, value, wanted = CASES[case]
