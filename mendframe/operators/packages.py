@@ -66,7 +66,7 @@ def lint(packages: DataFrame, key: str) -> DataFrame:
 def loose_counterexamples(packages: DataFrame, key: str) -> DataFrame:
     """key, place (from 1), counterexample of those that their own schema lets pass."""
     each = packages.select(F.col(key), F.posexplode("counterexamples").alias("_at", "counterexample")).withColumn("place", F.col("_at") + 1)
-    checked = validated_by(each, "counterexample", key, packages.where("package").select(key, "schema"))
+    checked = validated_by(each, "counterexample", key, packages.where("package").select(key, "schema"), coerce=True)
     return checked.where("valid").select(key, "place", "counterexample")
 
 

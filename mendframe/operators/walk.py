@@ -20,6 +20,7 @@ error; a multipleOf of 0 breaks nothing. Other columns pass through, whatever th
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,6 +42,7 @@ _SIZES = {
     "minLength": ("string", str, lambda n, x: n < x), "maxLength": ("string", str, lambda n, x: n > x), "minItems": ("array", list, lambda n, x: n < x), "maxItems": ("array", list, lambda n, x: n > x),
     "minProperties": ("object", dict, lambda n, x: n < x), "maxProperties": ("object", dict, lambda n, x: n > x),
 }
+_WHOLE, _REAL = re.compile(r"[+-]?[0-9]+"), re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
 _INPLACE = ("allOf", "anyOf", "oneOf")
 
 
@@ -137,6 +139,8 @@ def _keywords(s: object, root: object, at) -> Iterator[tuple[str, object, list[i
             yield k, s[k], []
     if s.get("uniqueItems") is True:
         yield "uniqueItems", None, []
+    if "default" in s:
+        yield "default", s["default"], []
     old = isinstance(s.get("items"), list)
     first = s.get("prefixItems", s["items"] if old else [])
     if first:
@@ -408,6 +412,127 @@ class Walk:
             out.append((path, "valid property name at $input", v, None))
 
 
+# Values as near to their schema as their text allows
+
+
+def named(text: str, options: list) -> object:
+    """The option that a text names: itself, but for case, or a number written so; Ellipsis if none."""
+    texts = [o for o in options if isinstance(o, str)]
+    same_ = [o for o in texts if o == text] + [o for o in texts if o.lower() == text.lower()]
+    return next(iter(same_ + [o for o in options if isinstance(o, (int, float)) and not isinstance(o, bool) and written(o) == text]), ...)
+
+
+def number_of(text: str) -> object:
+    """The number that a text stands for, with thousands commas or a suffix k or m; Ellipsis if none."""
+    bare = text.replace(",", "").strip(" ")
+    if _WHOLE.fullmatch(bare) and -(1 << 63) <= int(bare) < 1 << 63:
+        return int(bare)
+    body = bare[:-1] if bare[-1:] in tuple("kKmM") and bare else bare
+    if not _REAL.fullmatch(body):
+        return ...
+    value = float(body) * (1 if body == bare else {"k": 1e3, "m": 1e6}[bare[-1].lower()])
+    return value if abs(value) < float("inf") else ...
+
+
+def boolean_of(text: str) -> object:
+    bare = text.strip(" ")
+    low = bare.lower()
+    if low in ("yes", "y", "on") or bare and "true".startswith(bare):
+        return True
+    return False if low in ("no", "n", "off") or bare and "false".startswith(bare) else ...
+
+
+def object_of(text: str) -> object:
+    try:
+        value = json.loads(text, parse_constant=_strange)
+    except (ValueError, RecursionError):
+        return ...
+    return value if isinstance(value, dict) else ...
+
+
+class Coercion(Walk):
+    """A walk that first brings values near their schema, by the same instructions."""
+
+    def errors(self, value: object) -> list[tuple[str, str, object, str | None]]:
+        return super().errors(self.coerced(0, value))
+
+    def _known(self, at: int) -> dict:
+        """Instructions by keyword, references followed; of allOf the properties of its parts."""
+        own = {op: (arg, to) for op, arg, to in self.code.get(at, ())}
+        for _ in range(16):
+            if "ref" not in own:
+                break
+            own = {op: (arg, to) for op, arg, to in self.code.get(own["ref"][1][0], ())}
+        if "allOf" in own:
+            parts = [self._known(t).get("properties", ([], [])) for t in own["allOf"][1]]
+            both = {k: t for names, to in parts for k, t in zip(names, to, strict=True)}
+            own = {k: v for k, v in own.items() if k not in ("allOf", "properties", "required")} | {"properties": (list(both), list(both.values()))}
+        return own
+
+    def coerced(self, at: int, v: object) -> object:
+        own = self._known(at)
+        if "const" in own or "ref" in own or "lost" in own or "fault" in own:
+            return v
+        for union in ("anyOf", "oneOf"):
+            if union in own:
+                return self._of_union(own[union][1], v)
+        kind = own.get("type", ([],))[0]
+        kinds = set(kind) if isinstance(kind, list) else {kind}
+        options = own.get("enum", ([],))[0]
+        if kinds == {"string"}:
+            if v is None or isinstance(v, (list, dict)):
+                return v
+            text = (v if isinstance(v, str) else written(v)).strip(" ")
+            found = named(text, options)
+            return text if found is ... else found
+        if kinds == {"array"}:
+            return self._as_list(own.get("items", (0, []))[1], v)
+        out = v
+        if kinds == {"object"} or "properties" in own:
+            inside = object_of(v) if isinstance(v, str) else v
+            out = self._as_object(own, inside) if isinstance(inside, dict) else v
+        elif isinstance(v, str):
+            found = (
+                named(v, options) if options else number_of(v) if kinds & {"number", "integer"} else boolean_of(v) if kinds == {"boolean"}
+                else (None if v.strip(" ").lower() in ("n", "nu", "nul", "null") else ...) if kinds == {"null"} else object_of(v) if "object" not in kinds else ...
+            )
+            out = v if found is ... else found
+        return own["default"][0] if v is None and "default" in own else out
+
+    def _as_list(self, to: list[int], v: object) -> list:
+        inner = lambda x: self.coerced(to[0], x) if to else x
+        if isinstance(v, list):
+            return [inner(x) for x in v]
+        if isinstance(v, dict) and set(v) == {str(i) for i in range(len(v))}:
+            return [inner(v[str(i)]) for i in range(len(v))]
+        return [inner(v)]
+
+    def _as_object(self, own: dict, v: dict) -> dict:
+        properties = dict(zip(*own.get("properties", ([], [])), strict=True))
+        other = own.get("additionalProperties", (None, []))[1]
+        out = {}
+        for name, t in properties.items():
+            below = self._known(t)
+            if v.get(name) is None and "default" in below:
+                out[name] = below["default"][0]
+            elif name in v:
+                out[name] = self.coerced(t, v[name])
+        return out | {k: self.coerced(other[0], x) if other else x for k, x in v.items() if k not in properties}
+
+    def _of_union(self, to: list[int], v: object) -> object:
+        """A string stays if a variant takes strings, else it is what the one variant that can read it makes of it; containers go by the one variant of their kind."""
+        kinds = [set(k) if isinstance(k, list) else {k} for k in (self._known(t).get("type", ([],))[0] for t in to)]
+        if isinstance(v, str) and not any("string" in k for k in kinds):
+            read = [self.coerced(t, v) for t, k in zip(to, kinds, strict=True) if k & {"number", "integer", "boolean", "null"}]
+            changed = [x for x in read if not same(x, v)]
+            return changed[0] if len(changed) == 1 else v
+        for kind, there in (("object", isinstance(v, dict)), ("array", isinstance(v, list))):
+            own = [t for t, k in zip(to, kinds, strict=True) if kind in k]
+            if there and len(own) == 1:
+                return self.coerced(own[0], v)
+        return v
+
+
 def _strange(name: str) -> object:
     raise ValueError(name)
 
@@ -433,8 +558,8 @@ _FRAMES = 60_000
 _ERRORS = pa.list_(pa.struct([(k, pa.string()) for k in ("path", "expected", "value", "description")]))
 
 
-def _loaded(rows: list) -> Walk:
-    return Walk([(r["at"], r["op"], json.loads(r["arg"]), r["to"]) for r in rows])
+def _loaded(rows: list, kind: type[Walk]) -> Walk:
+    return kind([(r["at"], r["op"], json.loads(r["arg"]), r["to"]) for r in rows])
 
 
 def walked(schema: object, text: Column) -> Column:
@@ -450,8 +575,9 @@ def walked(schema: object, text: Column) -> Column:
     return run(text)
 
 
-def validated_by(records: DataFrame, text: str, key: str, schemas: DataFrame, schema: str = "schema", shipped: int = SHIPPED, spread: int = SPREAD) -> DataFrame:
-    """records with errors and valid, each by the schema of its key; schemas holds the key column and schema texts, a key once."""
+def validated_by(records: DataFrame, text: str, key: str, schemas: DataFrame, schema: str = "schema", coerce: bool = False, shipped: int = SHIPPED, spread: int = SPREAD) -> DataFrame:
+    """records with errors and valid, each by the schema of its key, coerced by it first if asked; schemas holds the key column and schema texts, a key once."""
+    kind = Coercion if coerce else Walk
     code = instructions(schemas, key, schema)
     size = code.agg(F.coalesce(F.sum(F.octet_length("arg") + F.octet_length("op") + 4 * F.size("to") + 16), F.lit(0)).alias("n")).first()["n"]
     packed = records.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
@@ -461,13 +587,13 @@ def validated_by(records: DataFrame, text: str, key: str, schemas: DataFrame, sc
         for r in code.collect():
             found[r[key]].append(r)
         programs = {k: [(r["at"], r["op"], r["arg"], r["to"]) for r in v] for k, v in found.items()}
-        done = packed.mapInArrow(_by_shipped(programs), out)
+        done = packed.mapInArrow(_by_shipped(programs, kind), out)
     else:
-        done = _merged(packed, code, key, spread).mapInArrow(_by_stream, out)
+        done = _merged(packed, code, key, spread).mapInArrow(_by_stream(kind), out)
     return done.select("_row.*", "errors", (F.size("errors") == 0).alias("valid"))
 
 
-def _by_shipped(programs: dict):
+def _by_shipped(programs: dict, kind: type[Walk]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(_FRAMES)
         walks: dict = {}
@@ -475,7 +601,7 @@ def _by_shipped(programs: dict):
             errors = []
             for k, t in zip(b.column("_key").to_pylist(), b.column("_text").to_pylist(), strict=True):
                 if k not in walks:
-                    walks[k] = Walk([(at, op, json.loads(arg), to) for at, op, arg, to in programs[k]]) if k in programs else None
+                    walks[k] = kind([(at, op, json.loads(arg), to) for at, op, arg, to in programs[k]]) if k in programs else None
                 errors.append(errors_of_text(walks[k], t))
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_key"), pa.array(errors, _ERRORS)], names=["_row", "_key", "errors"])
 
@@ -494,19 +620,22 @@ def _merged(packed: DataFrame, code: DataFrame, key: str, spread: int) -> DataFr
     return both.repartition("_key", "_part").sortWithinPartitions("_key", "_part", F.col("_code").isNull())
 
 
-def _by_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sys.setrecursionlimit(_FRAMES)
-    key, walk = ..., None
-    for b in batches:
-        errors, kept = [], []
-        codes = b.column("_code").to_pylist()
-        for i, (k, t) in enumerate(zip(b.column("_key").to_pylist(), b.column("_text").to_pylist(), strict=True)):
-            if codes[i] is not None:
-                key, walk = k, _loaded(codes[i])
-                continue
-            if k != key:
-                key, walk = k, None
-            errors.append(errors_of_text(walk, t))
-            kept.append(i)
-        rows = b.take(pa.array(kept, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows.column("_row"), rows.column("_key"), pa.array(errors, _ERRORS)], names=["_row", "_key", "errors"])
+def _by_stream(kind: type[Walk]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(_FRAMES)
+        key, walk = ..., None
+        for b in batches:
+            errors, kept = [], []
+            codes = b.column("_code").to_pylist()
+            for i, (k, t) in enumerate(zip(b.column("_key").to_pylist(), b.column("_text").to_pylist(), strict=True)):
+                if codes[i] is not None:
+                    key, walk = k, _loaded(codes[i], kind)
+                    continue
+                if k != key:
+                    key, walk = k, None
+                errors.append(errors_of_text(walk, t))
+                kept.append(i)
+            rows = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("_row"), rows.column("_key"), pa.array(errors, _ERRORS)], names=["_row", "_key", "errors"])
+
+    return run

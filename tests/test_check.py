@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from mendframe.operators import check as C
+from mendframe.operators import walk as W
 
 S = {"type": "string"}
 #: schema, value, coerced value, types of change
@@ -47,6 +48,12 @@ def test_coercions(spark):
         assert [x.type for x in r.log] == kinds, (schema, value, r.log)
 
 
+def test_coercion_along_the_data_equals_the_columns():
+    for schema, value, want, _ in CASES:
+        walk = W.Coercion([(at, op, json.loads(arg), to) for at, op, arg, to in W.compiled(schema)])
+        assert W.same(walk.coerced(0, value), want), (schema, value, walk.coerced(0, value))
+
+
 def test_check_from_text(spark):
     schema = {"type": "object", "properties": {"name": S, "age": {"type": "integer", "minimum": 0, "maximum": 150}, "email": {**S, "format": "email"}, "role": {**S, "enum": ["admin", "user"]}}, "required": ["name", "age"]}
     rows = [(1, 'Sure! ```json\n{name: "A", age: "25", role: "Admin",}\n```'), (2, '{"age": 200, "email": "x", "role": "none"}'), (3, ""), (4, None), (5, '{"name": "B", "age": []}'), (6, "no json")]

@@ -15,7 +15,7 @@ from mendframe.sources import packages as S
 
 def test_packages_from_files(spark, tmp_path):
     texts = {
-        "full.json": json.dumps({"schema": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {}}}, "relations": [{"field_a": "a", "operator": "lt", "field_b": "b"}, {"field_a": 3}], "rules": [{"logic": {"==": [1, 1]}}, {"description": "d"}], "counterexamples": [{"a": "x"}, {"a": 1}]}),
+        "full.json": json.dumps({"schema": {"type": "object", "properties": {"a": {"type": "integer"}, "b": {}}}, "relations": [{"field_a": "a", "operator": "lt", "field_b": "b"}, {"field_a": 3}], "rules": [{"logic": {"==": [1, 1]}}, {"description": "d"}], "counterexamples": [{"a": "x"}, {"a": "1"}]}),
         "plain.json": '{"type": "string",\n "minLength": 1}', "odd.json": '{"schema": {"title": "no type"}}', "broken.json": "{", "empty.json": "",
     }
     for name, text in texts.items():
