@@ -35,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", accept), ("line_dedup", dedup_lines), ("ngram_jaccard", dedup_documents), ("source_mix", mix_sources), ("packing", pack)]
 
-#: Learned scores, edit distances and searches aren't SQL; the tests hold run() against brute force.
+#: Learned scores, edit distances and searches aren't SQL; tests hold the operators of the stages against brute force, and what each stage keeps against its rules.
 ORACLE_SQL = None
 
 
