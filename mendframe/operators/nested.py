@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import is_format
 from ..functions.plain import engine
-from ..functions.repair import variant
 from ..stage import sealed
 from .validate import ERROR
 
@@ -367,14 +366,9 @@ def errors_of_json(schema: object, v: Column) -> Column:
 
 
 def validated_json(df: DataFrame, text: str, schema: object) -> DataFrame:
-    """df with errors and valid of the JSON in a text column; text that isn't JSON is one error, of repeated keys the last counts."""
-    value = variant(F.col(text))
-    broken = F.array(F.struct(F.lit("$input").alias("path"), F.lit("JSON value").alias("expected"), F.col(text).alias("value"), F.lit(None).cast("string").alias("description")))
-    if not (circular(schema) or fault(schema)) and recursive(schema):
-        from .walk import walked
+    """df with errors and valid of the JSON in a text column, in one pass over it; text that isn't JSON is one error, of repeated keys the last counts."""
+    from .straight import text_of
+    from .walk import walked, written
 
-        errors = walked(schema, F.col(text))
-    else:
-        errors = F.when(F.col("_value").isNull(), broken).otherwise(errors_of_json(schema, F.col("_value")))
-    out = df.withColumn("_value", value).withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("_value")
+    out = df.withColumn("errors", walked(schema, F.col(text), written if recursive(schema) else text_of)).withColumn("valid", F.size("errors") == 0)
     return sealed(out, "errors", "valid")

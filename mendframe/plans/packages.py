@@ -25,11 +25,11 @@ def _text(*parts: str | Column) -> Column:
 def _trees(spark: SparkSession, d: str) -> DataFrame:
     """An order's lines as a tree: each line leads right to the next one and left down as many nodes as its quantity; lines 3 and 7 end in a node without value."""
     line = table(spark, d, "lineitem")
-    q, end = F.col("l_quantity").cast("int"), F.when(F.col("l_linenumber") % 4 == 3, "{}").otherwise('{"v":1}')
-    deep = F.concat(F.expr("""repeat('{"v":1,"left":', int(l_quantity) - 1)"""), end, F.expr("repeat('}', int(l_quantity) - 1)"))
-    rows = line.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", q.alias("q"), deep.alias("deep")).alias("x"))
+    rows = line.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("int").alias("q")).alias("x"))
     lines = rows.groupBy("l_orderkey").agg(F.reverse(F.sort_array(F.collect_list("x"))).alias("lines"))  # as many as an order has
-    node = lambda rest, x: _text('{"v":', x["q"], ',"left":', x["deep"], F.when(rest == "", "").otherwise(F.concat(F.lit(',"right":'), rest)), "}")
+    end = lambda x: F.when(x["l_linenumber"] % 4 == 3, "{}").otherwise('{"v":1}')
+    deep = lambda x: F.concat(F.repeat(F.lit('{"v":1,"left":'), x["q"] - 1), end(x), F.repeat(F.lit("}"), x["q"] - 1))  # noqa: E731, texts are made after the shuffle
+    node = lambda rest, x: _text('{"v":', x["q"], ',"left":', deep(x), F.when(rest == "", "").otherwise(F.concat(F.lit(',"right":'), rest)), "}")
     return lines.select("l_orderkey", F.aggregate("lines", F.lit(""), node).alias("text"))
 
 
