@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..stage import sealed
-from .check import coerced, field_confidence
-from .nested import _as, errors_of_json
+from .check import coerced_text, errors_of_text, field_confidence
+from .nested import _as
 
 #: Broken relations count against the first field.
 Relations = list[tuple[str, str, str]]
@@ -46,9 +46,9 @@ def judged(df: DataFrame, record: str, schema: dict, relations: Relations, name:
         return F.struct(f["field"].alias("field"), F.when(bad, 0.0).otherwise(f["confidence"]).alias("confidence"), F.when(bad, "invalid").otherwise(f["status"]).alias("status"), reason.alias("reason"))
 
     # One column a step, so that each is worked out once.
-    out = df.withColumn("_typed", F.try_parse_json(coerced(schema, F.col(record)))).withColumn("_errors", errors_of_json(schema, F.col("_typed"))).withColumn("_wrong", wrong)
+    out = df.withColumn("_near", coerced_text(schema, F.to_json(record))).withColumns({"_typed": F.try_parse_json("_near"), "_errors": errors_of_text(schema, F.col("_near"))}).withColumn("_wrong", wrong)
     out = out.withColumn("_fields", field_confidence(schema, F.col(record), F.col("_typed"), F.col("_errors")))
-    return sealed(out.withColumn(name, F.transform("_fields", told)).drop("_typed", "_errors", "_wrong", "_fields"), name)
+    return sealed(out.withColumn(name, F.transform("_fields", told)).drop("_near", "_typed", "_errors", "_wrong", "_fields"), name)
 
 
 def _broken(op: str, a: Column, b: Column) -> Column:

@@ -74,3 +74,30 @@ def test_field_confidence(spark):
     df = df.withColumn("c", F.parse_json(C.coerced(schema, F.col("v")))).withColumn("e", C.errors_of_json(schema, F.col("c")))
     got = {r.field: (r.confidence, r.status) for r in df.select(F.inline(C.field_confidence(schema, F.col("v"), F.col("c"), F.col("e")))).collect()}
     assert got == {"a": (1.0, "coerced"), "b": (0.9, "coerced"), "c": (0.9, "coerced"), "d": (0.6, "coerced"), "e": (0.7, "coerced"), "f": (0.0, "invalid")}
+
+
+def test_typed_values_equal_the_columns():
+    from mendframe.operators.typed import Typed
+
+    for schema, value, want, kinds in CASES:
+        value = W.decode(json.dumps(value))
+        near = Typed(schema).coerced(value)
+        assert W.same(near, want) and [k for _, _, _, k in Typed(schema).changes(value, near)] == kinds, (schema, value, near)
+    assert Typed({"items": {"type": "string"}, "type": "array"}).text("[7.50, 1e7, true, null]") == '["7.5","1.0E7","true",null]'
+
+
+def test_checked_keeps_numbers_and_reads_a_text_once(spark):
+    rows = [(1, '{"n": "1,5", "x": 0.1234567890123456789, "y": 1.50, "z": 1e7}'), (2, '{"x": 1e999}'), (3, '{"n": 1} tail'), (4, "[" * 600 + "1")]
+    df = C.checked(spark.createDataFrame(rows, "i int, text string"), "text", {"properties": {"n": {"type": "integer"}}})
+    out = {r.i: r for r in df.collect()}
+    assert out[1].json == '{"n":15,"x":0.1234567890123456789,"y":1.5,"z":1.0E7}' and out[1].changes[0].coerced == "15"
+    assert json.loads(out[2].json) == {"x": 0} and json.loads(out[3].json) == {"n": 1} and out[4].codes == ["P006"]
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_large_tables_are_spread_too(spark, tmp_path, monkeypatch):
+    from mendframe import stage
+
+    spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(stage, "SPLIT", 10_000)
+    assert stage.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
