@@ -42,10 +42,10 @@ def drop(*frames: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that is smaller than one split a core, dealt to all cores before costly work on its rows; any larger one as it is."""
+    """A table dealt to tasks of one SPLIT each, as many as there are cores at least, before costly work on its rows: a small file is wide in rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SPLIT
-    return df.repartition(cores) if small else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(cores, -(-size // SPLIT)))
 
 
 def sealed(df: DataFrame, *names: str) -> DataFrame:
