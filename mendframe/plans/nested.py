@@ -74,7 +74,7 @@ def checked_events(spark: SparkSession, d: str) -> DataFrame:
 def field_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Mean confidence by field and status of the events that are objects."""
     texts = _event_texts(spark, d).where("event_id % 5 <> 3").select(C.parsed("text")["json"].alias("json"))
-    typed = texts.withColumn("v", F.try_parse_json("json")).withColumn("c", F.try_parse_json(C.coerced(EVENT, F.col("v")))).withColumn("errors", N.errors_of_json(EVENT, F.col("c")))
+    typed = texts.withColumn("near", C.coerced_text(EVENT, F.col("json"))).withColumns({"v": F.try_parse_json("json"), "c": F.try_parse_json("near"), "errors": C.errors_of_text(EVENT, F.col("near"))})
     return typed.select(F.inline(C.field_confidence(EVENT, F.col("v"), F.col("c"), F.col("errors")))).groupBy("field", "status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
