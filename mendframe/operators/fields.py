@@ -61,7 +61,7 @@ def _resolved(v: Column, path: list[Step]) -> Column:
     step, rest = path[0], path[1:]
     if isinstance(step, str):
         return worked_out_once(field(v, step), lambda x: F.when(x.isNull(), _failed(f"field not found: {step}")).otherwise(_resolved(x, rest)))
-    items = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    items = F.try_variant_get(v, "$", "array<variant>")  # null for what is no array
     if step is not None:
         inside = lambda x: F.when(x.isNull(), _failed("expected array")).when(F.size(x) <= step, _failed(f"index out of bounds: {step}")).otherwise(_resolved(F.get(x, F.lit(step)), rest))
         return worked_out_once(items, inside)
@@ -71,18 +71,23 @@ def _resolved(v: Column, path: list[Step]) -> Column:
 
 
 def _shown(v: Column) -> Column:
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))  # a container as its JSON, a null as null
 
 
 def extracted(text: Column, path: str) -> Column:
     """A struct of text (values as text, one a line; a lone array by its elements) and error, one of them null."""
+    return extracted_from(F.try_parse_json(text), path)
+
+
+def extracted_from(value: Column, path: str) -> Column:
+    """extracted() of a text that has been parsed, a VARIANT, so that several paths parse it once."""
     one = lambda t, e: F.struct(t.cast("string").alias("text"), e.cast("string").alias("error"))
     none = F.lit(None)
     try:
         parsed = steps(path)
     except ValueError as e:
         return one(none, F.lit(str(e)))
-    lone = lambda x: F.when((F.size(x) == 1) & F.schema_of_variant(F.get(x, F.lit(0))).startswith("ARRAY"), F.try_variant_get(F.get(x, F.lit(0)), "$", "array<variant>")).otherwise(x)
+    lone = lambda x: F.coalesce(F.when(F.size(x) == 1, F.try_variant_get(F.get(x, F.lit(0)), "$", "array<variant>")), x)
     lines = lambda r: F.array_join(F.transform(lone(r["values"]), _shown), "\n")
     found = lambda r: F.when(r["error"].isNotNull(), one(none, r["error"])).otherwise(one(lines(r), none))
-    return worked_out_once(F.try_parse_json(text), lambda v: F.when(v.isNull(), one(none, F.lit("invalid JSON"))).otherwise(worked_out_once(_resolved(v, parsed), found)))
+    return worked_out_once(value, lambda v: F.when(v.isNull(), one(none, F.lit("invalid JSON"))).otherwise(worked_out_once(_resolved(v, parsed), found)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nested as N
 from ..operators.feedback import record_feedback
-from ..operators.fields import extracted
+from ..operators.fields import extracted_from
 from ..operators import packages as P
 from ..operators import walk as W
 from .tables import table
@@ -130,8 +130,8 @@ _PATHS = ["id", "status", "items[].n", "items[1].qty", "items[].note", "items",
 
 def field_paths(spark: SparkSession, d: str) -> DataFrame:
     """Fields of orders by path, or why there is none."""
-    rows = F.array(*[F.struct(F.lit(p).alias("path"), extracted(F.col("text"), p).alias("x")) for p in _PATHS])
-    return _packed(spark, d).select("o_orderkey", F.inline(rows)).select("o_orderkey", "path", "x.*")
+    rows = F.array(*[F.struct(F.lit(p).alias("path"), extracted_from(F.col("v"), p).alias("x")) for p in _PATHS])
+    return _packed(spark, d).select("o_orderkey", F.try_parse_json("text").alias("v")).select("o_orderkey", F.inline(rows)).select("o_orderkey", "path", "x.*")
 
 
 QUERIES = {f.__name__: f for f in (tree_errors, unevaluated_errors, package_findings, package_parts, catalog_errors, nested_feedback, field_paths)}

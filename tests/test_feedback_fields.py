@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from mendframe.operators import feedback as R
 from mendframe.operators import fields as P
@@ -72,3 +73,13 @@ def test_extracted(spark):
     for i, (path, want) in enumerate(cases.items()):
         assert tuple(rows[0][str(i)]) == want, path
         assert all(r[str(i)].text is None and (r[str(i)].error == "invalid JSON" or "unclosed" in r[str(i)].error) for r in rows[1:])
+
+
+def test_paths_parse_a_text_once(spark):
+    from mendframe.operators.fields import extracted, extracted_from
+
+    paths = ["a", "a[]", "b.c", "d[].e", "f", "g"]
+    df = spark.createDataFrame([('{"a": [1.50, "x", null, {"k": "v"}], "b": {"c": "t"}, "d": [{"e": [1]}, {"e": true}], "f": null, "g": "[1]"}',), ("no",), (None,)], "t string").withColumn("v", F.try_parse_json("t"))
+    rows = df.select(*[extracted(F.col("t"), p).alias(f"t{i}") for i, p in enumerate(paths)], *[extracted_from(F.col("v"), p).alias(f"v{i}") for i, p in enumerate(paths)]).collect()
+    assert all(r[f"t{i}"] == r[f"v{i}"] for r in rows for i in range(len(paths)))
+    assert [rows[0][f"v{i}"].text for i in range(6)] == ['1.5\nx\nnull\n{"k":"v"}', '1.5\nx\nnull\n{"k":"v"}', "t", "[1]\ntrue", "null", "[1]"]
