@@ -4,7 +4,8 @@ similar_fields() finds pairs of fields whose vectors are alike by signed random
 band is the signs of `bits` projections, and two vectors at angle t agree on one with
 probability 1 - t / pi. Fields that share a band are compared exactly. Fields of equal vectors
 are one class, compared once, so copies never meet in pairs; the members of a class come with
-it. Null, empty and zero vectors are like nothing, nor are vectors of another length.
+it. Vectors are sealed, else conditions on them would be worked out for every row below a distinct
+that names them once. Null, empty and zero vectors are like nothing, nor are vectors of another length.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..stage import sealed
 from .fields import worked_out_once
 from .packages import lint
 
+#: Vectors whose bands are made at once: a vector comes once a band.
+AT_ONCE = 128
 # Severity, message and help of each code.
 DIAGNOSTICS = {
     "S001": ("Error", "Cannot read schema", "Ensure the schema exists and is readable."),
@@ -82,25 +86,26 @@ def similar_fields(fields: DataFrame, least: float = 0.8, bits: int = 10, bands:
     bits and bands set what is found and what it costs: a pair at cosine 0.8 shares a band with
     probability 1 - (1 - 0.795 ** bits) ** bands, 0.992 as they stand; more fields want more of both.
     """
-    named = fields.where(F.col("name").isNotNull() & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+    named = sealed(fields, "vector").where(F.col("name").isNotNull() & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
     wide = named.withColumn("vector", F.transform("vector", lambda x: x.cast("double")))
     classes = wide.groupBy("vector").agg(F.min("name").alias("class"))
     members = wide.join(classes, "vector").select("name", "class").distinct()
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            names, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            for name, v in zip(names, vectors, strict=True):
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.Generator(np.random.PCG64(seed)).standard_normal((len(v), bits * bands))
-                x = np.array(v)
-                signs = ((x @ planes[len(v)]) > 0).reshape(bands, bits) @ (1 << np.arange(bits))
-                out[0].extend([name] * bands)
-                out[1].extend(((np.arange(bands) << 40) + (len(v) << 24) + signs).tolist())
-                out[2].extend([(x / np.linalg.norm(x)).tolist()] * bands)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], names=["class", "band", "unit"])
+        for whole in batches:
+            for batch in (whole.slice(lo, AT_ONCE) for lo in range(0, whole.num_rows, AT_ONCE)):
+                names, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                out: tuple[list, list, list] = ([], [], [])
+                for name, v in zip(names, vectors, strict=True):
+                    if len(v) not in planes:
+                        planes[len(v)] = np.random.Generator(np.random.PCG64(seed)).standard_normal((len(v), bits * bands))
+                    x = np.array(v)
+                    signs = ((x @ planes[len(v)]) > 0).reshape(bands, bits) @ (1 << np.arange(bits))
+                    out[0].extend([name] * bands)
+                    out[1].extend(((np.arange(bands) << 40) + (len(v) << 24) + signs).tolist())
+                    out[2].extend([(x / np.linalg.norm(x)).tolist()] * bands)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], names=["class", "band", "unit"])
 
     banded = classes.select("class", "vector").mapInArrow(run, "class string, band long, unit array<double>")
     a, b = banded.alias("a"), banded.alias("b")

@@ -46,3 +46,11 @@ def test_similar_fields_recall(spark):
     classes = {m.name: m["class"] for m in members.collect()}
     assert classes["copy7"] == "copy0" == classes["f0"] and "zero" not in classes and "nan" not in classes and len(classes) == 541
     assert C.unifiable(spark.createDataFrame([], "name string, vector array<double>")).count() == 0
+
+
+def test_vectors_are_made_above_distinct(spark):
+    rows = spark.range(100).select(F.concat(F.lit("n"), (F.col("id") % 3).cast("string")).alias("name")).distinct()
+    pairs, _ = C.similar_fields(rows.select("name", C.name_vector(F.col("name")).alias("vector")))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [name") :].split("\n")
+    assert not any("md5" in line for line in below[1 : next(i for i, line in enumerate(below) if "Range" in line) + 1])
