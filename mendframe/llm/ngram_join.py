@@ -171,20 +171,34 @@ def _star(live: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 #: Four longs of bits: which of 256 classes of the middle's shingles a class lacks.
 LACKS = [f"lacks{i}" for i in range(4)]
+#: A posting of a long list carries so many of its class's postings before it.
+BEFORE = 8
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components in one list, whose bounds let them be similar.
+def _preceded(rest: DataFrame) -> DataFrame:
+    """rest with the tokens that stand just before a posting's in its class's prefix."""
+    return rest.withColumn("before", F.collect_list("token").over(Window.partitionBy("cid").orderBy("pos").rowsBetween(-BEFORE, -1)))
+
+
+def _meetings(rest: DataFrame, percent: int) -> DataFrame:
+    """Postings of classes of different components in one list, whose bounds let them be similar.
 
     core: what a class shares with its list's middle, of `whole` shingles, and lacks the others;
-    extra: what else it may share.
+    extra: what else it may share. before: tokens of earlier lists; two classes that share one of
+    them have met there, under bounds that hold for every list, so they meet here no more. The
+    first list that two share under the common order is never passed over.
     """
-    held = ["cid", "n", "pos", "c", "core", "extra", *LACKS]
+    held = ["cid", "n", "pos", "c", "core", "extra", "before", *LACKS]
     other = rest.select("token", *[F.col(c).alias(f"p_{c}") for c in held])
     lacking = sum((F.bit_count(F.col(c).bitwiseOR(F.col(f"p_{c}"))) for c in LACKS), F.lit(0))
     most = F.least("core", "p_core", F.col("whole") - lacking) + F.least("extra", "p_extra")
     enough = most * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
-    return _pairs(rest.join(other, "token").where("c < p_c").where(enough), percent)
+    return rest.join(other, "token").where("c < p_c").where(enough).where(~F.arrays_overlap("before", "p_before"))
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that meet in a list."""
+    return _pairs(_meetings(rest, percent), percent)
 
 
 def _viable(docs: DataFrame, rest: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -299,11 +313,11 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75) -> Data
 
     # Lists that still hold several components: every pair across them that may be similar.
     rest = staged(_of_several(live.select("token", "cid", "n", "pos"), parts).distinct(), "rest")
-    across = _across(rest.where(f"m < {LONG_LIST}").withColumns({"core": F.col("n"), "extra": F.lit(0), "whole": F.col("n"), **dict.fromkeys(LACKS, F.lit(0).cast("long"))}), percent)
+    across = _across(rest.where(f"m < {LONG_LIST}").withColumns({"core": F.col("n"), "extra": F.lit(0), "whole": F.col("n"), "before": F.array().cast("array<long>"), **dict.fromkeys(LACKS, F.lit(0).cast("long"))}), percent)
     long, met = _viable(docs, rest.where(f"m >= {LONG_LIST}").drop("c", "m"), size, percent)
     links = staged(links.unionByName(met), "links")
     long = _of_several(staged(long, "long"), staged(connected_components(links), "parts"))
-    across = across.unionByName(_across(long, percent))
+    across = across.unionByName(_across(_preceded(long), percent))
     across = staged(across.distinct().join(stars, ["a", "b"], "left_anti"), "across")
     more = _verified(docs, staged(_promising(across, heads_of, percent), "promising"), size, percent)
     parts = staged(connected_components(links.unionByName(more)), "parts")

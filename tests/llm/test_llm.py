@@ -110,6 +110,22 @@ def test_heads_bound_what_sets_share():
         assert both <= most or 7 * both < 3 * (len(x) + len(y))  # 0 says: not similar
 
 
+def test_classes_of_long_lists_meet_once(spark):
+    """Classes that share most of their prefix meet in one list or few, not in each; none that meets is lost."""
+    rng, rows = random.Random(11), []
+    for c in range(12):
+        prefix = range(60) if c < 4 else sorted(rng.sample(range(200), 30))
+        rows += [(t, c, 240, i, c, 240, 0, 240, 0, 0, 0, 0) for i, t in enumerate(prefix)]
+    bits = [f"{name} long" for name in ngram_join.LACKS]
+    rest = spark.createDataFrame(rows, ", ".join(["token long", "cid long", "n int", "pos int", "c long", "core int", "extra int", "whole int", *bits]))
+    met = [(r.cid, r.p_cid) for r in ngram_join._meetings(ngram_join._preceded(rest), 75).select("cid", F.col("p_c").alias("p_cid")).collect()]
+    held = collections.defaultdict(set)
+    for t, c, *_ in rows:
+        held[c].add(t)
+    assert set(met) == {(a, b) for a in held for b in held if a < b and held[a] & held[b]}
+    assert all(met.count((a, b)) == 1 for a in range(4) for b in range(a + 1, 4))
+
+
 def test_ngram_join_odd(odd, none):
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(odd).collect())
     assert got[(0, 0, 0)] == 1 and got[(1, 0, 1)] == 1 and got[(3, 1, 3)] == 3 and sum(got.values()) == odd.count()
