@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mendframe.operators import check as C
@@ -95,6 +96,19 @@ def test_checked_keeps_numbers_and_reads_a_text_once(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_texts_that_repeat_in_a_batch_are_checked_once(monkeypatch):
+    """So many orders' attempts have the same few texts; nulls are checked too."""
+    schema = {"type": "object", "properties": {"qty": {"type": "integer", "maximum": 30}}, "required": ["qty"]}
+    typed, walk = C.Typed(schema), C.Walk([(at, op, json.loads(arg), to) for at, op, arg, to in W.compiled(schema)])
+    texts = ['{"qty": "7"}', None, "no idea", "{qty: 40,}", '{"qty": 1}'] * 100
+    alone = [C.checked_batch(typed, walk, pa.array([t], pa.string())).to_pylist()[0] for t in texts[:5]]
+    asked, own = [], C.typed_rows
+    monkeypatch.setattr(C, "typed_rows", lambda typed, walk, t: asked.append(t) or own(typed, walk, t))
+    assert C.checked_batch(typed, walk, pa.array(texts, pa.string())).to_pylist() == alone * 100
+    assert len(asked) == 5
+    assert C.checked_batch(typed, walk, pa.array([], pa.string())).to_pylist() == []
+
+
 def test_large_tables_are_spread_too(spark, tmp_path, monkeypatch):
     from mendframe import stage
 
