@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,14 @@ def error(path, expected, description=None):
     return {"path": path, "expected": expected, "value": "null", "description": description}
 
 
+def test_errors_are_read_a_field_at_a_time():
+    of = pa.list_(pa.struct([(n, pa.string()) for n in ("path", "expected", "value", "description")]))
+    rows = [[error("$input.a", "x"), error("$input.b", "y", "z")], None, [], [error("$input.c", "w")]]
+    shown = [[{k: e[k] for k in ("path", "expected", "description")} for e in r or []] for r in rows]
+    assert R.lists_of_errors(pa.array(rows, of)) == shown
+    assert R.lists_of_errors(pa.array(rows, of).slice(1)) == shown[1:]
+
+
 def test_printed():
     value = {"b": [{"x": 1}, None, [], {}], "a": {"in": "q\"\n"}, "e": {}}
     errors = [
