@@ -2,13 +2,14 @@
 
 Parts that structure marks as something else (menus, headers, footers, sidebars, notices,
 adverts, forms, comments) go. The other blocks of every page, marked by an article or main
-element or not, are one token stream, held as 32 bits of each token's hash. A host's distinct
+element or not, are one token stream of 32 bits of each token's hash. A host's distinct
 streams are cut into shards of about SHARD tokens, each with a suffix array (sorted to RUN
 tokens by prefix doubling). A run of RUN tokens is boilerplate if LEAST_PAGES and LEAST_SHARE of
 the host's distinct streams hold it. That count is over the whole host: a run that meets it has
 a fair part of it in some shard, which names it a candidate by hash; the candidates' streams
-are then counted over all pages by an aggregation. Only hashes are shuffled, and the blocks of
-the pages that hold boilerplate.
+are then counted over all pages by an aggregation. Shards read 16 bits a token, so they name
+a few runs too many at most; the count is by all 32. Only hashes are shuffled, and the blocks
+of the pages that hold boilerplate.
 
 Covered runs go, unique runs stay. Article and main elements are a guard only: where a page
 would lose over half of their tokens it is a copy of an article, and keeps them whole.
@@ -21,12 +22,15 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MUL, map_arrow, mix, staged, table, word_hashes
+from .common import _MUL, map_arrow, mix, release, slices, staged, table, word_hashes
 from .markup import Markup
 
 RUN, SHARD, LEAST_PAGES, LEAST_SHARE = 8, 200_000, 3, 0.2
@@ -295,18 +299,40 @@ def main_text(blocks: list[str], inside: list[bool], gone: np.ndarray) -> str:
     return "\n".join(unique_runs(blocks, gone))
 
 
-def _read(tokens: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(t, "<u4") for t in tokens]
+def streams_of(texts: pa.Array) -> list[np.ndarray]:
+    """stream_of() of each text, its blocks joined by \\n, all at once: each distinct word is hashed once."""
+    words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    flat = words.flatten().dictionary_encode()
+    hashes = (word_hashes([w.encode() for w in flat.dictionary.to_pylist()]) >> np.uint64(32)).astype("<u4")
+    tokens = hashes[flat.indices.to_numpy()]
+    parts = np.split(tokens, np.cumsum(pc.list_value_length(words).to_numpy())[:-1]) if len(texts) else []
+    return [s if n else s[:0] for s, n in zip(parts, pc.binary_length(texts).to_pylist(), strict=True)]
 
 
-def _runs(tokens: bytes) -> np.ndarray:
-    """The distinct runs of one stream."""
-    run, ends = run_hashes(_read([tokens]))
-    return np.unique(run[ends])
+def coarse(stream: np.ndarray) -> np.ndarray:
+    """16 of each token's 32 bits. Equal runs stay equal, so that runs counted by them are a few too many at most."""
+    return (stream >> np.uint32(16)).astype("<u2")
+
+
+def _arrow(df: DataFrame, rows: Callable[..., dict], schema: str, limit: int = 4_000_000) -> DataFrame:
+    """Apply rows(*Arrow columns) -> columns to slices of some `limit` bytes of the last column."""
+    target = df.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(target)
+        for batch in batches:
+            for lo, hi in slices(batch.column(batch.num_columns - 1), limit):
+                out = rows(*batch.slice(lo, hi - lo).columns)
+                yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        release()
+
+    return df.mapInArrow(run, target)
 
 
 def _cells(runs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the cells of the runs (host, run) set."""
+    """A bitmap of fixed size with the cells of the values (run) set."""
     cell = F.pmod("run", F.lit(BITMAP))
     words = runs.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(run, {BITMAP}) & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP >> 6, np.uint64)
@@ -319,19 +345,24 @@ def _in(bitmap: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
 
 
-def boilerplate(parsed: DataFrame, size: int = SHARD) -> DataFrame:
-    """host, run of the runs that enough distinct streams of their host hold; parsed: host, kind, n_tokens, tokens."""
+def boilerplate(parsed: DataFrame, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """host, run of the runs that enough distinct streams of their host hold; and the kinds of the pages that may hold one, all of these and few others. parsed: host, kind, n_tokens, text."""
     by_kind = parsed.groupBy("host", "kind").agg(F.first("n_tokens").alias("n"))
     need = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.count("*") * LEAST_SHARE)).cast("long")
     hosts = by_kind.groupBy("host").agg((1 + F.floor(F.sum("n") / size)).alias("shards"), need.alias("need"))
-    cut = parsed.select("host", "kind", "tokens").join(hosts, "host").withColumn("shard", F.pmod("kind", F.col("shards")))
+
+    def shipped(host, kind, text):
+        return {"host": host, "kind": kind, "tokens": [coarse(s).tobytes() for s in streams_of(text)]}
+
+    streams = _arrow(parsed.select("host", "kind", "text"), shipped, "host string, kind long, tokens binary")
+    cut = streams.join(hosts, "host").withColumn("shard", F.pmod("kind", F.col("shards")))
     shards = cut.groupBy("host", "shard", "shards", "need").agg(F.collect_set(F.struct("kind", "tokens")).alias("pages"))
     shards = shards.select("host", "shards", "need", F.transform("pages", lambda p: p["kind"]).alias("kinds"), F.transform("pages", lambda p: p["tokens"]).alias("pages"))
 
     def name(_, host, shards, need, kinds, pages):
-        out = {"host": [], "need": [], "run": []}
+        out = {"host": [], "need": [], "near": []}
         for h, s, t, k, p in zip(host, shards, need, kinds, pages, strict=True):
-            streams = _read(p)
+            streams = [np.frombuffer(x, "<u2") for x in p]
             rank, on_pages = counted(streams, np.array(k, np.int64))
             run, ends = run_hashes(streams)
             found = np.unique(run[ends & (on_pages[rank] >= -(-t // s))])
@@ -339,17 +370,28 @@ def boilerplate(parsed: DataFrame, size: int = SHARD) -> DataFrame:
                 out[column] += v
         return out
 
-    asked = staged(map_arrow(shards, name, "host string, need long, run long", limit=400).distinct(), "runs-asked")
-    bitmap = _cells(asked)
-
-    def held(_, host, kind, tokens):
-        found = [(lambda r: r[_in(bitmap, r)])(_runs(t)) for t in tokens]
-        n = [len(f) for f in found]
-        return {"host": np.repeat(np.array(host, object), n).tolist(), "kind": np.repeat(np.array(kind, np.int64), n), "run": np.concatenate([np.empty(0, np.int64), *found])}
-
-    on = map_arrow(parsed.select("host", "kind", "tokens"), held, "host string, kind long, run long")
-    counts = on.groupBy("host", "run").agg(F.count_distinct("kind").alias("n"))
-    return staged(counts.join(asked, ["host", "run"]).where("n >= need").select("host", "run"), "runs")
+    asked = staged(map_arrow(shards, name, "host string, need long, near long", limit=400).distinct(), "runs-asked")
+    bitmap = _cells(asked.select(F.col("near").alias("run")))
+
+    def held(host, kind, text):
+        streams = streams_of(text)
+        near, ends = run_hashes([coarse(s) for s in streams])
+        at = np.flatnonzero(ends & _in(bitmap, near))
+        page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])[at]
+        pages, count = np.unique(page, return_counts=True)
+        # Of the pages that hold any, the whole runs behind the coarse ones.
+        mine = [streams[i] for i in pages.tolist()]
+        whole, _ = run_hashes(mine)
+        starts = np.cumsum([0, *[len(s) + 1 for s in streams]])[page]
+        own = np.cumsum([0, *[len(s) + 1 for s in mine]])[np.repeat(np.arange(len(pages)), count)]
+        offsets = pa.array(np.cumsum([0, *count]).astype(np.int32))
+        lists = {"near": near[at], "run": whole[at - starts + own]}
+        return {"host": host.take(pa.array(pages)), "kind": kind.take(pa.array(pages))} | {k: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for k, v in lists.items()}
+
+    on = staged(_arrow(parsed.select("host", "kind", "text"), held, "host string, kind long, near array<long>, run array<long>"), "runs-held")
+    each = on.select("host", "kind", F.inline(F.arrays_zip("near", "run")))
+    counts = each.groupBy("host", "near", "run").agg(F.count_distinct("kind").alias("n"))
+    return staged(counts.join(asked, ["host", "near"]).where("n >= need").select("host", "run"), "runs"), on.select("kind")
 
 
 def extract(pages: DataFrame, size: int = SHARD) -> DataFrame:
@@ -357,41 +399,37 @@ def extract(pages: DataFrame, size: int = SHARD) -> DataFrame:
 
     def rows(_, page_id, url, html):
         found = [parts_of(h) for h in html]
-        tokens = [stream_of(b) for b, _ in found]
-        return {"page_id": page_id, "url": url, "n_tokens": [len(t) for t in tokens], "tokens": [t.tobytes() for t in tokens], "inside": [i for _, i in found], "blocks": [b for b, _ in found]}
+        return {"page_id": page_id, "url": url, "n_tokens": [sum(b.count(" ") + 1 for b in blocks) for blocks, _ in found], "inside": [i for _, i in found], "text": ["\n".join(b) for b, _ in found]}
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     picked = pages.select(F.col("page_id").cast("long"), "url", "html")
-    read = map_arrow(picked, rows, "page_id long, url string, n_tokens long, tokens binary, inside array<boolean>, blocks array<string>")
+    # No block holds a \n, so the text of all gives them back.
+    read = map_arrow(picked, rows, "page_id long, url string, n_tokens long, inside array<boolean>, text string")
     # Equal streams are one kind of page.
-    parsed = staged(read.withColumns({"host": host, "kind": F.xxhash64("tokens")}), "blocks")
-    runs = boilerplate(parsed, size)
-    bitmap = _cells(runs)
-
-    def hit(tokens: bytes) -> bool:
-        return bool(_in(bitmap, _runs(tokens)).any())
+    parsed = staged(read.withColumns({"host": host, "kind": F.xxhash64(F.replace("text", F.lit("\n"), F.lit(" ")))}), "blocks")
+    runs, kinds = boilerplate(parsed, size)
+    bitmap = _cells(kinds.select(F.col("kind").alias("run")))
 
-    def whole(_, page_id, url, tokens, blocks):
-        kept = [i for i, t in enumerate(tokens) if not hit(t)]
-        return {"page_id": [page_id[i] for i in kept], "url": [url[i] for i in kept], "text": ["\n".join(blocks[i]) for i in kept]}
+    def of(hit: bool, *names: str) -> Callable[..., dict]:
+        def rows(kind, *columns):
+            keep = pa.array(_in(bitmap, kind.to_numpy()) == hit)
+            return dict(zip(names, (c.filter(keep) for c in columns), strict=True))
 
-    def marked(_, page_id, url, host, inside, blocks, tokens):
-        kept = [i for i, t in enumerate(tokens) if hit(t)]
-        return {k: [v[i] for i in kept] for k, v in zip(("page_id", "url", "host", "inside", "blocks", "tokens"), (page_id, url, host, inside, blocks, tokens), strict=True)}
+        return rows
 
-    def strip(_, page_id, url, runs, inside, tokens, blocks):
+    def strip(_, page_id, url, runs, inside, text):
         texts = []
-        for r, i, t, b in zip(runs, inside, tokens, blocks, strict=True):
-            run, ends = run_hashes(_read([t]))
-            gone = covered(np.flatnonzero(ends & np.isin(run, np.array(r or [], np.int64))), [len(t) // 4])[0]
-            texts.append(main_text(b, i, gone))
+        for r, i, t, tokens in zip(runs, inside, text, streams_of(pa.array(text, pa.string())), strict=True):
+            run, ends = run_hashes([tokens])
+            gone = covered(np.flatnonzero(ends & np.isin(run, np.array(r or [], np.int64))), [len(tokens)])[0]
+            texts.append(main_text(t.split("\n") if t else [], i, gone))
         return {"page_id": page_id, "url": url, "text": texts}
 
-    kept = map_arrow(parsed.select("page_id", "url", "tokens", "blocks"), whole, "page_id long, url string, text string")
-    cut = map_arrow(parsed.select("page_id", "url", "host", "inside", "blocks", "tokens"), marked, "page_id long, url string, host string, inside array<boolean>, blocks array<string>, tokens binary")
+    kept = _arrow(parsed.select("kind", "page_id", "url", "text"), of(False, "page_id", "url", "text"), "page_id long, url string, text string")
+    cut = _arrow(parsed.select("kind", "page_id", "url", "host", "inside", "text"), of(True, "page_id", "url", "host", "inside", "text"), "page_id long, url string, host string, inside array<boolean>, text string")
     # Each run is on a fifth of a host's streams, so a host has few: some five times a stream's at most.
     of_host = runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
-    cut = cut.join(of_host, "host", "left").select("page_id", "url", "runs", "inside", "tokens", "blocks")
+    cut = cut.join(of_host, "host", "left").select("page_id", "url", "runs", "inside", "text")
     return kept.unionByName(map_arrow(cut, strip, "page_id long, url string, text string"))
 
 

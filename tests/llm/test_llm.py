@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -592,6 +593,27 @@ def test_host_runs_reach_marked_pages(spark):
         assert len(got) == len(rows) + 1 and dict(got) == want
 
 
+def test_pages_are_staged_without_tokens(spark, monkeypatch):
+    """Shards read 16 bits a token: runs that only those hold alike aren't counted together, and no table but the shuffled one holds tokens."""
+    seen, alike = {}, None
+    for i in range(5000):
+        h = int(html_extract.stream_of([f"word{i}"])[0]) >> 16
+        if h in seen:
+            alike = (seen[h], f"word{i}")
+            break
+        seen[h] = f"word{i}"
+    menu = "home news sport weather travel money shop %s help about us"
+    rows = [(i, f"https://h.example/{i}", f"<p>own text {i}</p><div>{menu % alike[i % 2]}</div>") for i in range(4)]
+    rows += [(10 + i, f"https://k.example/{i}", f"<p>own text {i}</p><div>{menu % alike[0]}</div>") for i in range(4)]
+    tables, staged = {}, html_extract.staged
+    monkeypatch.setattr(html_extract, "staged", lambda df, name: tables.setdefault(name, staged(df, name)))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text {i}" + (f"\n{menu % alike[i % 2]}" if i < 10 else "") for i in (0, 1, 2, 3)} | {10 + i: f"own text {i}" for i in range(4)}
+    assert "tokens" not in tables["blocks"].columns
+    texts = ["", "a b\nc", "x", "\u00e9 a"]
+    assert [s.tolist() for s in html_extract.streams_of(pa.array(texts))] == [html_extract.stream_of(t.split("\n") if t else []).tolist() for t in texts]
+
+
 def slow_walk(text):
     level, pos, out, step = fingerprint.level_of(len(text)), 0, [], 0
     classes = [*fingerprint._classes(text).tolist(), 0] if text else [0]
