@@ -107,6 +107,25 @@ def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(column)
 
 
+#: Bits of a bitmap of values.
+BITMAP = 1 << 24
+
+
+def cells(df: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of fixed size with the cells of a column of longs set."""
+    cell = F.pmod(F.col(name), F.lit(BITMAP))
+    words = df.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {BITMAP}) & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP >> 6, np.uint64)
+    bitmap[words["w"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def among(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value's cell is set: of those that were counted always, of few others."""
+    at = values % BITMAP
+    return bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words between ASCII white space."""
     return (text or "").encode().lower().split()

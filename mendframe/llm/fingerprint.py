@@ -12,8 +12,8 @@ Likeness is the share of equal samples, of the longer's. Banding joins texts one
 bands of WIDTH sampled steps agrees: at likeness 0.75 that is 94 in 100, more above. Pairs are
 verified by likeness. Each text is first linked to the least one that it shares most bands with,
 links are contracted, and lists that still hold several components are joined with themselves
-across them, on condition that few samples differ, which their bits tell: no pair of a list is
-left out.
+across them, on condition that few samples differ, which their bits tell: no similar pair of a
+list is left out.
 
 Nulls: a null text is empty, its fingerprint "0:", like another empty text 1 and any other 0. Rows
 of equal doc_id are ordered by text. Null doc_ids come first; a component of them alone has the
@@ -26,15 +26,18 @@ import functools
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix, staged, table
+from .common import among, cells, map_arrow, mix, staged, table
 from .graph import connected_components
 
 KEEP = 256
 WIDTH, BANDS = 7, 20
 BLOCK = 1 << 12
+#: Longs that hold the four bits of each sample, one bit after the other; those of the first.
+PLANES = [f"q{i}" for i in range(16)]
+PLANE = PLANES[:4]
 _CLASS = (mix(np.arange(1, 1 << 16, dtype=np.uint64)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
 
@@ -132,6 +135,17 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     return float(np.count_nonzero(x[:m] == y[:m]) / most)
 
 
+def packed(samples: np.ndarray) -> bytes:
+    """Two samples a byte."""
+    even = np.append(samples, np.zeros(len(samples) % 2, np.uint8))
+    return (even[::2] | even[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def unpacked(data: bytes, m: int) -> np.ndarray:
+    both = np.frombuffer(data, np.uint8)
+    return np.stack([both & 15, both >> 4], axis=1).ravel()[:m]
+
+
 def _at_level(own: int, level: int, n: int) -> np.ndarray:
     blocks = 1
     while len(_sampled_levels(own, blocks)) < n:
@@ -267,31 +281,55 @@ def similar_by_fingerprint(fps: DataFrame, least: float = 0.75) -> DataFrame:
     live = staged(keys.withColumns({"lo": F.min("cid").over(span), "hi": F.max("cid").over(span)}).where("lo <> hi").select("key", "cid", "lo").distinct(), "bands")
 
     def bits_of(_, cid, fp):
-        out = {"cid": cid, "level": [], "m": [], "bits": [], "fp": fp}
+        out = {"cid": cid, "level": [], "m": [], **{q: [] for q in PLANES}, "samples": []}
         for f in fp:
             level, s = parse(f)
             out["level"].append(level)
             out["m"].append(len(s))
             first = np.zeros(KEEP, np.uint8)
             first[: min(len(s), KEEP)] = s[:KEEP]
-            out["bits"].append(np.packbits(np.concatenate([first >> k & 1 for k in range(4)])).view("<i8").tolist())
+            for q, bits in zip(PLANES, np.packbits(np.concatenate([first >> k & 1 for k in range(4)])).view("<i8").tolist(), strict=True):
+                out[q].append(bits)
+            out["samples"].append(packed(s))
         return out
 
     distinct = named.join(live.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("fingerprint").alias("fp"))
-    known = staged(map_arrow(distinct, bits_of, "cid long, level int, m int, bits array<long>, fp string"), "band-texts")
+    known = staged(map_arrow(distinct, bits_of, f"cid long, level int, m int, {', '.join(f'{q} long' for q in PLANES)}, samples binary"), "band-texts")
+
+    def able(planes: list[str]) -> Column:
+        """Whether so many samples agree as far as these bits tell. Of different levels, they say nothing."""
+        apart = [F.col(q).bitwiseXOR(F.col(f"p_{q}")) for q in planes]
+        differ = sum((F.bit_count(functools.reduce(Column.bitwiseOR, apart[i::4])) for i in range(4)), F.lit(0))
+        return (F.col("level") != F.col("p_level")) | (differ <= (1 - least) * F.greatest("m", "p_m"))
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose first bits agree enough."""
+        planes = known.select("cid", "level", "m", *PLANE)
+        b = planes.select(F.col("cid").alias("b"), *[F.col(c).alias(f"p_{c}") for c in ("level", "m", *PLANE)])
+        return pairs.join(planes.withColumnRenamed("cid", "a"), "a").join(b, "b").where(able(PLANE)).select("a", "b")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(known.select(F.col("cid").alias("a"), F.col("fp").alias("x")), "a").join(known.select(F.col("cid").alias("b"), F.col("fp").alias("y")), "b")
+        """Links (src, dst) of staged pairs that are alike. A bitmap of fixed size keeps most other texts out of the joins."""
+        bitmap = cells(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid")
+
+        def wanted(batches):
+            for batch in batches:
+                yield batch.filter(among(bitmap, batch.column(0).to_numpy()))
+
+        texts = known.select("cid", "level", "m", "samples")
+        texts = texts.mapInArrow(wanted, texts.schema)
+        side = lambda c: texts.select(F.col("cid").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("level", "m", "samples")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
 
-        def verify(_, a, b, x, y):
-            ok = [i for i in range(len(a)) if likeness(parse(x[i]), parse(y[i])) >= least]
+        def verify(_, a, b, *sides):
+            ok = [i for i, (u, m, x, v, n, y) in enumerate(zip(*sides, strict=True)) if likeness((u, unpacked(x, m)), (v, unpacked(y, n))) >= least]
             return {"src": [a[i] for i in ok], "dst": [b[i] for i in ok]}
 
-        return map_arrow(both.select("a", "b", "x", "y"), verify, "src long, dst long")
+        return map_arrow(both.select("a", "b", *[f"{k}_{c}" for c in "ab" for k in ("level", "m", "samples")]), verify, "src long, dst long")
 
     shared = live.where("cid <> lo").groupBy("cid", "lo").agg(F.count("*").alias("n"))
     stars = staged(shared.groupBy("cid").agg(F.max_by("lo", F.struct("n", "lo")).alias("a")).select("a", F.col("cid").alias("b")), "band-stars")
-    links = staged(linked(stars), "band-links")
+    links = staged(linked(staged(promising(stars), "band-pairs")), "band-links")
     parts = staged(connected_components(links), "band-parts")
 
     def of_several(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,17 +339,14 @@ def similar_by_fingerprint(fps: DataFrame, least: float = 0.75) -> DataFrame:
     # A second star, around the least component of each list that holds several: most lists are of one then.
     held, several = of_several(parts)
     again = held.join(several, "key").where("c <> p.c").select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct()
-    links = staged(links.unionByName(linked(staged(again, "band-stars"))), "band-links")
+    links = staged(links.unionByName(linked(staged(promising(again), "band-pairs"))), "band-links")
     held, several = of_several(staged(connected_components(links), "band-parts"))
-    sketch = known.select("cid", "level", "m", *[F.col("bits")[i].alias(f"b{i}") for i in range(16)])
-    rest = staged(held.join(several, "key", "left_semi").join(sketch, "cid"), "band-rest")
-    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("cid", "c", "level", "m", *[f"b{i}" for i in range(16)])])
-    # Four planes of a bit a sample: samples differ that differ in any. Of different levels, they say nothing.
-    apart = [F.col(f"b{i}").bitwiseXOR(F.col(f"p_b{i}")) for i in range(16)]
-    differ = sum((F.bit_count(apart[i].bitwiseOR(apart[i + 4]).bitwiseOR(apart[i + 8]).bitwiseOR(apart[i + 12])) for i in range(4)), F.lit(0))
-    able = (F.col("level") != F.col("p_level")) | (differ <= (1 - least) * F.greatest("m", "p_m"))
-    across = rest.join(other, "key").where("c < p_c").where(able).select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b"))
-    parts = connected_components(links.unionByName(linked(across.distinct().join(stars, ["a", "b"], "left_anti"))))
+    # Dealt once for both sides.
+    rest = staged(held.join(several, "key", "left_semi").join(known.drop("samples"), "cid"), "band-rest").repartition("key")
+    other = rest.select("key", *[F.col(c).alias(f"p_{c}") for c in ("cid", "c", "level", "m", *PLANES)])
+    across = rest.join(other, "key").where("c < p_c").where(able(PLANES)).select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b"))
+    across = staged(across.distinct().join(stars, ["a", "b"], "left_anti"), "band-pairs")
+    parts = connected_components(links.unionByName(linked(across)))
     members = parts.join(classes, parts["node"] == classes["cid"]).select("cid", "component", "rep")
     names = members.groupBy("component").agg(F.min("rep").alias("name"))
     own = classes.join(members.join(names, "component").select("cid", "name"), "cid", "left").select("cid", F.coalesce("name", "rep").alias("component_id"))

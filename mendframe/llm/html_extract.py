@@ -30,11 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MUL, map_arrow, mix, release, slices, staged, table, word_hashes
+from .common import _MUL, among, cells, map_arrow, mix, release, slices, staged, table, word_hashes
 from .markup import Markup
 
 RUN, SHARD, LEAST_PAGES, LEAST_SHARE = 8, 200_000, 3, 0.2
-BITMAP = 1 << 24
 
 # Fixed values of HTML.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -331,20 +330,6 @@ def _arrow(df: DataFrame, rows: Callable[..., dict], schema: str, limit: int = 4
     return df.mapInArrow(run, target)
 
 
-def _cells(runs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the cells of the values (run) set."""
-    cell = F.pmod("run", F.lit(BITMAP))
-    words = runs.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(run, {BITMAP}) & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP >> 6, np.uint64)
-    bitmap[words["w"].to_numpy().astype(np.int64)] = words["bits"].to_numpy().view(np.uint64)
-    return bitmap
-
-
-def _in(bitmap: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    at = runs % BITMAP
-    return bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
-
-
 def boilerplate(parsed: DataFrame, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """host, run of the runs that enough distinct streams of their host hold; and the kinds of the pages that may hold one, all of these and few others. parsed: host, kind, n_tokens, text."""
     by_kind = parsed.groupBy("host", "kind").agg(F.first("n_tokens").alias("n"))
@@ -371,12 +356,12 @@ def boilerplate(parsed: DataFrame, size: int = SHARD) -> tuple[DataFrame, DataFr
         return out
 
     asked = staged(map_arrow(shards, name, "host string, need long, near long", limit=400).distinct(), "runs-asked")
-    bitmap = _cells(asked.select(F.col("near").alias("run")))
+    bitmap = cells(asked, "near")
 
     def held(host, kind, text):
         streams = streams_of(text)
         near, ends = run_hashes([coarse(s) for s in streams])
-        at = np.flatnonzero(ends & _in(bitmap, near))
+        at = np.flatnonzero(ends & among(bitmap, near))
         page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])[at]
         pages, count = np.unique(page, return_counts=True)
         # Of the pages that hold any, the whole runs behind the coarse ones.
@@ -408,11 +393,11 @@ def extract(pages: DataFrame, size: int = SHARD) -> DataFrame:
     # Equal streams are one kind of page.
     parsed = staged(read.withColumns({"host": host, "kind": F.xxhash64(F.replace("text", F.lit("\n"), F.lit(" ")))}), "blocks")
     runs, kinds = boilerplate(parsed, size)
-    bitmap = _cells(kinds.select(F.col("kind").alias("run")))
+    bitmap = cells(kinds, "kind")
 
     def of(hit: bool, *names: str) -> Callable[..., dict]:
         def rows(kind, *columns):
-            keep = pa.array(_in(bitmap, kind.to_numpy()) == hit)
+            keep = pa.array(among(bitmap, kind.to_numpy()) == hit)
             return dict(zip(names, (c.filter(keep) for c in columns), strict=True))
 
         return rows

@@ -669,6 +669,21 @@ def test_bands_find_similar_fingerprints(spark):
     assert found >= 0.97 * len(pairs) and all(want[i] == want[got[i]] for i in ids)
 
 
+def test_pairs_of_lists_are_tried_by_bits(spark, monkeypatch):
+    """Chance meets in band lists cost a bit a sample before whole samples are fetched."""
+    r = random.Random(4)
+    fps = fingerprint.walk(["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (0, 1, 7, 90, 300, 3000)])
+    assert all(fingerprint.unpacked(fingerprint.packed(s), len(s)).tolist() == s.tolist() for _, s in fps)
+    base = "".join(r.choice("abcdefgh ") for _ in range(300))
+    texts = [base, base[:150] + "x" + base[150:], *["".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(20)]]
+    df = spark.createDataFrame([(i, fingerprint.text_of(f)) for i, f in enumerate(fingerprint.walk(texts))], "doc_id long, fingerprint string")
+    tables, staged = collections.defaultdict(list), fingerprint.staged
+    monkeypatch.setattr(fingerprint, "staged", lambda df, name: tables[name].append(staged(df, name)) or tables[name][-1])
+    got = {x.doc_id: x.component_id for x in fingerprint.similar_by_fingerprint(df).collect()}
+    assert got == {0: 0, 1: 0} | {i: i for i in range(2, 22)}
+    assert [t.count() for t in tables["band-pairs"]] == [1, 0, 0] and "fp" not in tables["band-texts"][0].columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
