@@ -365,10 +365,10 @@ def errors_of_json(schema: object, v: Column) -> Column:
     return F.coalesce(compiled(schema, v, path, schema), F.array().cast(NONE))
 
 
-def validated_json(df: DataFrame, text: str, schema: object) -> DataFrame:
-    """df with errors and valid of the JSON in a text column, in one pass over it; text that isn't JSON is one error, of repeated keys the last counts."""
+def validated_json(df: DataFrame, text: str, schema: object, values: bool = True) -> DataFrame:
+    """df with errors and valid of the JSON in a text column, in one pass over it; text that isn't JSON is one error, of repeated keys the last counts. Without values, those of the errors are null and aren't printed."""
     from .straight import text_of
-    from .walk import walked, written
+    from .walk import unsaid, walked, written
 
-    out = df.withColumn("errors", walked(schema, F.col(text), written if recursive(schema) else text_of)).withColumn("valid", F.size("errors") == 0)
+    out = df.withColumn("errors", walked(schema, F.col(text), (written if recursive(schema) else text_of) if values else unsaid)).withColumn("valid", F.size("errors") == 0)
     return sealed(out, "errors", "valid")

@@ -43,7 +43,7 @@ def _order_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def nested_errors(spark: SparkSession, d: str) -> DataFrame:
     """Every error of every order with its line items, by path."""
-    out = N.validated_json(_order_texts(spark, d), "text", ORDER)
+    out = N.validated_json(_order_texts(spark, d), "text", ORDER, values=False)
     return out.select("o_orderkey", F.explode("errors").alias("e")).select("o_orderkey", "e.path", "e.expected")
 
 

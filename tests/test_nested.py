@@ -88,3 +88,12 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("bad", [{"type": 3}, {"minimum": "x"}, 5])
 def test_faults(bad):
     assert N.fault(bad)
+
+
+def test_errors_without_values(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("{",), (None,), ('{"a": "y"}',)], "text string")
+    schema = {"properties": {"a": {"type": "string"}, "b": {"type": "number"}}, "required": ["a"]}
+    told = lambda **kw: [[(e.path, e.expected, e.value) for e in r.errors] for r in N.validated_json(df, "text", schema, **kw).collect()]
+    full, bare = told(), told(values=False)
+    assert [[e[:2] for e in r] for r in full] == [[e[:2] for e in r] for r in bare]
+    assert full[0] != bare[0] and all(v is None for r in bare for _, _, v in r)
