@@ -28,6 +28,9 @@ from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 
+#: Bytes of runs that a worker remembers, and of texts that it encodes at once.
+MEMO, SLICE = 64 << 20, 300_000
+
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that any packing needs: by total length, and by lengths that can't share with larger ones."""
@@ -220,7 +223,7 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     def setup():
         from pyspark import TaskContext
 
-        return {"e": encoder(path), "row": TaskContext.get().partitionId() << 36}
+        return {"e": encoder(path, MEMO), "row": TaskContext.get().partitionId() << 36}
 
     def rows(s, doc_id, text):
         ids, counts = s["e"].encode(text)
@@ -237,7 +240,7 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         return out
 
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema, setup=setup)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema, setup=setup, limit=SLICE)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, each: int = 100_000) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 
+from .common import release
+
 #: Runs whose ends are token boundaries for both tokenizers used here: a letter run before
 #: white space or plain punctuation, else everything up to white space, else white space itself.
 _RUNS = {
@@ -23,6 +25,8 @@ _ODD = re.compile(r"[\x1c-\x1f]")
 LONGEST, EACH = 64, 220
 #: Runs that are encoded in one text, and what such a run is.
 TOGETHER = 512
+#: Characters of runs that the library is given at once.
+CHARACTERS = 1 << 16
 _JOINS = re.compile(r" \S+\Z").match
 
 
@@ -44,8 +48,9 @@ class _Memo(dict):
 class Encoder:
     """encode(texts) -> (ids, counts): the same ids as encoding each whole text.
 
-    Equal runs are encoded once. The memo starts anew beyond `most` bytes; it keeps no run of
-    over LONGEST characters. Texts in which runs can't be told apart safely are encoded whole.
+    Equal runs are encoded once. Beyond `most` bytes the memo keeps only runs that were asked for
+    again, up to half of that; it keeps no run of over LONGEST characters. Texts in which runs
+    can't be told apart safely are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 128 << 20):
@@ -57,18 +62,36 @@ class Encoder:
         self.spaced = self.tokenizer.normalizer is None
         self.bytes_of = self.byte_lengths() if self.spaced else None
         self.most = most
-        self._reset()
-
-    def _reset(self) -> None:
         self.index = _Memo()
         self.held = 0
         self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.asked = np.empty(0, np.int64)  # how often, since the memo was last thinned
+
+    def _thin(self) -> None:
+        """Keep the runs asked for again since the last time, the most asked for first, and give the memory of the others back."""
+        kept = np.argsort(-self.asked, kind="stable")
+        kept = kept[: np.count_nonzero(self.asked > 1)]
+        kept = np.sort(kept[np.cumsum(EACH + 4 * self.lengths[kept]) <= self.most // 2])
+        number = np.full(len(self.asked), -1)
+        number[kept] = np.arange(len(kept))
+        old, self.index = self.index, _Memo()
+        for run, i in old.items():
+            if number[i] >= 0:
+                self.index[run] = int(number[i])
+        self.index.made = len(kept)
+        size = self.lengths[kept]
+        ends = np.cumsum(size)
+        self.pool = self.pool[np.repeat(self.starts[kept] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.starts, self.lengths, self.asked = ends - size, size, np.zeros(len(kept), np.int64)
+        self.held = EACH * len(kept) + 4 * len(self.pool)
+        del old
+        release()
 
     def _add(self, runs: list[str]) -> None:
         joins = np.array([bool(self.spaced and _JOINS(r)) for r in runs], bool)
         lengths = np.zeros(len(runs), np.int64)
-        starts, pool = np.zeros(len(runs), np.int64), [self.pool]
-        at = len(self.pool)
+        starts, pool = np.zeros(len(runs), np.int64), []
+        first = at = len(self.pool)
         for chosen, encoded in ((joins, self._together), (~joins, self._apart)):
             if not chosen.any():
                 continue
@@ -76,14 +99,23 @@ class Encoder:
             lengths[chosen], starts[chosen] = own, at + np.cumsum(own) - own
             pool.append(flat)
             at += len(flat)
-        self.starts, self.lengths, self.pool = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths]), np.concatenate(pool)
-        self.held += EACH * len(runs) + 4 * (at - len(pool[0]))
+        for held, new in ((self.pool, np.concatenate(pool)), (self.starts, starts), (self.lengths, lengths), (self.asked, np.zeros(len(runs), np.int64))):
+            n = len(held)
+            held.resize(n + len(new), refcheck=False)  # grows in its place where it can
+            held[n:] = new
+        self.held += EACH * len(runs) + 4 * (at - first)
 
     def _apart(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of each run, all ids), run by run."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        """(ids of each run, all ids), run by run; some CHARACTERS at once, as the library holds far more than the ids of each."""
+        lengths, flat = [], []
+        ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))) // CHARACTERS
+        bounds = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(runs)]
+        for lo, hi in pairwise(bounds):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs[lo:hi], add_special_tokens=False)]
+            own = np.fromiter(map(len, ids), np.int64, len(ids))
+            lengths.append(own)
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(own.sum())))
+        return np.concatenate(lengths), np.concatenate(flat)
 
     def _together(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs that begin with their only space, hence at a token boundary: many in one text, told apart by the bytes that ids stand for."""
@@ -99,7 +131,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         find = _RUNS[self.spaced].findall
         if self.held > self.most:
-            self._reset()
+            self._thin()
         runs = [[t] if _ODD.search(t) else find(t) for t in (t or "" for t in texts)]
         bounds = np.cumsum([len(d) for d in runs])
         where = np.fromiter(map(self.index.__getitem__, chain.from_iterable(runs)), np.int64, int(bounds[-1]) if runs else 0)
@@ -107,13 +139,14 @@ class Encoder:
         if fresh:
             self._add(fresh)
             self.index.fresh = []
+        np.add.at(self.asked, where, 1)
         size = self.lengths[where]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.starts[where] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         total = np.concatenate([[0], ends])[bounds]
         for r in fresh:
             if len(r) > LONGEST:
-                del self.index[r]
+                self.asked[self.index.pop(r)] = 0
         return ids, np.diff(total, prepend=0)
 
     def byte_lengths(self) -> np.ndarray:
@@ -132,6 +165,6 @@ def tokenizer_path(name: str) -> str:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = 128 << 20) -> Encoder:
     """One memo for all tasks that a Python worker runs."""
-    return Encoder(path)
+    return Encoder(path, most)

@@ -147,6 +147,21 @@ def test_token_runs_are_whole_encodings(docs):
                 at += n
 
 
+def test_a_full_memo_keeps_what_is_asked_for_again():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(tokenizer_path(name), most=60_000)
+        for k in range(40):
+            text = " ".join(w for i in range(40) for w in ("often", f"zq{k}x{i}", "again")) + " " + "y" * 70
+            ids, counts = e.encode([text, None, text])
+            want = e.tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids.tolist() == want * 2 and counts.tolist() == [len(want), 0, len(want)]
+            assert any("often" in r for r in e.index) and e.held <= e.most + 300 * 60  # what a slice adds
+        assert len(e.index) < 400 and e.index.made == len(e.starts) == len(e.lengths) == len(e.asked)
+        e._thin()
+        kept = {r.strip() for r in e.index}
+        assert {"often", "again"} <= kept and e.held <= e.most // 2
+
+
 def encoded(name, texts):
     from tokenizers import Tokenizer
 
