@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import release, staged, table
 from .tokens import tokenizer_path
 
-#: Bytes of text in a block; bytes of runs and their tables in the memo; the longest run that is kept; what a run takes besides its characters and links.
-BLOCK, MOST, LONGEST, EACH = 3 << 20, 96 << 20, 64, 300
+#: Characters of text in a block, and of those encoded at once; bytes of runs and their tables in the memo; the longest run that is kept; what a run takes besides its characters and links.
+BLOCK, SLICE, MOST, LONGEST, EACH = 3 << 20, 300_000, 64 << 20, 64, 300
+#: Blocks that a task which writes or reads them holds at once: a block takes some 4 MB.
+AT_ONCE = 4
 #: Runs that are encoded in one text: those that begin with their only white space.
 TOGETHER = 512
 _JOINS = re.compile(r" [^\s\x1c-\x1f]+").fullmatch
@@ -108,8 +110,29 @@ class Aligner:
         #: For each run: tokens of A, of B, groups, links, and whether it is spelt as the text.
         self.rows = np.empty((0, 5), np.int64)
         self.codes, self.times, self.starts = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.asked = np.empty(0, np.int64)  # how often, since the memo was last thinned
         self.held = 0
 
+    def _thin(self) -> None:
+        """Keep the runs asked for again since the last time, the most asked for first, up to half of the memo, and give the memory of the others back."""
+        size = np.diff(self.starts)
+        kept = np.argsort(-self.asked, kind="stable")
+        kept = kept[: np.count_nonzero(self.asked > 1)]
+        held = EACH + np.fromiter(map(len, self.said), np.int64, len(self.said)) + 16 * size
+        kept = np.sort(kept[np.cumsum(held[kept]) <= MOST // 2])
+        number = np.full(len(self.said), -1)
+        number[kept] = np.arange(len(kept))
+        number = number.tolist()
+        self.memo = {run: number[i] for run, i in self.memo.items() if number[i] >= 0}
+        self.said = [self.said[i] for i in kept.tolist()]
+        take = _spans(self.starts[kept], size[kept])
+        self.rows, self.codes, self.times = self.rows[kept], self.codes[take], self.times[take]
+        self.starts = np.concatenate([[0], np.cumsum(size[kept])])
+        self.asked = np.zeros(len(kept), np.int64)
+        self.held = int(held[kept].sum())
+        del number
+        release()
+
     def _add(self, runs: list[str]) -> None:
         """Put runs into the tables, in order."""
         rows, said, sizes, codes, times = [], [], [], [], []
@@ -149,10 +172,11 @@ class Aligner:
                 one(run)
         if joined:
             many(joined)
-        self.rows = np.concatenate([self.rows, *rows])
         self.said += said
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
-        self.codes, self.times = np.concatenate([self.codes, *codes]), np.concatenate([self.times, *times])
+        for held, new in ((self.rows, rows), (self.starts, [self.starts[-1] + np.cumsum(np.concatenate(sizes))]), (self.codes, codes), (self.times, times), (self.asked, [np.zeros(len(runs), np.int64)])):
+            n = len(held)
+            held.resize((n + sum(map(len, new)), *held.shape[1:]), refcheck=False)  # grows in its place where it can
+            np.concatenate(new, out=held[n:])
         self.held += EACH * len(runs) + sum(map(len, said)) + 16 * sum(map(len, codes))
 
     def _together(self, runs: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray] | None:
@@ -197,7 +221,7 @@ class Aligner:
     def documents(self, texts: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, digest) of each text; document number, pair and occurrences of what its runs link."""
         if self.held > MOST:
-            self.reset()
+            self._thin()
         split = self.cut.split
         runs = [split(" " + t) if t else [] for t in texts]
         fresh = [r for r in dict.fromkeys(chain.from_iterable(runs)) if r not in self.memo]
@@ -208,6 +232,7 @@ class Aligner:
             self._add(fresh)
         count = np.array([len(r) for r in runs], np.int64)
         where = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(runs)), np.int64, int(count.sum()))
+        np.add.at(self.asked, where, 1)
         bounds = np.concatenate([[0], np.cumsum(count)])
         by_doc = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:]), np.int64), np.cumsum(x, 0)])[bounds], axis=0)
         rows = by_doc(self.rows[where])
@@ -219,15 +244,20 @@ class Aligner:
         kept = good[doc]
         where, doc = where[kept], doc[kept]
         size = self.starts[where + 1] - self.starts[where]
-        ends = np.cumsum(size)
-        take = np.repeat(self.starts[where] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        take = _spans(self.starts[where], size)
         codes, times, doc = self.codes[take], self.times[take], np.repeat(doc, size)
         for r in fresh:
             if len(r) > LONGEST:
-                del self.memo[r]
+                self.asked[self.memo.pop(r)] = 0
         return [(*r, d) for r, d in zip(rows.tolist(), digests, strict=True)], doc, codes, times
 
 
+def _spans(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places starts, starts + 1, ... of so many entries each, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(starts - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -271,13 +301,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             lo = 0
             while lo < len(frame):
                 hi, held_now = lo, held
-                while hi < len(frame) and (hi == lo or held_now + sizes[hi] <= BLOCK):
+                while hi < len(frame) and (hi == lo or held_now + sizes[hi] <= min(BLOCK, held + SLICE)):
                     held_now += sizes[hi]
                     hi += 1
                 ids += [None if pd.isna(i) else int(i) for i in frame["doc_id"].iloc[lo:hi]]
                 parts.append(both.documents(frame["text"].iloc[lo:hi].tolist()))
                 held, lo = held_now, hi
-                if held >= BLOCK or lo < len(frame):
+                if held >= BLOCK or lo < len(frame) and held + sizes[lo] > BLOCK:
                     yield block(ids, parts)
                     ids, parts, held, number = [], [], 0, number + 1
         if parts:
@@ -303,32 +333,29 @@ _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 
 def align_tokenizers(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """A row a document: tokens of both sides, groups, links, how many of these are an id's most common, the sum of their counts, and a digest of the groups."""
-    blocks = staged(aligned_blocks(docs, path_a, path_b), "aligned")
-    asked = blocks.select("block", F.posexplode("pair").alias("place", "pair"))
-    # A block's distinct pairs, which its size bounds.
-    known = asked.join(pair_counts(blocks), "pair").groupBy("block").agg(F.collect_list(F.struct("place", "n", "best_a", "best_b")).alias("known"))
-    both = blocks.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "entries", F.col("place").alias("at"), "times").join(known, "block", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                whole = lambda c: row.column(c).flatten()  # noqa: B023, E731
-                entries, at, times = (whole(c).to_numpy(zero_copy_only=False) for c in ("entries", "at", "times"))
-                n, a, b = (np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64) for _ in range(3))
-                if len(at):
-                    told = whole("known")
-                    where = told.field("place").to_numpy(zero_copy_only=False)
-                    for out, name in ((n, "n"), (a, "best_a"), (b, "best_b")):
-                        out[where] = told.field(name).to_numpy(zero_copy_only=False)
-                starts = np.concatenate([[0], np.cumsum(entries)])
-                summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(times * x[at])])[starts])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [*[whole(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], *[pa.array(summed(x).astype(np.int64)) for x in (a, n)], whole("digest"), pa.array(summed(b).astype(np.int64))],
-                    names=[f.split(" ")[0] for f in _RESULT.split(", ")])
-        release()
-
-    return both.mapInArrow(run, _RESULT)
+    blocks = staged(aligned_blocks(docs, path_a, path_b), "aligned", AT_ONCE)
+    asked = blocks.select(F.col("block").alias("of"), F.posexplode("pair").alias("place", "pair"))
+    known = asked.join(pair_counts(blocks), "pair").select("of", "place", "n", "best_a", "best_b")
+    held = blocks.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "entries", F.col("place").alias("at"), "times")
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        """One block and its distinct pairs, which its size bounds."""
+        if aligner.cache_info().currsize:  # the memo of the stage before
+            aligner.cache_clear()
+            release()
+        whole = lambda c: block.column(c).combine_chunks().flatten()
+        entries, at, times = (whole(c).to_numpy(zero_copy_only=False) for c in ("entries", "at", "times"))
+        starts, where = np.concatenate([[0], np.cumsum(entries)]), told.column("place").to_numpy()
+
+        def summed(name: str) -> pa.Array:
+            x = np.zeros(told.num_rows, np.int64)
+            x[where] = told.column(name).to_numpy()
+            return pa.array(np.diff(np.concatenate([[0], np.cumsum(times * x[at])])[starts]).astype(np.int64))
+
+        columns = [*[whole(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], summed("best_a"), summed("n"), whole("digest"), summed("best_b")]
+        return pa.Table.from_arrays(columns, names=[f.split(" ")[0] for f in _RESULT.split(", ")])
+
+    return held.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, _RESULT)
 
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

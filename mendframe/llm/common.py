@@ -35,10 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back."""
+def staged(df: DataFrame, name: str, at_once: int | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder and read it back; at_once: the rows that writer and reader hold at most, for rows of megabytes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if at_once:
+        writer = writer.option("parquet.block.row.count.limit", at_once)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

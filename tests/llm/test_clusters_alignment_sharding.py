@@ -1,6 +1,7 @@
 """Clustering, tokenizer alignment and sharding against brute force, with nulls, ties, repeats, empties and clashing columns."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import math
@@ -160,6 +161,34 @@ def test_alignment_odd(spark, monkeypatch, bound):
     assert rows_of(alignment.align_tokenizers(df.where("text = ''"), A, B)) == brute_alignment([(1, "")])
 
 
+def test_alignment_holds_few_blocks_at_once(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    asked = []
+    real = alignment.staged
+    monkeypatch.setattr(alignment, "staged", lambda df, name, *more: asked.append(out := real(df, name, *more)) or out)
+    monkeypatch.setattr(alignment, "BLOCK", 40)
+    rows = [(i, f"word {i} and some more words, each in a block") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert rows_of(alignment.align_tokenizers(df, A, B)) == brute_alignment(rows)
+    groups = [m.row_group(i).num_rows for f in glob.glob(f"{asked[0].staged_at.removeprefix('file:')}/*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == 30 and max(groups) <= 4
+
+
+def test_alignment_memo_keeps_what_is_asked_for_again(monkeypatch):
+    texts = [t for t in ODD if t] + [f"often said {i} w{i * 7919}" for i in range(400)]
+    whole, small = (alignment.Aligner(A, B) for _ in range(2))
+    wanted = [x for t in texts for x in whole.documents([t])[0]]
+    monkeypatch.setattr(alignment, "MOST", 20_000)
+    found, sizes, added, add = [], [], [], small._add
+    monkeypatch.setattr(small, "_add", lambda runs: added.extend(runs) or add(runs))
+    for t in texts:
+        found += small.documents([t])[0]
+        sizes.append(small.held)
+    assert found == wanted
+    assert added.count(" said") == 1 and any(b < a for a, b in itertools.pairwise(sizes)) and max(sizes) < 40_000
+
+
 def shards(spark, keys, root):
     df = sharding.placed(spark.createDataFrame([(k,) for k in keys], "doc_id long"), "doc_id", root, "s")
     return dict(map(tuple, df.collect()))
