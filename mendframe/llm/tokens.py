@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from itertools import chain, pairwise
@@ -27,7 +28,7 @@ LONGEST, EACH = 64, 220
 TOGETHER = 512
 #: Characters of runs that the library is given at once.
 CHARACTERS = 1 << 16
-_JOINS = re.compile(r" \S+\Z").match
+_JOINS = {True: re.compile(r" \S+\Z").match, False: re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z").match}
 
 
 class _Memo(dict):
@@ -61,6 +62,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = self.tokenizer.normalizer is None
         self.bytes_of = self.byte_lengths() if self.spaced else None
+        self.ends_word = None if self.spaced else self.word_ends()
         self.most = most
         self.index = _Memo()
         self.held = 0
@@ -88,7 +90,8 @@ class Encoder:
         release()
 
     def _add(self, runs: list[str]) -> None:
-        joins = np.array([bool(self.spaced and _JOINS(r)) for r in runs], bool)
+        alike = _JOINS[self.spaced] if self.spaced or self.ends_word is not None else lambda _: None
+        joins = np.array([alike(r) is not None for r in runs], bool)
         lengths = np.zeros(len(runs), np.int64)
         starts, pool = np.zeros(len(runs), np.int64), []
         first = at = len(self.pool)
@@ -118,9 +121,14 @@ class Encoder:
         return np.concatenate(lengths), np.concatenate(flat)
 
     def _together(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for runs that begin with their only space, hence at a token boundary: many in one text, told apart by the bytes that ids stand for."""
-        texts = ["".join(runs[i : i + TOGETHER]) for i in range(0, len(runs), TOGETHER)]
+        """The same for runs that begin with their only space, hence at a token boundary, or are words of letters: many in one text, told apart by the bytes that ids stand for, or by the ids that end words."""
+        texts = [("" if self.spaced else " ").join(runs[i : i + TOGETHER]) for i in range(0, len(runs), TOGETHER)]
         _, flat = self._apart(texts)
+        if not self.spaced:
+            last = np.flatnonzero(self.ends_word[flat])
+            if len(last) != len(runs) or last[-1] + 1 != len(flat):
+                return self._apart(runs)
+            return np.diff(last, prepend=-1), flat
         ends = np.cumsum(self.bytes_of[flat])
         wanted = np.cumsum(np.fromiter(map(len, map(str.encode, runs)), np.int64, len(runs)))
         last = np.searchsorted(ends, wanted)
@@ -157,6 +165,17 @@ class Encoder:
             out[i] = len(token)
         return out
 
+    def word_ends(self) -> np.ndarray | None:
+        """Whether each id ends a word; None for a vocabulary that doesn't mark words' ends."""
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not mark:
+            return None
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            out[i] = token.endswith(mark)
+        return out
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -164,6 +183,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def forget() -> None:
+    """Give back what memos of stages before hold, in a stage that encodes nothing."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        release()
+
+
 @functools.cache
 def encoder(path: str, most: int = 128 << 20) -> Encoder:
     """One memo for all tasks that a Python worker runs."""

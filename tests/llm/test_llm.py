@@ -162,6 +162,17 @@ def test_a_full_memo_keeps_what_is_asked_for_again():
         assert {"often", "again"} <= kept and e.held <= e.most // 2
 
 
+def test_words_are_given_to_the_library_together(monkeypatch):
+    words = ["".join(random.Random(i).choices("abcdeèÉßÿÅZ", k=9)) for i in range(600)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = Encoder(tokenizer_path(name))
+        given, apart = [], e._apart
+        monkeypatch.setattr(e, "_apart", lambda runs: given.extend(runs) or apart(runs))  # noqa: B023
+        text = " " + " ".join(words) + " it's <|endoftext|> x1 ٣ Ǆ日本 end</w> a.</w>b"
+        ids, _ = e.encode([text])
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids and len(given) < 30
+
+
 def encoded(name, texts):
     from tokenizers import Tokenizer
 
