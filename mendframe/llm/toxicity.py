@@ -24,14 +24,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import map_arrow, table
+from .common import map_arrow, release, slices, table
+from .tokens import forget
 
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 24_000
 THRESHOLD = 0.7
@@ -148,6 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("kind", "text")
 
     def words(_, kind, text):
+        forget()
         out = {"pos": [], "word": []}
         for k, t in zip(kind, text, strict=True):
             own = {f for w in set(_WORDS.findall((t or "").lower())) for f in features(w)} if k < 2 else ()
@@ -188,17 +192,28 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, fl
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
-    """doc, a struct of the row, with score and predicted; docs must have text."""
+    """doc, a struct of the row, with score and predicted; docs must have text. A row goes to the task once and comes back as it lies."""
     chosen, weights, bias = model
     index = {w: i for i, w in enumerate(chosen)}
-    packed = docs.select(F.struct("*").alias("doc"), F.col("text"))
-
-    def rows(known, doc, text):
-        g = values(counts_of(text, index, known), weights, len(text)) + bias if chosen else np.full(len(text), bias)
-        s = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-        return {"doc": doc, "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)}
-
-    return map_arrow(packed, rows, f"doc {packed.schema['doc'].dataType.simpleString()}, score double, predicted int", setup=dict)
+    packed = docs.select(F.struct("*").alias("doc"))
+    target = StructType([*packed.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            doc = batch.column(0)
+            texts = doc.field(at)  # no doc is null
+            for lo, hi in slices(texts, 1_000_000):
+                text = texts.slice(lo, hi - lo).to_pylist()
+                g = values(counts_of(text, index, known), weights, len(text)) + bias if chosen else np.full(len(text), bias)
+                s = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+                yield pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=target.names)
+        known.clear()
+        release()
+
+    return packed.mapInArrow(run, target)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

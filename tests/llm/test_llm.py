@@ -309,6 +309,16 @@ def test_nnpu_learns_from_positives_only():
     assert auc > 0.85
 
 
+def test_toxicity_sends_a_text_once(spark, odd):
+    model = ["good", "bad"], np.array([-1.0, 2.0]), 0.5
+    node = toxicity.score(odd, model)._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    assert node.children().head().output().length() == 1
+    key = lambda r: repr(tuple(r))
+    assert sorted((r.doc for r in toxicity.score(odd, model).collect()), key=key) == sorted(odd.collect(), key=key)
+
+
 def test_toxicity(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     out = toxicity.op6_toxicity(spark, sf)
