@@ -116,8 +116,9 @@ def read_chunks(chunks: DataFrame, width: int) -> DataFrame:
         got = [hashlib.blake2b(p, digest_size=16).digest() for p in payload]
         if got != digest:
             raise ValueError("a stored chunk doesn't match its digest")
-        ids = [np.frombuffer(p, dtype=f"<u{width}") for p in payload]
-        return {"digest": digest, "n": [len(x) for x in ids], "crc": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]}
+        n = np.fromiter(map(len, payload), np.int64, len(payload)) // width
+        ids, ends = memoryview(np.frombuffer(b"".join(payload), dtype=f"<u{width}").astype("<u4").tobytes()), (4 * np.cumsum(n)).tolist()
+        return {"digest": digest, "n": n, "crc": [zlib.crc32(ids[a:b]) for a, b in zip([0, *ends], ends)]}
 
     return map_arrow(chunks.select("digest", "payload"), rows, "digest binary, n int, crc long")
 

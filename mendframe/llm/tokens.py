@@ -19,7 +19,7 @@ _RUNS = {
     False: re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?*$%&#]|$)|\S+"),
 }
 #: Python takes these for white space and the tokenizers don't.
-_ODD = re.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 #: Longer runs aren't remembered. EACH: bytes that a run takes in the memo, its characters and the tables' places.
@@ -140,7 +140,7 @@ class Encoder:
         find = _RUNS[self.spaced].findall
         if self.held > self.most:
             self._thin()
-        runs = [[t] if _ODD.search(t) else find(t) for t in (t or "" for t in texts)]
+        runs = [[t] if any(map(t.__contains__, _ODD)) else find(t) for t in (t or "" for t in texts)]
         bounds = np.cumsum([len(d) for d in runs])
         where = np.fromiter(map(self.index.__getitem__, chain.from_iterable(runs)), np.int64, int(bounds[-1]) if runs else 0)
         fresh = self.index.fresh
